@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens.operators.ratings import index_items
 from cartlens.sources.tables import read_table
 
 
@@ -75,3 +76,11 @@ def nation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).select(
         F.col("c_nationkey").cast("int").alias("cluster_number"), F.col("c_custkey").alias("user_id")
     )
+
+
+def segment_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(cluster_number, user_id)`` from the customer's market segment; the
+    segment names are numbered in sorted order with a distributed dictionary."""
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    ids = index_items(cust, item_col="c_mktsegment", index_col="cluster_number")
+    return cust.join(ids, "c_mktsegment").select("cluster_number", F.col("c_custkey").alias("user_id"))
