@@ -1,0 +1,72 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from cartlens.operators import baskets as bk
+from cartlens.operators.relations import load_baskets
+
+from .conftest import SF001
+
+
+def _b(spark, rows):
+    return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "basket_id long, items array<string>")
+
+
+def test_itemsets_and_rules_golden(spark):
+    b = _b(spark, [["a", "b"], ["a", "b"], ["a"], ["b", "c"]])
+    model = bk.mine_frequent_itemsets(b, 0.5, min_confidence=0.2)
+    items = {tuple(r["items"]): r["freq"] for r in bk.frequent_itemsets(model).collect()}
+    assert items == {("a",): 3, ("b",): 3, ("a", "b"): 2}
+    rules = {
+        (tuple(r["antecedent"]), tuple(r["consequent"])): (r["confidence"], r["freq"])
+        for r in bk.association_rules(model, F.lit(4)).collect()
+    }
+    assert rules[(("a",), ("b",))][0] == pytest.approx(2 / 3)
+    assert rules[(("b",), ("a",))] == (pytest.approx(2 / 3), 2)
+    assert len(rules) == 2
+
+
+def test_support_threshold_ceil(spark):
+    # 4 baskets, support 0.3 -> count >= ceil(1.2) = 2
+    b = _b(spark, [["x"], ["x"], ["y"], ["z"]])
+    model = bk.mine_frequent_itemsets(b, 0.3)
+    assert [r["items"] for r in bk.frequent_itemsets(model).collect()] == [["x"]]
+
+
+def _report_at(report, s):
+    rows = report.where(F.abs(F.col("support") - F.lit(s)) < 1e-12).collect()
+    items = {(r["antecedent_itemset"], r["freq"]) for r in rows if r["type"] == bk.ITEMSET_LABEL}
+    rules = {
+        (r["antecedent_itemset"], r["consequent"], round(r["confidence"], 9)) for r in rows if r["type"] == bk.RULE_LABEL
+    }
+    return items, rules
+
+
+@pytest.mark.parametrize("attribute", ["p_type", "p_brand"])
+def test_single_mine_sweep_equals_independent_fits(spark, attribute):
+    baskets = load_baskets(spark, SF001, attribute).persist()
+    n = baskets.count()
+    report = bk.mine_support_sweep(baskets, min_confidence=0.1).persist()
+    for i in (1, 7, 40, 200):
+        s = i / 1000.0
+        model = bk.mine_frequent_itemsets(baskets, s, min_confidence=0.1)
+        exp_items = {(", ".join(sorted(r["items"])), r["freq"]) for r in model.freqItemsets.collect()}
+        exp_rules = {
+            (", ".join(sorted(r["antecedent"])), ", ".join(sorted(r["consequent"])), round(r["confidence"], 9))
+            for r in model.associationRules.collect()
+        }
+        got_items, got_rules = _report_at(report, s)
+        assert got_items == exp_items, (attribute, s)
+        assert got_rules == exp_rules, (attribute, s)
+        assert all(f >= math.ceil(s * n) for _, f in got_items)
+    baskets.unpersist()
+
+
+def test_report_strings(spark):
+    b = _b(spark, [["a", "b"], ["a", "b"], ["a"], ["b", "c"]])
+    rep = bk.report_strings(bk.mine_support_sweep(b, steps=2, denominator=4.0))
+    rows = rep.collect()
+    assert rep.columns == ["SUPPORT", "TYPE", "ANTECEDENT/ITEMSET", "CONSEQUENT", "CONFIANCA/FREQ"]
+    assert ("0.25", "FREQUENCIA", "a, b", "", "2") in {tuple(r) for r in rows}
+    assert any(r["TYPE"] == "REGRA" and r["ANTECEDENT/ITEMSET"] == "a" for r in rows)
