@@ -44,21 +44,17 @@ def load_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_baskets(lineitem: DataFrame, part: DataFrame, attribute: str = "p_type") -> DataFrame:
     """Per order, the sorted distinct values of a part attribute.
 
-    De-duplication happens on (order, value) pairs before the list is built,
-    and that aggregate combines map-side, so even an order with a huge
-    number of lines reaches the final task as at most one row per distinct
-    value.
+    ``collect_set`` de-duplicates map-side (partial aggregate) before the one
+    shuffle on the order key, so even an order with a huge number of lines
+    reaches the final task as at most one entry per distinct value and map
+    task.
     """
     li = lineitem.select("l_orderkey", "l_partkey")
     p = part.select("p_partkey", F.col(attribute).alias("item"))
     pairs = li.join(p, li["l_partkey"] == p["p_partkey"], "inner").select(
         F.col("l_orderkey").alias("basket_id"), "item"
     )
-    return (
-        pairs.distinct()
-        .groupBy("basket_id")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-    )
+    return pairs.groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def load_baskets(spark: SparkSession, sf_dir: str, attribute: str = "p_type") -> DataFrame:

@@ -217,13 +217,11 @@ def q_basket_parse(spark, sf):
     values and trailing empty fields, then parsed back."""
     li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_linestatus"])
     part = read_table(spark, sf, "part", ["p_partkey", "p_type"])
-    cells = (
-        li.join(part, li["l_partkey"] == part["p_partkey"])
-        .select(F.col("l_orderkey").alias("basket_id"), "l_linestatus", "p_type")
-        .distinct()
+    cells = li.join(part, li["l_partkey"] == part["p_partkey"]).select(
+        F.col("l_orderkey").alias("basket_id"), "l_linestatus", "p_type"
     )
     lines = cells.groupBy("basket_id").agg(
-        F.array_sort(F.collect_list(F.struct("l_linestatus", "p_type"))).alias("cells")
+        F.array_sort(F.collect_set(F.struct("l_linestatus", "p_type"))).alias("cells")
     ).select(
         "basket_id",
         F.concat(F.lit(" "), F.array_join(F.transform("cells", lambda c: c["p_type"]), "|"), F.lit("|| ")).alias("line"),
