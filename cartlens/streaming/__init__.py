@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The workload reads static files and tables only; there is no stream,
+watermark, window or state to reproduce.  Batch operators in
+:mod:`cartlens.operators` are DataFrame-in/DataFrame-out and can be applied
+to each micro-batch of a ``foreachBatch`` sink if a caller needs that.
+"""
