@@ -1,4 +1,5 @@
-"""Ranking primitives that stay balanced when one group holds a third of the rows.
+"""Ranking primitives that stay balanced when one group — or one run of
+identical rows — holds a third of the data.
 
 A plain ``row_number().over(Window.partitionBy(g).orderBy(o))`` sends every
 row of a group to one task.  Two cases are handled instead:
@@ -7,13 +8,22 @@ row of a group to one task.  Two cases are handled instead:
   ``<= n`` filter.  Spark plans a partial ``WindowGroupLimit`` before the
   shuffle, so each map task forwards at most ``n`` rows per group and a hot
   group costs ``n x tasks`` rows, not its size.
-* **full ranking** (:func:`rank_within_groups`, :func:`global_position`): a
-  distributed range sort on ``(group, order, tie-breaks)`` splits a hot group
-  over many partitions.  Each row gets its position inside its sorted
-  partition; a per-(partition, group) count table — at most
-  ``#groups + #partitions`` rows, and at most ``#partitions`` rows for any one
-  group — turns that into the position inside the group.  The sorted frame
-  is checkpointed once, which freezes the numbering and cuts lineage.
+* **full ranking** (:func:`rank_within_groups`, :func:`global_position`):
+
+  1. identical rows are collapsed into ``(row, multiplicity)`` by a
+     map-side-combined count, so copies never pile up in one task and the
+     remaining rows are all distinct;
+  2. a distributed range sort on ``(group, order, tie-breaks)`` then splits
+     a hot group over many partitions, and each distinct row gets its
+     position inside its sorted partition; the sorted frame is checkpointed,
+     which freezes that numbering and cuts lineage;
+  3. a per-(partition, group) table of row counts — at most
+     ``#groups + #partitions`` rows, at most ``#partitions`` for any one
+     group — gives the rows of the group in earlier partitions; a window over
+     one (partition, group) run gives the rows before it inside the
+     partition;
+  4. each distinct row is expanded back to its multiplicity with
+     consecutive positions.
 """
 
 from __future__ import annotations
@@ -26,13 +36,15 @@ from pyspark.sql import types as T
 
 from cartlens.session import materialize
 
-_SEQ = "__rk_seq"
+_MULT = "__rk_mult"
 _ID = "__rk_id"
 _PART = "__rk_part"
 _LOC = "__rk_loc"
+_GK = "__rk_gk"
 _CNT = "__rk_cnt"
-_LO = "__rk_lo"
 _BEFORE = "__rk_before"
+_LOCAL = "__rk_local"
+_I = "__rk_i"
 # monotonically_increasing_id = partition index << 33 | row index in partition
 _LOC_BITS = 33
 
@@ -72,54 +84,50 @@ def rank_within_groups(
     """Add the 0-based position of each row inside its group (and optionally the
     group size), under ``order_by`` then every other column as tie-break.
 
-    Exact and deterministic on distinct rows; fully identical rows are
-    interchangeable, so any order among them gives the same result multiset.
+    Exact and deterministic: the order is total on distinct rows, and copies
+    of a row are interchangeable.  Every column must be groupable (no map or
+    vector columns); project them away first.
     """
     group_cols = list(group_cols)
+    bad = [f.name for f in df.schema.fields if not _orderable(f.dataType)]
+    if bad:
+        raise ValueError(f"rank_within_groups needs groupable columns; drop {bad} first")
+    cols = df.columns
     used = set(group_cols) | _names(order_by)
     keys = _asc(group_cols) + _asc(order_by) + _tiebreak(df, used)
-    cols = df.columns
+    gkey = F.struct(*[F.col(g) for g in group_cols]) if group_cols else F.lit(0)
 
-    ordered = (
-        df.withColumn(_SEQ, F.monotonically_increasing_id())  # splits runs of identical rows
-        .orderBy(*keys, F.col(_SEQ))
-        .withColumn(_ID, F.monotonically_increasing_id())
-    )
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(_MULT))
+    ordered = counted.orderBy(*keys).withColumn(_ID, F.monotonically_increasing_id())
     tagged = materialize(
         ordered.select(
             *cols,
+            _MULT,
             F.shiftright(F.col(_ID), _LOC_BITS).alias(_PART),
             F.col(_ID).bitwiseAND(F.lit((1 << _LOC_BITS) - 1)).alias(_LOC),
+            gkey.alias(_GK),
         )
     )
 
-    stats = tagged.groupBy(_PART, *group_cols).agg(F.count(F.lit(1)).alias(_CNT), F.min(_LOC).alias(_LO))
-    by_part = Window.partitionBy(*group_cols).orderBy(_PART) if group_cols else Window.orderBy(_PART)
-    stats = stats.withColumn(
-        _BEFORE,
-        F.coalesce(F.sum(_CNT).over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
+    stats = tagged.groupBy(_PART, _GK).agg(F.sum(_MULT).alias(_CNT))
+    earlier = Window.partitionBy(_GK).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn(_BEFORE, F.coalesce(F.sum(_CNT).over(earlier), F.lit(0)))
     if size_col:
-        whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
-        stats = stats.withColumn(size_col, F.sum(_CNT).over(whole))
-
-    renamed = {g: f"__rk_g{i}" for i, g in enumerate(group_cols)}
-    right = stats.select(
-        F.col(_PART).alias("__rk_rpart"),
-        *[F.col(g).alias(r) for g, r in renamed.items()],
-        _LO,
-        _BEFORE,
-        *([size_col] if size_col else []),
-    )
-    if not group_cols:
-        # one row per partition: a size bound that does not grow with the data
-        right = F.broadcast(right)
-    cond = [tagged[_PART] == right["__rk_rpart"]] + [tagged[g].eqNullSafe(right[r]) for g, r in renamed.items()]
-    joined = tagged.join(right, cond, "inner")
-    out_cols = [tagged[c] for c in cols]
-    rank = (right[_BEFORE] + tagged[_LOC] - right[_LO]).cast("bigint").alias(rank_col)
-    extra = [right[size_col].cast("bigint").alias(size_col)] if size_col else []
-    return joined.select(*out_cols, rank, *extra)
+        stats = stats.withColumn(size_col, F.sum(_CNT).over(Window.partitionBy(_GK)))
+    stats = stats.drop(_CNT)
+
+    # equi-join on (partition, group struct): struct equality is null-safe,
+    # and the window below reuses the join's partitioning (no extra shuffle)
+    joined = tagged.join(stats, [_PART, _GK], "inner")
+    run = Window.partitionBy(_PART, _GK).orderBy(_LOC).rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.withColumn(_LOCAL, F.coalesce(F.sum(_MULT).over(run), F.lit(0)))
+    extra = [F.col(size_col).cast("bigint").alias(size_col)] if size_col else []
+    return joined.select(
+        *cols,
+        (F.col(_BEFORE) + F.col(_LOCAL)).alias("__rk_base"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(_MULT) - 1)).alias(_I),
+        *extra,
+    ).select(*cols, (F.col("__rk_base") + F.col(_I)).cast("bigint").alias(rank_col), *[F.col(size_col)] if size_col else [])
 
 
 def global_position(df: DataFrame, order_by: Sequence[OrderSpec], pos_col: str = "pos") -> DataFrame:

@@ -57,3 +57,22 @@ def test_top_n_per_group_plan_and_result(spark):
     assert sorted(map(tuple, got[["g", "item", "qty"]].values.tolist())) == sorted(
         map(tuple, exp[["g", "item", "qty"]].values.tolist())
     )
+
+
+def test_rank_with_a_third_of_rows_identical(spark):
+    rows = [(1, 7, 2.0)] * 1500 + [(1, i, 1.0) for i in range(1500)] + [(2, i % 40, 1.0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g int, item int, qty double").repartition(6)
+    got = rank_within_groups(df, ["g"], ["item"], size_col="n").collect()
+    assert len(got) == len(rows)
+    by_g = {}
+    for r in got:
+        by_g.setdefault(r["g"], []).append((r["rank"], r["item"], r["qty"], r["n"]))
+    for g, lst in by_g.items():
+        lst.sort()
+        assert [x[0] for x in lst] == list(range(len(lst)))  # a permutation of 0..n-1
+        assert all(x[3] == len(lst) for x in lst)
+        items = [(x[1], x[2]) for x in lst]
+        assert items == sorted(items)  # ranks follow (item, qty) order
+    # the copies occupy one contiguous block of positions
+    hot = sorted(r["rank"] for r in got if r["g"] == 1 and r["item"] == 7 and r["qty"] == 2.0)
+    assert hot == list(range(hot[0], hot[0] + 1500))
