@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.operators.ranking import top_n_per_group
+from cartlens.operators.ratings import index_items
 
 # Fixed values of the workload: implicit ALS with rank 10, 10 iterations,
 # lambda 0.01, alpha 1.0, and 30 recommendations per user.
@@ -79,6 +80,37 @@ def recommend_all_users(
     )
 
 
+def recommend_top_n(
+    ratings: DataFrame,
+    n: int = TOP_N,
+    user_col: str = "user_id",
+    item_col: str = "item_id",
+    rating_col: str = "qty",
+    encode_items: bool | None = None,
+    **als_kwargs,
+) -> DataFrame:
+    """Fit implicit ALS and return the top-``n`` list of every user.
+
+    Items that are not 32-bit integers (string codes, wide ids) are mapped
+    through a collision-free dictionary built with a distributed sort, and
+    mapped back in the output; ``encode_items=None`` decides from the column
+    type.  The dictionary join is left to the planner: broadcast only when
+    its measured size is small.
+    """
+    dtype = dict(ratings.dtypes)[item_col]
+    if encode_items is None:
+        encode_items = dtype not in ("int", "smallint", "tinyint")
+    if not encode_items:
+        model = fit_implicit_als(ratings, user_col=user_col, item_col=item_col, rating_col=rating_col, **als_kwargs)
+        return recommend_all_users(model, n, user_col, item_col)
+    dictionary = index_items(ratings, item_col=item_col, index_col="__item_idx")
+    encoded = ratings.join(dictionary, item_col).select(user_col, F.col("__item_idx"), rating_col)
+    model = fit_implicit_als(encoded, user_col=user_col, item_col="__item_idx", rating_col=rating_col, **als_kwargs)
+    recs = recommend_all_users(model, n, user_col, "__item_idx")
+    decoded = recs.join(dictionary.select(F.col("__item_idx").cast("bigint").alias("__item_idx"), item_col), "__item_idx")
+    return decoded.select(user_col, "rank", item_col, "score")
+
+
 def truncate_top_k(recs: DataFrame, k: int, rank_col: str = "rank") -> DataFrame:
     """First ``k`` entries of every ranked list."""
     return recs.where(F.col(rank_col) < k)

@@ -42,3 +42,23 @@ def test_entry_runs(spark):
     assert df.columns == ["user_id", "rank", "item_id", "score"]
     rows = df.collect()
     assert len(rows) > 0 and max(r["rank"] for r in rows) < 10
+
+
+def test_recommend_top_n_with_string_codes(spark, tmp_dir):
+    import os
+
+    from cartlens.operators.recommend import recommend_top_n
+    from cartlens.sources import read_ratings
+
+    rows = load_ratings(spark, SF001).collect()
+    path = os.path.join(tmp_dir, "codes.txt")
+    with open(path, "w") as fh:
+        for r in rows:
+            fh.write(f"{r['user_id']};PART-{r['item_id']:05d};{r['qty']}\n")
+    ratings = read_ratings(spark, path, item_ids="code")
+    recs = recommend_top_n(ratings, 5, item_col="item_code", seed=3)
+    got = recs.collect()
+    assert {r["item_code"][:5] for r in got} == {"PART-"}
+    assert len(got) == 150 * 5
+    codes = {f"PART-{r['item_id']:05d}" for r in rows}
+    assert {r["item_code"] for r in got} <= codes
