@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from cartlens.operators.relations import (
     segment_clusters,
     user_attribute_qty,
 )
-from cartlens.operators.vectors import fill_missing_zero, numeric_columns_to_vector, pivot_wide
+from cartlens.operators.vectors import fill_missing_zero, numeric_columns_to_vector, pivot_wide, row_to_key_and_array
 from cartlens.plans import oracle_sql as q
 from cartlens.plans.cv import evaluate_cv, evaluate_cv_by_cluster, evaluate_cv_top_sellers, prepare_folds
 from cartlens.plans.segmentation import customer_vectors, embedding_vectors
@@ -209,6 +210,13 @@ def q_user_brand_pivot_filled(spark, sf):
     return fill_missing_zero(wide, [c for c in wide.columns if c != "user_id"])
 
 
+def q_user_brand_arrays(spark, sf):
+    """Zero-filled wide rows as ``(user_id, values)``: the array feeding dense vectors."""
+    wide = pivot_wide(_brand_qty(spark, sf), "user_id", "attr", "qty", agg="first")
+    filled = fill_missing_zero(wide, [c for c in wide.columns if c != "user_id"])
+    return row_to_key_and_array(filled, "user_id")
+
+
 # ---------------------------------------------------------------- baskets
 
 
@@ -326,13 +334,18 @@ def q_segment_users(spark, sf):
     return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine")
 
 
+def _vectors_as_arrays(df, col="features"):
+    # vectors leave the registered query as plain arrays, readable by any collector
+    return df.withColumn(col, vector_to_array(F.col(col)))
+
+
 def q_user_item_vectors(spark, sf):
-    return customer_vectors(spark, sf, "item")
+    return _vectors_as_arrays(customer_vectors(spark, sf, "item"))
 
 
 def q_numeric_columns_to_vector(spark, sf):
     cust = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
-    return numeric_columns_to_vector(cust, keep=["c_custkey"])
+    return _vectors_as_arrays(numeric_columns_to_vector(cust, keep=["c_custkey"]))
 
 
 SPARK_QUERIES: dict[str, Query] = {
@@ -360,6 +373,7 @@ SPARK_QUERIES: dict[str, Query] = {
     "cv_summary_by_cluster": q_cv_summary_by_cluster,
     "user_brand_pivot": q_user_brand_pivot,
     "user_brand_pivot_filled": q_user_brand_pivot_filled,
+    "user_brand_arrays": q_user_brand_arrays,
     "basket_parse": q_basket_parse,
     "frequent_itemsets": q_frequent_itemsets,
     "frequent_itemsets_brand": q_frequent_itemsets_brand,
@@ -447,6 +461,14 @@ SELECT * FROM (PIVOT ubq ON attr USING first(qty) GROUP BY user_id)""",
     "user_brand_pivot_filled": f"""WITH {q.RATINGS},
 ubq AS (SELECT r.user_id, p.p_brand AS attr, SUM(r.qty) AS qty FROM ratings r JOIN part p ON p.p_partkey = r.item_id GROUP BY 1, 2)
 SELECT * FROM (PIVOT ubq ON attr USING coalesce(first(qty), 0.0) GROUP BY user_id)""",
+    "user_brand_arrays": f"""WITH {q.RATINGS},
+ubq AS (SELECT r.user_id, p.p_brand AS attr, SUM(r.qty) AS qty FROM ratings r JOIN part p ON p.p_partkey = r.item_id GROUP BY 1, 2),
+users AS (SELECT DISTINCT user_id FROM ubq),
+attrs AS (SELECT DISTINCT attr FROM ubq),
+grid AS (SELECT u.user_id, a.attr FROM users u CROSS JOIN attrs a)
+SELECT g.user_id, list(COALESCE(CAST(b.qty AS DOUBLE), 0.0) ORDER BY g.attr) AS "values"
+FROM grid g LEFT JOIN ubq b ON b.user_id = g.user_id AND b.attr = g.attr
+GROUP BY g.user_id""",
     "basket_parse": """WITH cells AS (
   SELECT DISTINCT l.l_orderkey AS basket_id, l.l_linestatus, p.p_type
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
