@@ -12,11 +12,13 @@ the grid, no repeated mining.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.strings import items_to_text
+from cartlens.session import materialize
 
 # Fixed values of the workload: minimum confidence 0.2; supports
 # 0.001, 0.002, ... 0.200 computed as i / 1000.0 for i = 1..200.
@@ -73,6 +75,60 @@ def association_rules(model: FPGrowthModel, n_baskets: Column) -> DataFrame:
     )
 
 
+def rules_from_itemsets(itemsets: DataFrame, n_baskets: Column, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Association rules with a one-item consequent, derived from frequent
+    itemsets with DataFrame operations (same definition as Spark ML):
+    ``confidence = freq(S) / freq(S - {y})``, ``lift = confidence / support({y})``.
+
+    Works on a checkpointed itemset table, so the mining is never redone.
+    Output ``(antecedent, consequent, confidence, lift, freq)``; ``freq`` is
+    the count of the full item set.
+    """
+    cand = itemsets.where(F.col("size") >= 2).select("items", "freq", F.explode("items").alias("__y"))
+    cand = cand.select(
+        F.array_remove("items", F.col("__y")).alias("antecedent"), F.col("__y"), F.col("freq")
+    )
+    ante = itemsets.select(F.col("items").alias("antecedent"), F.col("freq").alias("__af"))
+    single = itemsets.where(F.col("size") == 1).select(F.col("items")[0].alias("__y"), F.col("freq").alias("__yf"))
+    rules = (
+        cand.join(ante, "antecedent")
+        .withColumn("confidence", F.col("freq").cast("double") / F.col("__af").cast("double"))
+        .where(F.col("confidence") >= F.lit(min_confidence))
+        .join(single, "__y")
+    )
+    return rules.select(
+        "antecedent",
+        F.array(F.col("__y")).alias("consequent"),
+        "confidence",
+        (F.col("confidence") / (F.col("__yf").cast("double") / n_baskets.cast("double"))).alias("lift"),
+        F.col("freq").cast("bigint").alias("freq"),
+    )
+
+
+def mine_once(
+    baskets: DataFrame,
+    min_support: float,
+    num_partitions: int | None = None,
+    items_col: str = "items",
+) -> tuple[DataFrame, int]:
+    """Mine frequent itemsets once and freeze them.
+
+    Spark ML keeps the itemsets of a fitted model lazy over the training
+    input, which it unpersists after ``fit`` — every later use would mine
+    again from the source tables.  Here the baskets stay persisted for the
+    fit and the itemsets are checkpointed before they are released.
+    Returns ``(itemsets, n_baskets)``.
+    """
+    data = baskets.select(items_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = data.count()
+        model = mine_frequent_itemsets(data, min_support, num_partitions=num_partitions, items_col=items_col)
+        itemsets = materialize(frequent_itemsets(model))
+    finally:
+        data.unpersist()
+    return itemsets, n
+
+
 def itemsets_by_freq(itemsets: DataFrame) -> DataFrame:
     """Most frequent first; ties by the item text."""
     return itemsets.orderBy(F.col("freq").desc(), items_to_text("items"))
@@ -154,8 +210,8 @@ def mine_support_sweep(
     min_confidence: float = MIN_CONFIDENCE,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """One FP-growth fit at the smallest grid support, expanded over the grid."""
-    n = baskets.select(F.count(F.lit(1))).scalar()
-    model = mine_frequent_itemsets(baskets, 1.0 / denominator, min_confidence, num_partitions)
-    swept_items, swept_rules = support_sweep(frequent_itemsets(model), association_rules(model, n), n, steps, denominator)
+    """One FP-growth pass at the smallest grid support, expanded over the grid."""
+    itemsets, n = mine_once(baskets, 1.0 / denominator, num_partitions)
+    rules = rules_from_itemsets(itemsets, F.lit(n), min_confidence)
+    swept_items, swept_rules = support_sweep(itemsets, rules, F.lit(n), steps, denominator)
     return rules_report(swept_items, swept_rules)

@@ -59,13 +59,17 @@ def top_share_items(
 
     The cut is a data-dependent number (half the catalogue), so it is not a
     ``limit`` — that would funnel every candidate through one task.  Items get
-    a global rank from a distributed sort; the cut is a scalar sub-query.
+    a global rank from a distributed sort; the item count comes out of the
+    same ranking.
     Output ``(item_id, total_qty, sales_rank)``.
     """
     totals = item_totals(df, item_col, qty_col)
-    ranked = global_position(totals, [F.col("total_qty").desc(), F.col(item_col).asc()], pos_col="sales_rank")
-    cut = totals.select(F.floor(F.count(F.lit(1)) * F.lit(share)).cast("bigint")).scalar()
-    return ranked.where(F.col("sales_rank") < cut)
+    ranked = rank_within_groups(
+        totals, [], [F.col("total_qty").desc(), F.col(item_col).asc()], rank_col="sales_rank", size_col="__n_items"
+    )
+    # the item count comes with the ranking (no second aggregation of the totals)
+    cut = F.floor(F.col("__n_items") * F.lit(share))
+    return ranked.where(F.col("sales_rank") < cut).drop("__n_items")
 
 
 def semi_join_items(df: DataFrame, items: DataFrame, item_col: str = "item_id") -> DataFrame:

@@ -239,10 +239,8 @@ def q_basket_parse(spark, sf):
 
 
 def _mined(spark, sf, attribute="p_type"):
-    b = load_baskets(spark, sf, attribute)
-    n = b.select(F.count(F.lit(1))).scalar()
-    model = bk.mine_frequent_itemsets(b, 1.0 / bk.SUPPORT_DENOMINATOR)
-    return bk.frequent_itemsets(model), bk.association_rules(model, n), n
+    itemsets, n = bk.mine_once(load_baskets(spark, sf, attribute), 1.0 / bk.SUPPORT_DENOMINATOR)
+    return itemsets, bk.rules_from_itemsets(itemsets, F.lit(n)), F.lit(n)
 
 
 def q_frequent_itemsets(spark, sf):
