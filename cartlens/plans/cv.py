@@ -30,6 +30,7 @@ from cartlens.operators.ratings import (
     semi_join_items,
     top_share_items,
 )
+from cartlens.session import materialize
 from cartlens.operators.recommend import (
     DEFAULT_SEED,
     TOP_N,
@@ -50,7 +51,8 @@ def prepare_folds(
     Scopes partition users, so a user's count is the same inside and outside
     the scope; the scope column is simply carried along."""
     active = filter_active_users(ratings, min_rows)
-    return assign_folds(active, n_folds=n_folds)
+    # every fold's fit and the evaluation read this frame: freeze it once
+    return materialize(assign_folds(active, n_folds=n_folds))
 
 
 def _als_recs(folded: DataFrame, fold: int, scope_col: str | None, scope_value, top_n: int, seed: int, als_params: dict) -> DataFrame:
