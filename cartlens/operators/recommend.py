@@ -23,6 +23,7 @@ ALS_REG_PARAM = 0.01
 ALS_ALPHA = 1.0
 TOP_N = 30
 DEFAULT_SEED = 42
+MAX_ALS_BLOCKS = 1000
 
 
 def fit_implicit_als(
@@ -37,11 +38,13 @@ def fit_implicit_als(
     rating_col: str = "qty",
     num_blocks: int | None = None,
 ) -> ALSModel:
-    """Fit implicit ALS.  Ids must fit in 32 bits (use ``index_items`` first
-    otherwise); ALS rejects larger ones.  ``num_blocks`` defaults to the
-    cluster's parallelism (at least 10) so factor blocks grow with the cluster."""
+    """Fit implicit ALS.  Ids must fit in 32 bits (use ``recommend_top_n`` /
+    ``index_items`` otherwise); ALS rejects larger ones.  ``num_blocks``
+    defaults to the cluster's parallelism, at least 10 and at most
+    ``MAX_ALS_BLOCKS``: factor exchange between blocks is all-to-all, so more
+    blocks than that only add messages."""
     spark = ratings.sparkSession
-    blocks = num_blocks or max(10, spark.sparkContext.defaultParallelism)
+    blocks = num_blocks or min(MAX_ALS_BLOCKS, max(10, spark.sparkContext.defaultParallelism))
     als = ALS(
         rank=rank,
         maxIter=max_iter,

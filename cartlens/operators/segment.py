@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.operators.recommend import DEFAULT_SEED
+from cartlens.session import materialize
 
 # Fixed values of the workload: cosine sweep over k = 2..45 and segment
 # outputs at k = 20, 30, 40; Euclidean sweep over k = 2..20.
@@ -109,14 +110,18 @@ def segment_users(
     if distance == "cosine":
         data = nonzero_vectors(data, features_col)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
-    for k in ks:
-        model = fit_kmeans(data, k, distance, seed, features_col=features_col)
-        labelled = model.transform(data).select(
-            F.lit(k).cast("int").alias("k"), F.col("cluster_number").cast("int").alias("cluster_number"), id_col
-        )
-        out = labelled if out is None else out.unionByName(labelled)
-    return out
+    try:
+        out = None
+        for k in ks:
+            model = fit_kmeans(data, k, distance, seed, features_col=features_col)
+            labelled = model.transform(data).select(
+                F.lit(k).cast("int").alias("k"), F.col("cluster_number").cast("int").alias("cluster_number"), id_col
+            )
+            out = labelled if out is None else out.unionByName(labelled)
+        # labels are frozen before the cached vectors are released
+        return materialize(out)
+    finally:
+        data.unpersist()
 
 
 def model_centroids(model: KMeansModel) -> DataFrame:
