@@ -104,20 +104,31 @@ def segment_users(
     seed: int = DEFAULT_SEED,
     id_col: str = "user_id",
     features_col: str = "features",
+    parallelism: int = 1,
 ) -> DataFrame:
-    """Fit one model per k and label every user: ``(k, cluster_number, user_id)``."""
+    """Fit one model per k and label every user: ``(k, cluster_number, user_id)``.
+    The fits are independent and can run ``parallelism`` at a time."""
     data = features.select(id_col, features_col)
     if distance == "cosine":
         data = nonzero_vectors(data, features_col)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        out = None
-        for k in ks:
+
+        def one(k: int) -> DataFrame:
             model = fit_kmeans(data, k, distance, seed, features_col=features_col)
-            labelled = model.transform(data).select(
+            return model.transform(data).select(
                 F.lit(k).cast("int").alias("k"), F.col("cluster_number").cast("int").alias("cluster_number"), id_col
             )
-            out = labelled if out is None else out.unionByName(labelled)
+
+        ks = list(ks)
+        if parallelism > 1:
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                parts = list(pool.map(one, ks))
+        else:
+            parts = [one(k) for k in ks]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
         # labels are frozen before the cached vectors are released
         return materialize(out)
     finally:

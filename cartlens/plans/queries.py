@@ -329,7 +329,7 @@ def q_kmeans_cost_curve_euclidean(spark, sf):
 
 
 def q_segment_users(spark, sf):
-    return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine")
+    return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine", parallelism=3)
 
 
 def _vectors_as_arrays(df, col="features"):
