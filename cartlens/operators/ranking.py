@@ -74,6 +74,25 @@ def _asc(spec: Sequence[OrderSpec]) -> list[Column]:
     return [F.col(s).asc_nulls_first() if isinstance(s, str) else s for s in spec]
 
 
+def sorted_distinct_rows(df: DataFrame, keys: Sequence[Column], group_key: Column) -> DataFrame:
+    """Steps 1-2: collapse copies into a multiplicity, range-sort the distinct
+    rows on ``keys`` and freeze ``(partition, position in partition)`` with a
+    checkpoint.  Columns: the input's, ``__rk_mult``, ``__rk_part``,
+    ``__rk_loc`` and ``__rk_gk`` (the group key)."""
+    cols = df.columns
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(_MULT))
+    ordered = counted.orderBy(*keys).withColumn(_ID, F.monotonically_increasing_id())
+    return materialize(
+        ordered.select(
+            *cols,
+            _MULT,
+            F.shiftright(F.col(_ID), _LOC_BITS).alias(_PART),
+            F.col(_ID).bitwiseAND(F.lit((1 << _LOC_BITS) - 1)).alias(_LOC),
+            group_key.alias(_GK),
+        )
+    )
+
+
 def rank_within_groups(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -97,17 +116,7 @@ def rank_within_groups(
     keys = _asc(group_cols) + _asc(order_by) + _tiebreak(df, used)
     gkey = F.struct(*[F.col(g) for g in group_cols]) if group_cols else F.lit(0)
 
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(_MULT))
-    ordered = counted.orderBy(*keys).withColumn(_ID, F.monotonically_increasing_id())
-    tagged = materialize(
-        ordered.select(
-            *cols,
-            _MULT,
-            F.shiftright(F.col(_ID), _LOC_BITS).alias(_PART),
-            F.col(_ID).bitwiseAND(F.lit((1 << _LOC_BITS) - 1)).alias(_LOC),
-            gkey.alias(_GK),
-        )
-    )
+    tagged = sorted_distinct_rows(df, keys, gkey)
 
     stats = tagged.groupBy(_PART, _GK).agg(F.sum(_MULT).alias(_CNT))
     earlier = Window.partitionBy(_GK).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)

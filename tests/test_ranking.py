@@ -76,3 +76,29 @@ def test_rank_with_a_third_of_rows_identical(spark):
     # the copies occupy one contiguous block of positions
     hot = sorted(r["rank"] for r in got if r["g"] == 1 and r["item"] == 7 and r["qty"] == 2.0)
     assert hot == list(range(hot[0], hot[0] + 1500))
+
+
+def test_hot_user_is_spread_over_partitions(spark):
+    """A user with a third of the rows must not land in one sorted partition."""
+    from pyspark.sql import functions as F
+
+    from cartlens.operators.ranking import sorted_distinct_rows
+
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500 + 1).alias("user_id"),
+        (F.col("id") * 7 % 9973).alias("item_id"),
+        F.col("id").cast("double").alias("qty"),
+    )
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keep the 8 range partitions visible
+    try:
+        tagged = sorted_distinct_rows(df, [F.col("user_id"), F.col("item_id"), F.col("qty")], F.struct("user_id"))
+        per_part = {r["__rk_part"]: (r["rows"], r["hot"]) for r in tagged.groupBy("__rk_part").agg(
+            F.sum("__rk_mult").alias("rows"), F.sum(F.when(F.col("user_id") == 0, F.col("__rk_mult"))).alias("hot")
+        ).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    hot_parts = [p for p, (_, hot) in per_part.items() if hot]
+    assert len(hot_parts) >= 2, per_part
+    assert max(rows for rows, _ in per_part.values()) <= 0.25 * n, per_part
