@@ -25,9 +25,10 @@ from cartlens.session import materialize
 MIN_CONFIDENCE = 0.2
 SUPPORT_STEPS = 200
 SUPPORT_DENOMINATOR = 1000.0
-# Row labels of the itemset/rule report.
+# Row labels and column names of the itemset/rule report.
 ITEMSET_LABEL = "FREQUENCIA"
 RULE_LABEL = "REGRA"
+REPORT_COLUMNS = ("SUPPORT", "TYPE", "ANTECEDENT/ITEMSET", "CONSEQUENT", "CONFIANCA/FREQ")
 
 
 def support_level(i: int | Column, denominator: float = SUPPORT_DENOMINATOR) -> Column:
@@ -192,14 +193,15 @@ def rules_report(swept_itemsets: DataFrame, swept_rules: DataFrame) -> DataFrame
 def report_strings(report: DataFrame) -> DataFrame:
     """Five text columns for the delimited sink: the frequency for itemset
     rows, the confidence for rule rows."""
+    support, kind, antecedent, consequent, value = REPORT_COLUMNS
     return report.select(
-        F.col("support").cast("string").alias("SUPPORT"),
-        F.col("type").alias("TYPE"),
-        F.col("antecedent_itemset").alias("ANTECEDENT/ITEMSET"),
-        F.col("consequent").alias("CONSEQUENT"),
+        F.col("support").cast("string").alias(support),
+        F.col("type").alias(kind),
+        F.col("antecedent_itemset").alias(antecedent),
+        F.col("consequent").alias(consequent),
         F.when(F.col("type") == ITEMSET_LABEL, F.col("freq").cast("string"))
         .otherwise(F.col("confidence").cast("string"))
-        .alias("CONFIANCA/FREQ"),
+        .alias(value),
     )
 
 

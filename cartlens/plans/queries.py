@@ -490,10 +490,10 @@ SELECT array_to_string(items, ', ') AS items_text, CAST(freq AS BIGINT) AS freq,
 SELECT array_to_string(antecedent, ', ') AS antecedent_text, consequent AS consequent_text,
        CAST(freq AS BIGINT) AS freq, ROUND(confidence, 6) AS confidence FROM rules""",
     "rules_report": f"""{W}{q.baskets('p_type')}, {q.SWEEP}
-SELECT support, 'FREQUENCIA' AS type, array_to_string(items, ', ') AS antecedent_itemset, '' AS consequent,
+SELECT support, '{bk.ITEMSET_LABEL}' AS type, array_to_string(items, ', ') AS antecedent_itemset, '' AS consequent,
        CAST(freq AS BIGINT) AS freq, CAST(NULL AS DOUBLE) AS confidence FROM swept_items
 UNION ALL
-SELECT support, 'REGRA' AS type, array_to_string(antecedent, ', ') AS antecedent_itemset, consequent,
+SELECT support, '{bk.RULE_LABEL}' AS type, array_to_string(antecedent, ', ') AS antecedent_itemset, consequent,
        CAST(freq AS BIGINT) AS freq, ROUND(confidence, 6) AS confidence FROM swept_rules""",
     "centroid_coordinates": f"""WITH {q.centroids()}
 SELECT label, CAST(pos AS INTEGER) AS pos, ROUND(m, 6) AS value FROM coords""",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlens.operators.baskets import mine_support_sweep
+from pyspark.sql import functions as F
+
+from cartlens.operators.baskets import ITEMSET_LABEL, mine_support_sweep, report_strings
 from cartlens.operators.relations import load_baskets
 from cartlens.sources.sinks import write_delimited
-from cartlens.operators.baskets import report_strings
 
 
 def basket_rules_report(spark: SparkSession, sf_dir: str, attribute: str = "p_type", num_partitions: int | None = None) -> DataFrame:
@@ -15,10 +16,10 @@ def basket_rules_report(spark: SparkSession, sf_dir: str, attribute: str = "p_ty
 
 
 def write_rules_report(report: DataFrame, path: str, single_file: bool = False) -> None:
-    """Text report, grouped by support, itemsets before rules, most frequent /
-    most confident first."""
-    write_delimited(
-        report_strings(report.orderBy("support", "type", "freq", "confidence", "antecedent_itemset", "consequent")),
-        path,
-        single_file=single_file,
+    """Text report: supports ascending; inside each, itemsets (most frequent
+    first) then rules (most confident first); ties by item text."""
+    strength = F.when(F.col("type") == ITEMSET_LABEL, F.col("freq").cast("double")).otherwise(F.col("confidence"))
+    ordered = report.orderBy(
+        F.col("support").asc(), F.col("type").asc(), strength.desc(), F.col("antecedent_itemset"), F.col("consequent")
     )
+    write_delimited(report_strings(ordered), path, single_file=single_file)

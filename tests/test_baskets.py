@@ -67,6 +67,7 @@ def test_report_strings(spark):
     b = _b(spark, [["a", "b"], ["a", "b"], ["a"], ["b", "c"]])
     rep = bk.report_strings(bk.mine_support_sweep(b, steps=2, denominator=4.0))
     rows = rep.collect()
-    assert rep.columns == ["SUPPORT", "TYPE", "ANTECEDENT/ITEMSET", "CONSEQUENT", "CONFIANCA/FREQ"]
-    assert ("0.25", "FREQUENCIA", "a, b", "", "2") in {tuple(r) for r in rows}
-    assert any(r["TYPE"] == "REGRA" and r["ANTECEDENT/ITEMSET"] == "a" for r in rows)
+    assert rep.columns == list(bk.REPORT_COLUMNS)
+    assert ("0.25", bk.ITEMSET_LABEL, "a, b", "", "2") in {tuple(r) for r in rows}
+    kind, antecedent = bk.REPORT_COLUMNS[1], bk.REPORT_COLUMNS[2]
+    assert any(r[kind] == bk.RULE_LABEL and r[antecedent] == "a" for r in rows)

@@ -9,6 +9,7 @@ from cartlens.operators.segment import segment_users
 from cartlens.plans.rules import basket_rules_report, write_rules_report
 from cartlens.plans.wide_table import write_wide_table
 from cartlens.sources import read_cluster_assignments
+from cartlens.operators import baskets as bk
 
 from .conftest import SF001
 
@@ -46,10 +47,26 @@ def test_report_writers(spark, tmp_dir):
     out = os.path.join(tmp_dir, "rules")
     write_rules_report(report, out, single_file=True)
     back = spark.read.option("sep", ";").option("header", True).csv(out)
-    assert back.columns == ["SUPPORT", "TYPE", "ANTECEDENT/ITEMSET", "CONSEQUENT", "CONFIANCA/FREQ"]
+    assert back.columns == list(bk.REPORT_COLUMNS)
     assert back.count() == report.count()
     wide = os.path.join(tmp_dir, "wide")
     small = load_ratings(spark, SF001).where(F.col("item_id") < 20)
     write_wide_table(small, wide, single_file=True)
     back = spark.read.option("sep", ";").option("header", True).csv(wide)
     assert back.columns[0] == "user_id" and len(back.columns) == 1 + small.select("item_id").distinct().count()
+
+
+def test_rules_report_order(spark, tmp_dir):
+    report = basket_rules_report(spark, SF001, "p_type")
+    out = os.path.join(tmp_dir, "rules-ordered")
+    write_rules_report(report, out, single_file=True)
+    import glob
+
+    lines = open(glob.glob(os.path.join(out, "part-*"))[0]).read().splitlines()[1:]
+    rows = [ln.split(";") for ln in lines]
+    first = [r for r in rows if r[0] == rows[0][0]]
+    kinds = [r[1] for r in first]
+    assert kinds == sorted(kinds)  # itemsets, then rules
+    freqs = [int(r[4]) for r in first if r[1] == bk.ITEMSET_LABEL]
+    confs = [float(r[4]) for r in first if r[1] == bk.RULE_LABEL]
+    assert freqs == sorted(freqs, reverse=True) and confs == sorted(confs, reverse=True)

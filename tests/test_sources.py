@@ -53,8 +53,11 @@ def test_read_purchases_int_items(spark, tmp_dir):
 def test_read_cluster_assignments_multi_file(spark, tmp_dir):
     d = os.path.join(tmp_dir, "clusters")
     os.makedirs(d)
-    _write(os.path.join(d, "part-0.csv"), "cluster_number;id_cliente_agrupado\n0;5\n1;7\n")
-    _write(os.path.join(d, "part-1.csv"), "cluster_number;id_cliente_agrupado\n1;9\n")
+    from cartlens.sources.text import CLUSTER_FILE_HEADER
+
+    header = ";".join(CLUSTER_FILE_HEADER)
+    _write(os.path.join(d, "part-0.csv"), f"{header}\n0;5\n1;7\n")
+    _write(os.path.join(d, "part-1.csv"), f"{header}\n1;9\n")
     rows = sorted(tuple(r) for r in read_cluster_assignments(spark, d).collect())
     assert rows == [(0, 5), (1, 7), (1, 9)]
 
