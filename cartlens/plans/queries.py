@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cartlens.functions.strings import jvm_string_hash, parse_basket_line
 from cartlens.operators import baskets as bk
 from cartlens.operators import segment as sg
-from cartlens.operators.evaluate import cv_summary, precision_recall_at_k, recommendation_hits
+from cartlens.operators.evaluate import precision_recall_at_k, recommendation_hits
 from cartlens.operators.folds import assign_folds, fold_test, fold_train
 from cartlens.operators.ratings import (
     best_seller_ratings,

@@ -4,7 +4,6 @@ import os
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
 
 from cartlens.sources import (
     load_kmeans_model,
