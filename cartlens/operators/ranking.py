@@ -130,13 +130,16 @@ def rank_within_groups(
     joined = tagged.join(stats, [_PART, _GK], "inner")
     run = Window.partitionBy(_PART, _GK).orderBy(_LOC).rowsBetween(Window.unboundedPreceding, -1)
     joined = joined.withColumn(_LOCAL, F.coalesce(F.sum(_MULT).over(run), F.lit(0)))
-    extra = [F.col(size_col).cast("bigint").alias(size_col)] if size_col else []
-    return joined.select(
+    size = [F.col(size_col).cast("bigint").alias(size_col)] if size_col else []
+    # step 4: every copy of a distinct row takes the next position
+    expanded = joined.select(
         *cols,
         (F.col(_BEFORE) + F.col(_LOCAL)).alias("__rk_base"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(_MULT) - 1)).alias(_I),
-        *extra,
-    ).select(*cols, (F.col("__rk_base") + F.col(_I)).cast("bigint").alias(rank_col), *[F.col(size_col)] if size_col else [])
+        *size,
+    )
+    rank = (F.col("__rk_base") + F.col(_I)).cast("bigint").alias(rank_col)
+    return expanded.select(*cols, rank, *([size_col] if size_col else []))
 
 
 def global_position(df: DataFrame, order_by: Sequence[OrderSpec], pos_col: str = "pos") -> DataFrame:
