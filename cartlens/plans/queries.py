@@ -54,6 +54,9 @@ from cartlens.sources.tables import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 TEST_FOLD = 0  # fold shown by the train/test split queries
+# independent model fits (folds x clusters, k values) submitted concurrently;
+# the fits are small at test scale, so concurrency fills idle cores
+FIT_PARALLELISM = 8
 
 
 def _r6(c: str):
@@ -307,29 +310,29 @@ def q_als_recommendations(spark, sf):
 
 
 def q_als_cv_summary(spark, sf):
-    return evaluate_cv(load_ratings(spark, sf), recommender="als", parallelism=4)[1]
+    return evaluate_cv(load_ratings(spark, sf), recommender="als", parallelism=FIT_PARALLELISM)[1]
 
 
 def q_als_cv_summary_top_sellers(spark, sf):
-    return evaluate_cv_top_sellers(load_ratings(spark, sf), recommender="als", parallelism=4)[1]
+    return evaluate_cv_top_sellers(load_ratings(spark, sf), recommender="als", parallelism=FIT_PARALLELISM)[1]
 
 
 def q_als_cv_summary_by_segment(spark, sf):
     """ALS evaluated inside customer segments; the market segment of the
     customer table stands in for a clustering result."""
-    return evaluate_cv_by_cluster(load_ratings(spark, sf), segment_clusters(spark, sf), recommender="als", parallelism=4)[1]
+    return evaluate_cv_by_cluster(load_ratings(spark, sf), segment_clusters(spark, sf), recommender="als", parallelism=FIT_PARALLELISM)[1]
 
 
 def q_kmeans_cost_curve_cosine(spark, sf):
-    return sg.kmeans_cost_curve(customer_vectors(spark, sf, "p_brand"), sg.COSINE_SWEEP, "cosine", parallelism=4)
+    return sg.kmeans_cost_curve(customer_vectors(spark, sf, "p_brand"), sg.COSINE_SWEEP, "cosine", parallelism=FIT_PARALLELISM)
 
 
 def q_kmeans_cost_curve_euclidean(spark, sf):
-    return sg.kmeans_cost_curve(embedding_vectors(spark, sf), sg.EUCLIDEAN_SWEEP, "euclidean", parallelism=4)
+    return sg.kmeans_cost_curve(embedding_vectors(spark, sf), sg.EUCLIDEAN_SWEEP, "euclidean", parallelism=FIT_PARALLELISM)
 
 
 def q_segment_users(spark, sf):
-    return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine", parallelism=3)
+    return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine", parallelism=FIT_PARALLELISM)
 
 
 def _vectors_as_arrays(df, col="features"):
