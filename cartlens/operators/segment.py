@@ -29,6 +29,15 @@ SEGMENT_KS = (20, 30, 40)
 EUCLIDEAN_SWEEP = tuple(range(2, 21))
 
 
+def _fit_input(data: DataFrame) -> DataFrame:
+    """Iterative fits launch one task per partition per iteration: keep at most
+    one partition per core (a narrow coalesce, no shuffle; a no-op when there
+    are fewer) and cache.  The cached plan does not get AQE's partition
+    coalescing, so without this it keeps every shuffle partition."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data.coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def nonzero_vectors(features: DataFrame, features_col: str = "features") -> DataFrame:
     """Drop all-zero vectors (cosine distance is undefined for them)."""
     arr = vector_to_array(F.col(features_col))
@@ -76,7 +85,7 @@ def kmeans_cost_curve(
     data = features.select(features_col)
     if distance == "cosine":
         data = nonzero_vectors(data, features_col)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _fit_input(data)
     try:
         ks = list(ks)
 
@@ -111,7 +120,7 @@ def segment_users(
     data = features.select(id_col, features_col)
     if distance == "cosine":
         data = nonzero_vectors(data, features_col)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _fit_input(data)
     try:
 
         def one(k: int) -> DataFrame:
