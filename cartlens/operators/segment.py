@@ -68,42 +68,85 @@ def fit_kmeans(
     return km.fit(features)
 
 
-def kmeans_cost_curve(
+def kmeans_sweep(
     features: DataFrame,
     ks: Iterable[int],
     distance: str = "cosine",
     seed: int = DEFAULT_SEED,
     parallelism: int = 1,
+    segment_ks: Iterable[int] = (),
+    model_dir: str | None = None,
+    id_col: str = "user_id",
     features_col: str = "features",
-) -> DataFrame:
-    """``(k INT, distance STRING, cost DOUBLE)``: training cost of a fit per k.
+) -> tuple[DataFrame, DataFrame | None]:
+    """One fit per k in ``ks`` ∪ ``segment_ks``.
+
+    Returns the cost curve ``(k INT, distance STRING, cost DOUBLE)`` over
+    ``ks`` and, when ``segment_ks`` is given, the labels
+    ``(k, cluster_number, user_id)`` of those models — a segment k that is
+    also swept reuses the sweep's model instead of refitting.  With
+    ``model_dir`` every model is saved to ``model_dir/k-<k>``.
 
     The cost list has one number per k (a parameter-sized result), so it is
-    assembled on the driver; the fits themselves are distributed jobs, run
-    ``parallelism`` at a time.
+    assembled on the driver; the fits are distributed jobs, run
+    ``parallelism`` at a time on one cached copy of the vectors.
     """
-    data = features.select(features_col)
+    ks, segment_ks = list(ks), list(segment_ks)
+    cols = [id_col, features_col] if segment_ks else [features_col]
+    data = features.select(*cols)
     if distance == "cosine":
         data = nonzero_vectors(data, features_col)
     data = _fit_input(data)
     try:
-        ks = list(ks)
 
-        def one(k: int) -> tuple[int, str, float]:
+        def one(k: int):
             model = fit_kmeans(data, k, distance, seed, features_col=features_col)
-            return k, distance, float(model.summary.trainingCost)
-
+            if model_dir:
+                model.write().overwrite().save(f"{model_dir.rstrip('/')}/k-{k}")
+            labels = None
+            if k in segment_ks:
+                labels = model.transform(data).select(
+                    F.lit(k).cast("int").alias("k"), F.col("cluster_number").cast("int").alias("cluster_number"), id_col
+                )
+            return k, float(model.summary.trainingCost), labels
+
+        todo = ks + [k for k in segment_ks if k not in ks]
         if parallelism > 1:
             with ThreadPoolExecutor(max_workers=parallelism) as pool:
-                rows = list(pool.map(one, ks))
+                fitted = list(pool.map(one, todo))
         else:
-            rows = [one(k) for k in ks]
+            fitted = [one(k) for k in todo]
+        segments = None
+        parts = [labels for _, _, labels in fitted if labels is not None]
+        if parts:
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            # labels are frozen before the cached vectors are released
+            segments = materialize(out)
     finally:
         data.unpersist()
     schema = T.StructType(
         [T.StructField("k", T.IntegerType()), T.StructField("distance", T.StringType()), T.StructField("cost", T.DoubleType())]
     )
-    return features.sparkSession.createDataFrame(rows, schema)
+    curve_rows = [(k, distance, cost) for k, cost, _ in fitted if k in ks]
+    curve = features.sparkSession.createDataFrame(curve_rows, schema)
+    return curve, segments
+
+
+def kmeans_cost_curve(
+    features: DataFrame,
+    ks: Iterable[int],
+    distance: str = "cosine",
+    seed: int = DEFAULT_SEED,
+    parallelism: int = 1,
+    features_col: str = "features",
+    model_dir: str | None = None,
+) -> DataFrame:
+    """``(k INT, distance STRING, cost DOUBLE)``: training cost of a fit per k."""
+    return kmeans_sweep(
+        features, ks, distance, seed, parallelism, model_dir=model_dir, features_col=features_col
+    )[0]
 
 
 def segment_users(
@@ -114,34 +157,12 @@ def segment_users(
     id_col: str = "user_id",
     features_col: str = "features",
     parallelism: int = 1,
+    model_dir: str | None = None,
 ) -> DataFrame:
-    """Fit one model per k and label every user: ``(k, cluster_number, user_id)``.
-    The fits are independent and can run ``parallelism`` at a time."""
-    data = features.select(id_col, features_col)
-    if distance == "cosine":
-        data = nonzero_vectors(data, features_col)
-    data = _fit_input(data)
-    try:
-
-        def one(k: int) -> DataFrame:
-            model = fit_kmeans(data, k, distance, seed, features_col=features_col)
-            return model.transform(data).select(
-                F.lit(k).cast("int").alias("k"), F.col("cluster_number").cast("int").alias("cluster_number"), id_col
-            )
-
-        ks = list(ks)
-        if parallelism > 1:
-            with ThreadPoolExecutor(max_workers=parallelism) as pool:
-                parts = list(pool.map(one, ks))
-        else:
-            parts = [one(k) for k in ks]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        # labels are frozen before the cached vectors are released
-        return materialize(out)
-    finally:
-        data.unpersist()
+    """Fit one model per k and label every user: ``(k, cluster_number, user_id)``."""
+    return kmeans_sweep(
+        features, [], distance, seed, parallelism, segment_ks=ks, model_dir=model_dir, id_col=id_col, features_col=features_col
+    )[1]
 
 
 def model_centroids(model: KMeansModel) -> DataFrame:

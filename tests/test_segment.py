@@ -65,3 +65,22 @@ def test_sparse_item_vectors(spark):
     r = load_ratings(spark, SF001)
     nnz = sum(len(x["features"].indices) for x in feats.collect())
     assert nnz == r.where("qty != 0").count()
+
+
+def test_sweep_reuses_models_and_saves_them(spark, tmp_dir):
+    import os
+
+    from cartlens.plans.segmentation import segmentation
+    from cartlens.sources import load_kmeans_model
+
+    feats = customer_vectors(spark, SF001, "p_brand")
+    models = os.path.join(tmp_dir, "models")
+    curve, segs = segmentation(feats, [2, 3, 4], [3, 6], "cosine", seed=9, parallelism=2, model_dir=models)
+    assert sorted(r["k"] for r in curve.collect()) == [2, 3, 4]
+    assert sorted(r["k"] for r in segs.select("k").distinct().collect()) == [3, 6]
+    assert sorted(os.listdir(models)) == ["k-2", "k-3", "k-4", "k-6"]
+    # the k=3 labels come from the saved sweep model
+    m3 = load_kmeans_model(os.path.join(models, "k-3"))
+    pred = {r["user_id"]: r["cluster_number"] for r in m3.setPredictionCol("cluster_number").transform(sg.nonzero_vectors(feats)).collect()}
+    got = {r["user_id"]: r["cluster_number"] for r in segs.where("k = 3").collect()}
+    assert got == pred
