@@ -83,35 +83,75 @@ def recommend_all_users(
     )
 
 
+_INT_TYPES = ("int", "smallint", "tinyint")
+_INT_MIN, _INT_MAX = -(2**31), 2**31 - 1
+
+
+def ids_fit_int(df: DataFrame, cols: list[str]) -> bool:
+    """True when every value of ``cols`` fits ALS's 32-bit ids (one
+    aggregate pass for integral columns wider than int; False for strings)."""
+    types = dict(df.dtypes)
+    wide = [c for c in cols if types[c] not in _INT_TYPES]
+    if any(types[c] not in ("bigint", "decimal") and not types[c].startswith("decimal") for c in wide):
+        return False
+    if not wide:
+        return True
+    row = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(wide)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(wide)]).first()
+    return all(
+        (row[f"lo{i}"] is None or row[f"lo{i}"] >= _INT_MIN) and (row[f"hi{i}"] is None or row[f"hi{i}"] <= _INT_MAX)
+        for i in range(len(wide))
+    )
+
+
+class IdCodec:
+    """Collision-free dictionaries mapping user and item ids to dense 32-bit
+    ids for ALS, built with a distributed sort (``index_items``), and the
+    inverse mapping for recommendation lists.  The dictionary joins are left
+    to the planner: broadcast only when their measured size is small."""
+
+    USER, ITEM = "__user_idx", "__item_idx"
+
+    def __init__(self, ratings: DataFrame, user_col: str = "user_id", item_col: str = "item_id"):
+        self.user_col, self.item_col = user_col, item_col
+        self.users = index_items(ratings, item_col=user_col, index_col=self.USER)
+        self.items = index_items(ratings, item_col=item_col, index_col=self.ITEM)
+
+    def encode(self, ratings: DataFrame) -> DataFrame:
+        """Add the two dense id columns."""
+        return ratings.join(self.users, self.user_col).join(self.items, self.item_col)
+
+    def decode(self, recs: DataFrame) -> DataFrame:
+        """``(__user_idx, rank, __item_idx, score)`` -> original ids."""
+        users = self.users.select(F.col(self.USER).cast("bigint").alias(self.USER), self.user_col)
+        items = self.items.select(F.col(self.ITEM).cast("bigint").alias(self.ITEM), self.item_col)
+        out = recs.join(users, self.USER).join(items, self.ITEM)
+        return out.select(self.user_col, "rank", self.item_col, "score")
+
+
 def recommend_top_n(
     ratings: DataFrame,
     n: int = TOP_N,
     user_col: str = "user_id",
     item_col: str = "item_id",
     rating_col: str = "qty",
-    encode_items: bool | None = None,
+    encode_ids: bool | None = None,
     **als_kwargs,
 ) -> DataFrame:
     """Fit implicit ALS and return the top-``n`` list of every user.
 
-    Items that are not 32-bit integers (string codes, wide ids) are mapped
-    through a collision-free dictionary built with a distributed sort, and
-    mapped back in the output; ``encode_items=None`` decides from the column
-    type.  The dictionary join is left to the planner: broadcast only when
-    its measured size is small.
+    Ids that do not fit 32 bits (string codes, wide keys) are mapped through
+    collision-free dictionaries and mapped back in the output;
+    ``encode_ids=None`` decides with :func:`ids_fit_int`.
     """
-    dtype = dict(ratings.dtypes)[item_col]
-    if encode_items is None:
-        encode_items = dtype not in ("int", "smallint", "tinyint")
-    if not encode_items:
+    if encode_ids is None:
+        encode_ids = not ids_fit_int(ratings, [user_col, item_col])
+    if not encode_ids:
         model = fit_implicit_als(ratings, user_col=user_col, item_col=item_col, rating_col=rating_col, **als_kwargs)
         return recommend_all_users(model, n, user_col, item_col)
-    dictionary = index_items(ratings, item_col=item_col, index_col="__item_idx")
-    encoded = ratings.join(dictionary, item_col).select(user_col, F.col("__item_idx"), rating_col)
-    model = fit_implicit_als(encoded, user_col=user_col, item_col="__item_idx", rating_col=rating_col, **als_kwargs)
-    recs = recommend_all_users(model, n, user_col, "__item_idx")
-    decoded = recs.join(dictionary.select(F.col("__item_idx").cast("bigint").alias("__item_idx"), item_col), "__item_idx")
-    return decoded.select(user_col, "rank", item_col, "score")
+    codec = IdCodec(ratings, user_col, item_col)
+    encoded = codec.encode(ratings)
+    model = fit_implicit_als(encoded, user_col=IdCodec.USER, item_col=IdCodec.ITEM, rating_col=rating_col, **als_kwargs)
+    return codec.decode(recommend_all_users(model, n, IdCodec.USER, IdCodec.ITEM))
 
 
 def truncate_top_k(recs: DataFrame, k: int, rank_col: str = "rank") -> DataFrame:

@@ -34,7 +34,9 @@ from cartlens.session import materialize
 from cartlens.operators.recommend import (
     DEFAULT_SEED,
     TOP_N,
+    IdCodec,
     fit_implicit_als,
+    ids_fit_int,
     recommend_all_users,
     recommend_popular,
 )
@@ -55,12 +57,17 @@ def prepare_folds(
     return materialize(assign_folds(active, n_folds=n_folds))
 
 
-def _als_recs(folded: DataFrame, fold: int, scope_col: str | None, scope_value, top_n: int, seed: int, als_params: dict) -> DataFrame:
+def _als_recs(folded: DataFrame, fold: int, scope_col: str | None, scope_value, top_n: int, seed: int, als_params: dict, codec: IdCodec | None) -> DataFrame:
     train = folded.where(F.col("fold") != fold)
     if scope_col is not None:
         train = train.where(F.col(scope_col) == F.lit(scope_value))
-    model = fit_implicit_als(train, seed=seed, **als_params)
-    recs = recommend_all_users(model, top_n).withColumn("fold", F.lit(fold).cast("int"))
+    if codec is None:
+        model = fit_implicit_als(train, seed=seed, **als_params)
+        recs = recommend_all_users(model, top_n)
+    else:
+        model = fit_implicit_als(train, seed=seed, user_col=IdCodec.USER, item_col=IdCodec.ITEM, **als_params)
+        recs = codec.decode(recommend_all_users(model, top_n, IdCodec.USER, IdCodec.ITEM))
+    recs = recs.withColumn("fold", F.lit(fold).cast("int"))
     if scope_col is not None:
         recs = recs.withColumn(scope_col, F.lit(scope_value))
     return recs
@@ -75,8 +82,15 @@ def als_fold_recommendations(
     parallelism: int = 1,
     als_params: dict | None = None,
 ) -> DataFrame:
-    """Union of the top-``top_n`` lists of every (scope, fold) model."""
+    """Union of the top-``top_n`` lists of every (scope, fold) model.
+
+    When user or item ids do not fit ALS's 32 bits, the folded frame is
+    encoded once (dense dictionary ids, frozen) and every list decoded."""
     params = als_params or {}
+    codec = None
+    if not ids_fit_int(folded, ["user_id", "item_id"]):
+        codec = IdCodec(folded)
+        folded = materialize(codec.encode(folded))
     scopes = [None]
     if scope_col is not None:
         # one value per cluster: a parameter-sized list, not data
@@ -85,7 +99,7 @@ def als_fold_recommendations(
 
     def run(task):
         s, b = task
-        return _als_recs(folded, b, scope_col, s, top_n, seed, params)
+        return _als_recs(folded, b, scope_col, s, top_n, seed, params, codec)
 
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:

@@ -57,8 +57,25 @@ def test_recommend_top_n_with_string_codes(spark, tmp_dir):
             fh.write(f"{r['user_id']};PART-{r['item_id']:05d};{r['qty']}\n")
     ratings = read_ratings(spark, path, item_ids="code")
     recs = recommend_top_n(ratings, 5, item_col="item_code", seed=3)
+    assert recs.columns == ["user_id", "rank", "item_code", "score"]
     got = recs.collect()
     assert {r["item_code"][:5] for r in got} == {"PART-"}
     assert len(got) == 150 * 5
     codes = {f"PART-{r['item_id']:05d}" for r in rows}
     assert {r["item_code"] for r in got} <= codes
+
+
+def test_ids_beyond_32_bits(spark):
+    from cartlens.operators.recommend import ids_fit_int, recommend_top_n
+    from cartlens.plans.cv import evaluate_cv
+
+    base = load_ratings(spark, SF001)
+    assert ids_fit_int(base, ["user_id", "item_id"])
+    shift = 10_000_000_000  # ids like those of a very large catalogue
+    wide = base.select((F.col("user_id") + shift).alias("user_id"), (F.col("item_id") * 3 + shift).alias("item_id"), "qty")
+    assert not ids_fit_int(wide, ["user_id", "item_id"])
+    recs = recommend_top_n(wide, 5, seed=2)
+    got = recs.collect()
+    assert len(got) == 150 * 5 and min(r["user_id"] for r in got) >= shift and min(r["item_id"] for r in got) >= shift
+    scores, summary = evaluate_cv(wide, recommender="als", parallelism=4)
+    assert summary.count() == 7 and scores.select("fold").distinct().count() == 10
