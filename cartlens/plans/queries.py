@@ -272,6 +272,12 @@ def q_rules_report(spark, sf):
     return bk.rules_report(swept_items, swept_rules).withColumn("confidence", F.round("confidence", 6))
 
 
+def q_rules_report_brand(spark, sf):
+    items, rules, n = _mined(spark, sf, "p_brand")
+    swept_items, swept_rules = bk.support_sweep(items, rules, n)
+    return bk.rules_report(swept_items, swept_rules).withColumn("confidence", F.round("confidence", 6))
+
+
 # ---------------------------------------------------------------- centroids
 
 
@@ -380,6 +386,7 @@ SPARK_QUERIES: dict[str, Query] = {
     "frequent_itemsets_brand": q_frequent_itemsets_brand,
     "association_rules": q_association_rules,
     "rules_report": q_rules_report,
+    "rules_report_brand": q_rules_report_brand,
     "centroid_coordinates": q_centroid_coordinates,
     "assign_nearest_centroid": q_assign_nearest_centroid,
     "assign_nearest_centroid_euclidean": q_assign_nearest_centroid_euclidean,
@@ -496,6 +503,12 @@ SELECT array_to_string(antecedent, ', ') AS antecedent_text, consequent AS conse
 SELECT support, '{bk.ITEMSET_LABEL}' AS type, array_to_string(items, ', ') AS antecedent_itemset, '' AS consequent,
        CAST(freq AS BIGINT) AS freq, CAST(NULL AS DOUBLE) AS confidence FROM swept_items
 UNION ALL
+SELECT support, '{bk.RULE_LABEL}' AS type, array_to_string(antecedent, ', ') AS antecedent_itemset, consequent,
+       CAST(freq AS BIGINT) AS freq, ROUND(confidence, 6) AS confidence FROM swept_rules""",
+    "rules_report_brand": f"""{W}{q.baskets('p_brand')}, {q.SWEEP}
+SELECT support, '{bk.ITEMSET_LABEL}' AS type, array_to_string(items, ', ') AS antecedent_itemset, '' AS consequent,
+       CAST(freq AS BIGINT) AS freq, CAST(NULL AS DOUBLE) AS confidence FROM swept_items
+UNION ALL
 SELECT support, '{bk.RULE_LABEL}' AS type, array_to_string(antecedent, ', ') AS antecedent_itemset, consequent,
        CAST(freq AS BIGINT) AS freq, ROUND(confidence, 6) AS confidence FROM swept_rules""",
     "centroid_coordinates": f"""WITH {q.centroids()}
