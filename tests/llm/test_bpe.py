@@ -1,0 +1,70 @@
+import hashlib
+import random
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from cartlens.llm import bpe
+
+RANKS = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(RANKS), special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.BpeCodec(bpe.parse_ranks(RANKS), P.PATTERN)
+
+
+def ids(b):
+    return [int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)]
+
+
+def test_equals_the_library(codec, library):
+    rng = random.Random(7)
+    alphabets = ["abcdefgh' ", "Éèçaueo \n", "0123456789 .,", "日本語тест½²ª   ", "<|endoftext|>", "aaaa"]
+    texts = ["", " ", "\n\n  \n", "it's we'll I'd", "x" * 300, "é" * 2000, "ab" * 700, "\x1c a\x85b", "𝒳 emoji 😀😀"]
+    texts += ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(0, 200))) for _ in range(400)]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(5000))]
+    for t in texts:
+        got = codec.encode(t)
+        assert ids(got) == library.encode_ordinary(t), t[:80]
+        assert codec.decode(got) == t.encode()
+
+
+def test_long_texts_and_full_memo(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 1000)
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 500)
+    rng = random.Random(3)
+    t = " ".join("".join(rng.choice("entrhsiou") for _ in range(rng.randint(1, 12))) for _ in range(200_000))
+    assert len(t) > 1 << 20
+    assert ids(codec.encode(t)) == library.encode_ordinary(t)
+
+
+def test_table(spark, library):
+    rows = [(1, "hello world", 1), (1, "hello world", 1), (None, None, 2), (2, "", None), (3, "çelle 123\n\n x", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, token_ids int")
+    enc = bpe.encode(df, RANKS, P.PATTERN)
+    got = bpe.decode(enc, RANKS, P.PATTERN).collect()
+    want = sorted((str(d), tuple(library.encode_ordinary(t or "")), (t or "").encode()) for d, t, _ in rows)
+    assert sorted((str(r[0]), tuple(ids(r[1])), bytes(r[2])) for r in got) == want
+    assert bpe.decode(bpe.encode(df.limit(0), RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
+
+
+def test_query(spark, library):
+    from cartlens.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in QUERIES["op9_byte_bpe"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        want = library.encode_ordinary(d.text or "")
+        raw = b"".join(i.to_bytes(4, "little") for i in want)
+        r = got[d.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(raw).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
