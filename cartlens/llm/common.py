@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -9,15 +10,24 @@ import pyarrow.compute  # noqa: F401  (makes pa.compute available)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.session import materialize
-
-__all__ = ["fresh", "materialize", "slices", "text_of", "table", "row_ids"]
+from cartlens.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder and read back:
+    computed once, safe from lost executors, without lineage, and (unlike
+    ``checkpoint()``) compressed and planned by its real size, so that a loop's
+    size estimates don't multiply."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
