@@ -1,0 +1,116 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from cartlens.llm import decontaminate as X
+
+
+def toks(t):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+
+
+def slow(doc, item):
+    d, b = toks(doc), toks(item)
+    if not b or not d:
+        return None
+    k = min(5, len(b))
+    runs = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    n, best = min(len(b), len(d)), (0.0, 0)
+    for s in range(len(d) - n + 1):
+        similar = X.weighted_jaccard(runs(d[s : s + n]), runs(b))
+        if similar > best[0]:
+            best = (similar, s)
+    return (best[1], n, best[0]) if best[0] >= 0.8 else None
+
+
+def make(seed, n_items=25, n_docs=60):
+    rng = random.Random(seed)
+    vocab = ["the", "of", "Été", "and", "x1", "y", "thing", "ende", "river", "stone"] + [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(vocab) + rng.choice(["", "", ",", ".\n"]) for _ in range(n))
+    items = [text(rng.choice([1, 3, 5, 6, 12, 20, 40])) for _ in range(n_items)] + ["", "...", None]
+    docs = []
+    for _ in range(n_docs):
+        t = text(rng.randint(0, 60)).split(" ")
+        for _ in range(rng.randint(0, 3)):
+            w = (rng.choice(items[:-2]) or "").split(" ")
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            if rng.random() < 0.3 and len(w) > 10:
+                del w[rng.randrange(len(w))]
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = w
+        docs.append(" ".join(t))
+    return docs + ["", None, "word"], items
+
+
+def test_equals_brute_force(spark):
+    docs, items = make(11)
+    df = spark.createDataFrame([(i, t, "e") for i, t in enumerate(docs)] + [(None, docs[0], "e"), (0, docs[0], "e")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {}
+    for r in X.find_leaks(df, bench).collect():
+        got.setdefault((r.doc_id, r.item_id), []).append((r.first_word, r.n_words, r.similarity))
+    want = {(d, i): slow(docs[d], items[i]) for d in range(len(docs)) for i in range(len(items))}
+    want = {k: v for k, v in want.items() if v}
+    assert len(want) > 40
+    for (d, i), v in want.items():
+        assert got[d, i] == [v] * (2 if d == 0 else 1)
+        assert d or got[None, i] == [v]
+    assert {k for k in got if k[0] is not None} == set(want)
+    kept = X.drop_leaks(df, bench)
+    assert kept.columns == df.columns
+    dirty = {d for d, _ in want}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(d) for d in range(len(docs)) if d not in dirty] + ([] if 0 in dirty else ["None", "0"]))
+    assert X.find_leaks(df.limit(0), bench).count() == 0 and X.find_leaks(df, bench.limit(0)).count() == 0
+    assert X.drop_leaks(df, bench.limit(0)).count() == df.count()
+
+
+def test_chunks_of_the_benchmark(spark, monkeypatch):
+    docs, items = make(3, 12, 20)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted(X.find_leaks(df, bench).collect())
+    monkeypatch.setattr(X, "CHUNK_BYTES", 400)
+    assert sum(1 for _ in X.chunks(bench)) > 1
+    assert sorted(X.find_leaks(df, bench).collect()) == whole
+
+
+def test_multi_index_misses_nothing():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64) << np.uint64(1)
+    index = X.MultiIndex(fps)
+    for _ in range(200):
+        q = int(fps[rng.integers(300)])
+        for b in rng.choice(64, rng.integers(0, 30), replace=False):
+            q ^= 1 << int(b)
+        want = [i for i, f in enumerate(fps.tolist()) if (f ^ q).bit_count() <= X.RADIUS]
+        assert index.near(q).tolist() == want
+
+
+def test_words_across_pieces():
+    text = ("alpha beta " * 9000 + "z" * 200_000 + " alpha beta").encode()
+    starts, ends, hashes = X.words(text)
+    seen = {}
+    for s, e, h in zip(starts, ends, hashes, strict=True):
+        assert seen.setdefault(text[s:e], h) == h
+    assert len(set(seen.values())) == len(seen) == 3
+
+
+def test_query(spark):
+    from cartlens.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    want = {}
+    for d in docs:
+        have = set(zip(*[toks(d.text)[k:] for k in range(5)], strict=False))
+        for i in items:  # a window that is similar enough shares a shingle
+            if have & set(zip(*[toks(i.text)[k:] for k in range(5)], strict=False)):
+                v = slow(d.text, i.text)
+                if v:
+                    want[d.doc_id, i.item_id] = v
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in QUERIES["op4_decontamination"](spark, sf).collect()}
+    assert got == want and want
