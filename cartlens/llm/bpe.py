@@ -95,33 +95,40 @@ class BpeCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers."""
-        latin = self.latin is not None and self.beyond_latin.search(text) is None
-        pattern = self.latin if latin else self.pattern
-        if len(text) <= 1 << 20:
-            return self._encode_matches(pattern.findall(text))
-        found, parts = (m.group() for m in pattern.finditer(text)), []
-        while chunk := list(islice(found, CHUNK)):
-            parts.append(self._encode_matches(chunk))
-        return b"".join(parts)
-
-    def _encode_matches(self, matches: Sequence[str]) -> bytes:
-        memo = self.memo
-        new = [m for m in set(matches) if m not in memo]
-        long: dict[str, bytes] = {}
-        if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = list(set(matches))
-            raw = [m.encode("utf-8", "replace") for m in new]
-            short = [i for i, b in enumerate(raw) if len(b) <= SHORT_BYTES]
-            for i, ids in zip(short, self.merge([raw[i] for i in short]), strict=True):
-                memo[new[i]] = ids
-            for m, b in zip(new, raw, strict=True):
-                if len(b) > SHORT_BYTES:
-                    long[m] = self._whole(b) or self._merge_long(b)
-        if long:
-            return b"".join([memo[m] if m in memo else long[m] for m in matches])
-        return b"".join(map(memo.__getitem__, matches))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text.  Matches that are new to the memo are merged for all
+        texts together, since a batch of trees costs little more than one."""
+        out: list[bytes | None] = [None] * len(texts)
+        short = [i for i, t in enumerate(texts) if len(t) <= 1 << 20]
+        for i, ids in zip(short, self._encode_matches([self._pattern_for(texts[i]).findall(texts[i]) for i in short]), strict=True):
+            out[i] = ids
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                found, parts = (m.group() for m in self._pattern_for(text).finditer(text)), []
+                while chunk := list(islice(found, CHUNK)):
+                    parts += self._encode_matches([chunk])
+                out[i] = b"".join(parts)
+        return out  # type: ignore[return-value]
+
+    def _pattern_for(self, text: str) -> re.Pattern | regex.Pattern:
+        return self.pattern if self.latin is None or self.beyond_latin.search(text) else self.latin
+
+    def _encode_matches(self, texts: Sequence[Sequence[str]]) -> list[bytes]:
+        memo, all_ = self.memo, set().union(*texts)
+        new = [m for m in all_ if m not in memo]
+        if len(memo) + len(new) > MEMO_ENTRIES:
+            memo.clear()
+            new = list(all_)
+        raw = [m.encode("utf-8", "replace") for m in new]
+        short = [i for i, b in enumerate(raw) if len(b) <= SHORT_BYTES]
+        for i, ids in zip(short, self.merge([raw[i] for i in short]), strict=True):
+            memo[new[i]] = ids
+        long = {m: self._whole(b) or self._merge_long(b) for m, b in zip(new, raw, strict=True) if len(b) > SHORT_BYTES}
+        if not long:
+            return [b"".join(map(memo.__getitem__, matches)) for matches in texts]
+        return [b"".join([memo[m] if m in memo else long[m] for m in matches]) for matches in texts]
 
     def _whole(self, piece: bytes) -> bytes | None:
         """A match that is a token as it stands is that token."""
@@ -278,7 +285,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(shared.value, pattern)
         for part in slices(batches, len(keep)):
-            ids = pa.array([bpe.encode(t) for t in part.column(len(keep)).to_pylist()], type=pa.binary())
+            ids = pa.array(bpe.encode_all(part.column(len(keep)).to_pylist()), type=pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids], names=[*keep, into])
 
     return source.mapInArrow(run, schema)
