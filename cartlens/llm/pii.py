@@ -110,7 +110,8 @@ def _judged(found: DataFrame) -> DataFrame:
     kind, n = F.col("kind"), F.col("n")
     parts = F.transform(F.split("body", "\\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
     small = F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
-    sized = F.when((kind == "card") & n.between(13, 19), _luhn(F.col("digits")))
+    countable = (kind == "card") & n.between(13, 19)
+    sized = F.when(countable, _luhn(F.when(countable, F.col("digits")).otherwise("0")))
     valid = (
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", small)
