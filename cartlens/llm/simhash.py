@@ -13,9 +13,9 @@ Groups: copies collapse to one row per fingerprint first.  A dense group of near
 copies would still give a number of pairs that grows with its square, so links
 are taken in two steps.  *Pivots*: in every bucket each member is held against
 one member only, and what is within the distance is joined into components; that
-takes linear work, and is done twice with other pivots.  *Rest*: in buckets that
-still hold more than one component, members of all but the bucket's largest
-component are held against every member of another component.  A pair inside
+takes linear work, and is done twice with other pivots.  *Rest*: members of
+different components that share a variant are all held against each other, but
+a component of over ``DENSE`` fingerprints never against itself.  A pair inside
 one component needs no link, so no link between components is lost.
 """
 
@@ -27,7 +27,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,8 @@ SEED = 42
 BITS = 64
 #: Words of a long text that are hashed at once.
 CHUNK = 1 << 17
+#: Fingerprints from which on a component counts as dense; parts of a bucket in the pivot step.
+DENSE, SHARDS = 64, 8
 _BIT_AT = 40  # place of the bit number in a key, above a segment's width
 _LANES = np.uint64(0x0101010101010101)
 
@@ -126,47 +128,47 @@ def _first_common(a: Column, b: Column, key: Column, distance: int) -> Column:
     return (differ == pick([1 << i for i in range(BITS)])) | ((differ == 0) & (bit == pick([start for start, _ in parts])))
 
 
-def _labelled(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    return buckets.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
+def _pivot_links(fps: DataFrame, distance: int, salt: int) -> DataFrame:
+    """Links ``(a, b)`` between members of a bucket and one of them.  Buckets are
+    taken in ``SHARDS`` parts with a pivot each (other parts for other keys), so
+    that one which holds very many fingerprints spreads over several tasks."""
+    keyed = variants(fps, distance).withColumn("h", F.xxhash64(F.lit(salt), "fp", "key"))
+    keyed = keyed.withColumn("shard", F.pmod("h", F.lit(SHARDS)))
+    part = Window.partitionBy("key", "shard").orderBy("h", "fp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = keyed.withColumn("pivot", F.first("fp").over(part))
+    return held.where((F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), distance)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+
+
+def _cross_links(left: DataFrame, right: DataFrame, distance: int, ordered: bool) -> DataFrame:
+    """All links ``(a, b)`` between members of two components, from variants with
+    their ``label``; ``ordered`` where both tables are the same one."""
+    one = left.select(F.col("key").alias("at"), F.col("fp").alias("a"), F.col("label").alias("la"))
+    two = right.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"))
+    a, b = F.col("a"), F.col("b")
+    other = F.col("la") < F.col("lb") if ordered else F.col("la") != F.col("lb")
+    pair = (F.col("at") == F.col("key")) & other & _near(a, b, distance) & _first_common(a, b, F.col("key"), distance)
+    # the planner doesn't see that a fingerprint has 64 variants: keep it from broadcasting them
+    return one.hint("merge").join(two, pair).select("a", "b")
 
 
 def fingerprint_components(fps: DataFrame, distance: int = 4, rounds: int = 2) -> DataFrame:
     """``(fp, component)`` of distinct non-null fingerprints ``fps(fp)``: linked
     within ``distance`` bits, transitively; ``component`` is a fingerprint that
     stands for the group."""
-    fps = fps.select("fp")
-    keyed = variants(fps, distance)
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key")
-    buckets = stored(keyed.join(shared, "key"))  # a fingerprint alone in a bucket has no partner there
-    links = fps.limit(0).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    components = fps.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("component"))
-    for salt in range(rounds):
-        labelled = _labelled(buckets, components)
-        pivots = labelled.groupBy("key").agg(
-            F.min_by("fp", F.xxhash64(F.lit(salt), "fp", "key")).alias("pivot"),
-            F.min("label").alias("lo"),
-            F.max("label").alias("hi"),
-        )
-        pivots = pivots.where("lo < hi").select(F.col("key").alias("at"), "pivot")
-        near = (F.col("key") == F.col("at")) & (F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), distance)
-        near = buckets.join(pivots, near).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-        links = stored(links.union(near).distinct())
+    fps, label = fps.select("fp"), F.coalesce("component", "fp").alias("label")
+    links = components = None
+    for salt in range(rounds):  # from the second on, only what has a link already: fragments of dense groups
+        found = _pivot_links(fps if components is None else components.select(F.col("node").alias("fp")), distance, salt)
+        links = stored((found if links is None else links.union(found)).distinct())
         components = connected_components(links)
-    # every pair of members of two components that still share a bucket
-    labelled = _labelled(buckets, components)
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-    mixed = stored(labelled.join(largest.where("labels > 1"), "key").select("key", "fp", "label", "major"))
-    left = mixed.where("label != major").select(F.col("key").alias("at"), F.col("fp").alias("a"), F.col("label").alias("la"))
-    right = mixed.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"), "major")
-    a, b, key = F.col("a"), F.col("b"), F.col("key")
-    pair = (
-        (F.col("at") == key)
-        & ((F.col("la") < F.col("lb")) | (F.col("lb") == F.col("major")))  # two minor members meet once
-        & _near(a, b, distance)
-        & _first_common(a, b, key, distance)
-    )
-    rest = left.join(right, pair).select("a", "b")
+    labelled = stored(fps.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", label))
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sized = stored(labelled.join(sizes, "label").select("fp", "label", (F.col("n") > DENSE).alias("dense")))
+    loose, dense = (variants(sized.where(F.col("dense") == x), distance).select("key", "fp", "label") for x in (False, True))
+    # two dense groups meet in few buckets, and only there their members are paired
+    shared = dense.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    met = stored(dense.join(shared, "key"))
+    rest = _cross_links(loose, loose, distance, True).union(_cross_links(loose, dense, distance, False)).union(_cross_links(met, met, distance, True))
     components = connected_components(links.union(rest))
     return fps.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
