@@ -1,0 +1,70 @@
+import random
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from cartlens.llm import bpe, packing
+
+RANKS = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+END = 50256
+
+
+def slow_fit(lengths, seq_len):
+    packed = []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        rooms = [(seq_len - sum(lengths[j] for j in p), k) for k, p in enumerate(packed)]
+        fits = [r for r in rooms if r[0] >= lengths[i]]
+        if fits:
+            packed[min(fits)[1]].append(i)
+        else:
+            packed.append([i])
+    return packed
+
+
+@pytest.mark.parametrize("seq_len", [1, 5, 16, 33])
+def test_best_fit(seq_len):
+    rng = random.Random(seq_len)
+    for _ in range(30):
+        lengths = [rng.randint(1, seq_len) for _ in range(rng.randint(0, 60))]
+        got = packing.best_fit_decreasing(lengths, seq_len)
+        assert sorted(i for p in got for i in p) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in p) <= seq_len for p in got)
+        # equally good choices may differ; the rooms that remain may not
+        rooms = lambda packed: sorted(sum(lengths[i] for i in p) for p in packed)
+        assert rooms(got) == rooms(slow_fit(lengths, seq_len))
+
+
+def test_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_BYTES", 2000)
+    rng = random.Random(5)
+    texts = ["", None, "word", "long " * 300, "é" * 50] + ["".join(rng.choice("entr hsiou.") for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    df = spark.createDataFrame([(rng.choice([i, None, 7]), t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").coalesce(1)
+    found = packing.pack(df, RANKS, P.PATTERN, END, seq_len=64).collect()
+    assert len({r.bucket for r in found}) > 2
+    for m in found:
+        ids = np.frombuffer(m.ids, dtype="<u2").reshape(m.n_rows, m.seq_len)
+        assert m.id_bytes == 2 and len(m.cu_seqlens) == m.n_rows
+        for line, sums, resets in zip(ids, m.cu_seqlens, m.position_resets, strict=True):
+            assert sums[0] == 0 and resets == sums[:-1] and sums == sorted(set(sums)) and sums[-1] <= 64
+            assert (line[sums[-1] :] == END).all()
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(RANKS), special_tokens={})
+    back = packing.unpack(packing.pack(df, RANKS, P.PATTERN, END, seq_len=64)).collect()
+    got = sorted((str(r.doc_id), np.frombuffer(r.ids, dtype="<u2").tolist()) for r in back)
+    assert got == sorted((str(r.doc_id), library.encode_ordinary(r.text or "")) for r in df.collect())
+    assert packing.pack(df.limit(0), RANKS, P.PATTERN, END).count() == 0
+
+
+def test_query(spark):
+    from cartlens.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    matrices = QUERIES["op7_packing"](spark, sf)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(RANKS), special_tokens={})
+    want = {r.doc_id: library.encode_ordinary(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: np.frombuffer(r.ids, dtype="<u2").tolist() for r in packing.unpack(matrices).collect()}
+    assert got == want
+    used = sum(s[-1] for m in matrices.collect() for s in m.cu_seqlens)
+    rows = sum(m.n_rows for m in matrices.collect())
+    assert used / (rows * packing.SEQ_LEN) > 0.95
