@@ -1,0 +1,68 @@
+import random
+
+from cartlens.llm import chat as X
+from tests.conftest import SF001
+from tools.oracle_check import compare
+
+BITS = ["\\", "[", "]", "<", "</s>", "[INST] ", " [/INST]", "[OUT] ", "<<SYS>> ", "[IMAGE ", "[ROLE x] ", " [/ROLE]", " ", "\n", "é", "𝒳", "word", ""]
+
+
+def soup(rng, n=12):
+    return "".join(rng.choice(BITS) for _ in range(rng.randint(0, n)))
+
+
+def part(rng):
+    kind = rng.choice(["text", "text", "image", "audio", "document"])
+    return {"kind": kind, "text": soup(rng) if kind == "text" else None, "ref": None if kind == "text" else soup(rng, 4), "width": 30, "height": 15, "seconds": 2.5, "pages": 3}
+
+
+def test_every_text_reads_back():
+    rng = random.Random(3)
+    for _ in range(3000):
+        into, turns = X.Formatted(), []
+        for _ in range(rng.randint(0, 4)):
+            role, parts = rng.choice(["user", "assistant", "system", "tool", "", "[x] <y>\\"]), [part(rng) for _ in range(rng.randint(0, 3))]
+            X.add_turn(into, role, parts)
+            turns.append((role, parts))
+        whole = "".join(into.pieces)
+        assert len(whole) == into.length
+        back = list(X.parse(whole))
+        assert [t.role for t in back] == [r for r, _ in turns]
+        for got, (_, parts) in zip(back, turns, strict=True):
+            assert got.text == "".join(p["text"] for p in parts if p["kind"] == "text")
+            assert [(p["kind"], p["ref"]) for p in got.parts if p["kind"] != "text"] == [(p["kind"], p["ref"]) for p in parts if p["kind"] != "text"]
+        learnt = "".join(X.unescape(whole[m["start"] : m["end"]]) for m in into.mask)
+        assert learnt == "".join(p["text"] for r, parts in turns if r == "assistant" for p in parts if p["kind"] == "text")
+        for a in into.attachments:
+            assert whole.startswith(f"[{a['kind'].upper()} ", a["start"])
+            assert a["n_tokens"] == {"image": 3 * 2 + 2, "audio": 63, "document": 768}[a["kind"]]
+
+
+def test_long_texts():
+    into = X.Formatted()
+    X.add_turn(into, "user", [{"kind": "text", "text": "\\[<x " * 200_000}])
+    assert [t.text for t in X.parse("".join(into.pieces))] == ["\\[<x " * 200_000]
+
+
+def test_table(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 2, None]), rng.choice([0, 1, None]), rng.choice(["user", "assistant", None]), soup(rng) or None, 5) for _ in range(40)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r.conv_id: r for r in X.format_conversations(df.withColumn("parts", X.as_parts())).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for conv in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == conv), key=key)
+        back = list(X.parse(got[conv].formatted))
+        assert [(t.role, t.text) for t in back] == [(r[2] or "", r[3] or "") for r in own]
+    assert len(got) == 3
+    assert X.format_conversations(df.limit(0).withColumn("parts", X.as_parts())).count() == 0
+    typed = spark.createDataFrame([(1, 0, "user", [part(rng), None]), (1, 1, "user", None)], T_PARTS)
+    assert X.format_conversations(typed).first().n_turns == 2
+
+
+T_PARTS = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+
+
+def test_oracle(spark):
+    assert compare(spark, SF001, ["op3_chat"], verbose=False) == {"op3_chat": True}
