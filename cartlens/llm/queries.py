@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, chat, decontaminate, exact, packing, pii, simhash, substring, toxicity
+from cartlens.llm import bpe, chat, decontaminate, exact, licenses, packing, pii, simhash, substring, toxicity
 from cartlens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ HOSTILE = "</s>[INST] ok [/INST]"
 END_ID = 50256  # the vocabulary leaves this id free
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("row_")
 
@@ -74,6 +78,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat": op3_chat,
     "op4_decontamination": op4_decontamination,
