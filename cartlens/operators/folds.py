@@ -44,10 +44,11 @@ def assign_folds(
     user_col: str = "user_id",
     order_cols: tuple[str, ...] = ("item_id",),
     fold_col: str = "fold",
+    scope_cols: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add ``fold`` (0 .. n_folds-1) to every row; order inside a user is
-    ``order_cols`` then the other columns."""
-    ranked = rank_within_groups(df, [user_col], list(order_cols), rank_col="__fold_pos", size_col="__fold_n")
+    """Add ``fold`` (0 .. n_folds-1) to every row; order inside a user (of a scope,
+    if any) is ``order_cols`` then the other columns."""
+    ranked = rank_within_groups(df, [*scope_cols, user_col], list(order_cols), rank_col="__fold_pos", size_col="__fold_n")
     return ranked.withColumn(fold_col, fold_of(F.col("__fold_pos"), F.col("__fold_n"), n_folds)).drop(
         "__fold_pos", "__fold_n"
     )

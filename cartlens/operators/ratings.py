@@ -3,10 +3,13 @@ cluster membership."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.operators.ranking import global_position, rank_within_groups
+from cartlens.session import store
 
 ACTIVE_MIN_RATINGS = 10  # fixed value: users need at least 10 rating rows (one per fold)
 TOP_SHARE = 0.5  # fixed value: best sellers are the top half of the items
@@ -17,6 +20,14 @@ def user_item_pairs(df: DataFrame, user_col: str = "user_id", item_col: str = "i
     return df.select(user_col, item_col)
 
 
+def int32(c: str | Column) -> Column:
+    """An id as INT; raises on null and on ids that 32 bits can't hold, whatever
+    the session's ANSI setting (a plain cast would wrap and merge ids)."""
+    col = F.col(c) if isinstance(c, str) else c
+    message = F.concat(F.lit("id is null or beyond 32 bits: "), F.coalesce(col.cast("string"), F.lit("null")))
+    return F.when(col.cast("decimal(38,0)").between(-(2**31), 2**31 - 1), col.cast("int")).otherwise(F.raise_error(message).cast("int"))
+
+
 def index_items(df: DataFrame, item_col: str = "item_id", index_col: str = "item_idx") -> DataFrame:
     """Collision-free dense integer id per distinct item, in item order.
 
@@ -25,21 +36,24 @@ def index_items(df: DataFrame, item_col: str = "item_id", index_col: str = "item
     """
     items = df.select(item_col).where(F.col(item_col).isNotNull()).distinct()
     return global_position(items, [item_col], pos_col=index_col).select(
-        item_col, F.col(index_col).cast("int").alias(index_col)
+        item_col, int32(index_col).alias(index_col)
     )
 
 
 def filter_active_users(
-    df: DataFrame, min_rows: int = ACTIVE_MIN_RATINGS, user_col: str = "user_id"
+    df: DataFrame, min_rows: int = ACTIVE_MIN_RATINGS, user_col: str = "user_id", scope_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """Keep users with at least ``min_rows`` rows.
+    """Keep users with at least ``min_rows`` rows (inside their scope, if any).
 
-    Counting is a partial aggregate (a hot user is pre-counted in every map
-    task); the qualifying users then drive a left-semi join, which AQE can
-    split if one user dominates.
+    The rows are stored once: counting them and filtering them would otherwise
+    derive them twice, as the two plans need different columns.  Counting is a
+    partial aggregate (a hot user is pre-counted in every map task); the
+    qualifying users then drive a left-semi join, which AQE can split if one
+    user dominates.
     """
-    active = df.groupBy(user_col).count().where(F.col("count") >= min_rows).select(user_col)
-    return df.join(active, user_col, "left_semi")
+    keys, df = [*scope_cols, user_col], store(df)
+    active = df.groupBy(*keys).count().where(F.col("count") >= min_rows).select(*keys)
+    return df.join(active, keys, "left_semi")
 
 
 def item_totals(df: DataFrame, item_col: str = "item_id", qty_col: str = "qty") -> DataFrame:
@@ -83,6 +97,7 @@ def best_seller_ratings(
 ) -> DataFrame:
     """Ratings on best-selling items of users still active *after* that filter
     (the best-seller filter runs first)."""
+    ratings = store(ratings)  # read for the totals and for the filter
     return filter_active_users(semi_join_items(ratings, top_share_items(ratings, share)), min_rows)
 
 

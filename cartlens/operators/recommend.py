@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.operators.ranking import top_n_per_group
-from cartlens.operators.ratings import index_items
+from cartlens.operators.ratings import index_items, int32
 
 # Fixed values of the workload: implicit ALS with rank 10, 10 iterations,
 # lambda 0.01, alpha 1.0, and 30 recommendations per user.
@@ -23,7 +23,11 @@ ALS_REG_PARAM = 0.01
 ALS_ALPHA = 1.0
 TOP_N = 30
 DEFAULT_SEED = 42
-MAX_ALS_BLOCKS = 1000
+# User and item blocks of ALS.  Starting factors are drawn per block, so the number
+# belongs to the answer: it is the same on every cluster unless the caller sets it.
+# Size it by the data (about 1-2 million ratings a block keeps a block well under
+# executor memory); factors are exchanged between all pairs of blocks.
+ALS_BLOCKS = 10
 
 
 def fit_implicit_als(
@@ -36,15 +40,10 @@ def fit_implicit_als(
     user_col: str = "user_id",
     item_col: str = "item_id",
     rating_col: str = "qty",
-    num_blocks: int | None = None,
+    num_blocks: int = ALS_BLOCKS,
 ) -> ALSModel:
-    """Fit implicit ALS.  Ids must fit in 32 bits (use ``recommend_top_n`` /
-    ``index_items`` otherwise); ALS rejects larger ones.  ``num_blocks``
-    defaults to the cluster's parallelism, at least 10 and at most
-    ``MAX_ALS_BLOCKS``: factor exchange between blocks is all-to-all, so more
-    blocks than that only add messages."""
-    spark = ratings.sparkSession
-    blocks = num_blocks or min(MAX_ALS_BLOCKS, max(10, spark.sparkContext.defaultParallelism))
+    """Fit implicit ALS.  Ids must fit in 32 bits, or the fit raises
+    (:class:`IdCodec` and ``recommend_top_n`` map any others)."""
     als = ALS(
         rank=rank,
         maxIter=max_iter,
@@ -55,18 +54,24 @@ def fit_implicit_als(
         userCol=user_col,
         itemCol=item_col,
         ratingCol=rating_col,
-        numUserBlocks=blocks,
-        numItemBlocks=blocks,
+        numUserBlocks=num_blocks,
+        numItemBlocks=num_blocks,
         coldStartStrategy="nan",
     )
     data = ratings.select(
-        F.col(user_col).cast("int").alias(user_col),
-        F.col(item_col).cast("int").alias(item_col),
+        int32(user_col).alias(user_col),
+        int32(item_col).alias(item_col),
         F.col(rating_col).cast("float").alias(rating_col),
     )
     return als.fit(data)
 
 
+def recommend_lists(model: ALSModel, n: int = TOP_N, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
+    """``(user_id, items)``: the same lists with one row for each user, best first."""
+    recs = model.recommendForAllUsers(n)
+    return recs.select(F.col(user_col).cast("bigint").alias(user_col), F.col(f"recommendations.{item_col}").cast("array<bigint>").alias("items"))
+
+
 def recommend_all_users(
     model: ALSModel, n: int = TOP_N, user_col: str = "user_id", item_col: str = "item_id"
 ) -> DataFrame:
@@ -83,26 +88,6 @@ def recommend_all_users(
     )
 
 
-_INT_TYPES = ("int", "smallint", "tinyint")
-_INT_MIN, _INT_MAX = -(2**31), 2**31 - 1
-
-
-def ids_fit_int(df: DataFrame, cols: list[str]) -> bool:
-    """True when every value of ``cols`` fits ALS's 32-bit ids (one
-    aggregate pass for integral columns wider than int; False for strings)."""
-    types = dict(df.dtypes)
-    wide = [c for c in cols if types[c] not in _INT_TYPES]
-    if any(types[c] not in ("bigint", "decimal") and not types[c].startswith("decimal") for c in wide):
-        return False
-    if not wide:
-        return True
-    row = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(wide)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(wide)]).first()
-    return all(
-        (row[f"lo{i}"] is None or row[f"lo{i}"] >= _INT_MIN) and (row[f"hi{i}"] is None or row[f"hi{i}"] <= _INT_MAX)
-        for i in range(len(wide))
-    )
-
-
 class IdCodec:
     """Collision-free dictionaries mapping user and item ids to dense 32-bit
     ids for ALS, built with a distributed sort (``index_items``), and the
@@ -134,23 +119,20 @@ def recommend_top_n(
     user_col: str = "user_id",
     item_col: str = "item_id",
     rating_col: str = "qty",
-    encode_ids: bool | None = None,
+    encode_ids: bool = True,
     **als_kwargs,
 ) -> DataFrame:
     """Fit implicit ALS and return the top-``n`` list of every user.
 
-    Ids that do not fit 32 bits (string codes, wide keys) are mapped through
-    collision-free dictionaries and mapped back in the output;
-    ``encode_ids=None`` decides with :func:`ids_fit_int`.
+    Ids of any type and width are mapped through collision-free dictionaries
+    and back.  ``encode_ids=False`` is for ids that are 32-bit numbers already;
+    the fit raises if one is not.
     """
-    if encode_ids is None:
-        encode_ids = not ids_fit_int(ratings, [user_col, item_col])
     if not encode_ids:
         model = fit_implicit_als(ratings, user_col=user_col, item_col=item_col, rating_col=rating_col, **als_kwargs)
         return recommend_all_users(model, n, user_col, item_col)
     codec = IdCodec(ratings, user_col, item_col)
-    encoded = codec.encode(ratings)
-    model = fit_implicit_als(encoded, user_col=IdCodec.USER, item_col=IdCodec.ITEM, rating_col=rating_col, **als_kwargs)
+    model = fit_implicit_als(codec.encode(ratings), user_col=IdCodec.USER, item_col=IdCodec.ITEM, rating_col=rating_col, **als_kwargs)
     return codec.decode(recommend_all_users(model, n, IdCodec.USER, IdCodec.ITEM))
 
 
@@ -207,7 +189,7 @@ def popular_items_per_fold(
     return top_n_per_group(train, [*keys, fold_col], [F.col("score").desc(), F.col(item_col).asc()], n)
 
 
-def recommend_popular(
+def popular_lists(
     folded: DataFrame,
     n: int = TOP_N,
     n_folds: int = 10,
@@ -217,14 +199,17 @@ def recommend_popular(
     fold_col: str = "fold",
     scope_cols: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per fold, the fold's popular list for every user who has training rows
-    in that fold: ``(scope.., fold, user_id, rank, item_id, score)``.
+    """Per fold, the fold's popular list for every user who has training rows in
+    that fold: ``(scope.., fold, user_id, items)``, best first.
 
-    The popular lists hold at most ``folds x n`` rows per scope, a bound set
-    by parameters, so they are broadcast to the users without a shuffle.
+    Without scopes the lists are ``folds`` rows of at most ``n`` items, a bound set
+    by parameters, so they are broadcast; with scopes the planner decides by size.
     """
     keys = list(scope_cols)
     top = popular_items_per_fold(folded, n, n_folds, item_col, qty_col, fold_col, scope_cols)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", F.col(item_col).alias("item"), "score")))
+    lists = top.groupBy(*keys, fold_col).agg(ranked.alias("__l"))
+    lists = lists.select(*keys, fold_col, F.col("__l.item").alias("items"), F.col("__l.score").alias("scores"))
     per_fold = folded.groupBy(*keys, user_col, fold_col).agg(F.count(F.lit(1)).alias("__c"))
     per_user = per_fold.groupBy(*keys, user_col).agg(F.sum("__c").alias("__n"))
     user_folds = per_user.select(*keys, user_col, "__n", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias(fold_col))
@@ -233,5 +218,22 @@ def recommend_popular(
         .where(F.col("__n") - F.coalesce(F.col("__c"), F.lit(0)) > 0)
         .select(*keys, fold_col, user_col)
     )
-    lists = top if keys else F.broadcast(top)
-    return trained.join(lists, [*keys, fold_col], "inner").select(*keys, fold_col, user_col, "rank", item_col, "score")
+    return trained.join(lists if keys else F.broadcast(lists), [*keys, fold_col], "inner").select(*keys, fold_col, user_col, "items", "scores")
+
+
+def recommend_popular(
+    folded: DataFrame,
+    n: int = TOP_N,
+    n_folds: int = 10,
+    user_col: str = "user_id",
+    item_col: str = "item_id",
+    qty_col: str = "qty",
+    fold_col: str = "fold",
+    scope_cols: tuple[str, ...] = (),
+) -> DataFrame:
+    """:func:`popular_lists` with a row for each entry: ``(scope.., fold, user_id,
+    rank, item_id, score)``."""
+    keys = list(scope_cols)
+    lists = popular_lists(folded, n, n_folds, user_col, item_col, qty_col, fold_col, scope_cols)
+    entries = lists.select(*keys, fold_col, user_col, F.posexplode(F.arrays_zip("items", "scores")).alias("rank", "e"))
+    return entries.select(*keys, fold_col, user_col, F.col("rank").cast("int").alias("rank"), F.col("e.items").alias(item_col), F.col("e.scores").alias("score"))

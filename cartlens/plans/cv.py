@@ -3,23 +3,25 @@
 Shape of every variant::
 
     ratings --(optional scope join / best-seller filter)--> active users
-            --> per-user folds (distributed rank, checkpointed once)
-            --> for each (scope, fold): fit on the other folds, top-30 for all users
-            --> ONE aggregate: hits / recommended / test rows for every K
+            --> per-user folds (distributed rank), stored once by scope and fold
+            --> for each (scope, fold): fit on the other folds, top-30 for all users,
+                reduced at once to its K score rows, the factors released
             --> mean over folds, F1 of the means
 
-The driver holds only the loop over (scope, fold) fits; fits can run a few
-at a time (``parallelism``) because each one is an independent set of jobs.
+The driver holds the loop over (scope, fold) fits and a few numbers from each; the
+plan of a fit doesn't grow with their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cartlens.functions.metrics import safe_ratio
 from cartlens.operators.evaluate import KS, cv_summary, precision_recall_at_k
 from cartlens.operators.folds import N_FOLDS, assign_folds
 from cartlens.operators.ratings import (
@@ -30,16 +32,15 @@ from cartlens.operators.ratings import (
     semi_join_items,
     top_share_items,
 )
-from cartlens.session import materialize
 from cartlens.operators.recommend import (
     DEFAULT_SEED,
     TOP_N,
     IdCodec,
     fit_implicit_als,
-    ids_fit_int,
-    recommend_all_users,
-    recommend_popular,
+    popular_lists,
+    recommend_lists,
 )
+from cartlens.session import store
 
 
 def prepare_folds(
@@ -48,65 +49,72 @@ def prepare_folds(
     min_rows: int = ACTIVE_MIN_RATINGS,
     scope_col: str | None = None,
 ) -> DataFrame:
-    """Active users (at least ``min_rows`` rows inside their scope), folded.
-
-    Scopes partition users, so a user's count is the same inside and outside
-    the scope; the scope column is simply carried along."""
-    active = filter_active_users(ratings, min_rows)
-    # every fold's fit and the evaluation read this frame: freeze it once
-    return materialize(assign_folds(active, n_folds=n_folds))
-
-
-def _als_recs(folded: DataFrame, fold: int, scope_col: str | None, scope_value, top_n: int, seed: int, als_params: dict, codec: IdCodec | None) -> DataFrame:
-    train = folded.where(F.col("fold") != fold)
-    if scope_col is not None:
-        train = train.where(F.col(scope_col) == F.lit(scope_value))
-    if codec is None:
-        model = fit_implicit_als(train, seed=seed, **als_params)
-        recs = recommend_all_users(model, top_n)
-    else:
-        model = fit_implicit_als(train, seed=seed, user_col=IdCodec.USER, item_col=IdCodec.ITEM, **als_params)
-        recs = codec.decode(recommend_all_users(model, top_n, IdCodec.USER, IdCodec.ITEM))
-    recs = recs.withColumn("fold", F.lit(fold).cast("int"))
-    if scope_col is not None:
-        recs = recs.withColumn(scope_col, F.lit(scope_value))
-    return recs
+    """Active users, folded.  With a scope, a user's rows are counted and folded in
+    each scope by itself, so one who is in two scopes is two users."""
+    scopes = (scope_col,) if scope_col else ()
+    active = filter_active_users(ratings, min_rows, scope_cols=scopes)
+    # each fit reads some scopes and folds of it: stored once, by these
+    return store(assign_folds(active, n_folds=n_folds, scope_cols=scopes), partition_by=[*scopes, "fold"])
+
 
+def _persisted(df: DataFrame) -> dict:
+    return dict(df.sparkSession.sparkContext._jsc.getPersistentRDDs())
 
-def als_fold_recommendations(
+
+def als_fold_scores(
     folded: DataFrame,
     n_folds: int = N_FOLDS,
+    ks: Sequence[int] = KS,
     top_n: int = TOP_N,
     seed: int = DEFAULT_SEED,
     scope_col: str | None = None,
     parallelism: int = 1,
     als_params: dict | None = None,
 ) -> DataFrame:
-    """Union of the top-``top_n`` lists of every (scope, fold) model.
-
-    When user or item ids do not fit ALS's 32 bits, the folded frame is
-    encoded once (dense dictionary ids, frozen) and every list decoded."""
-    params = als_params or {}
-    codec = None
-    if not ids_fit_int(folded, ["user_id", "item_id"]):
-        codec = IdCodec(folded)
-        folded = materialize(codec.encode(folded))
-    scopes = [None]
-    if scope_col is not None:
-        # one value per cluster: a parameter-sized list, not data
-        scopes = sorted(r[0] for r in folded.select(scope_col).distinct().collect())
-    tasks = [(s, b) for s in scopes for b in range(n_folds)]
-
-    def run(task):
-        s, b = task
-        return _als_recs(folded, b, scope_col, s, top_n, seed, params, codec)
-
+    """``([scope,] fold, k, n_hits, n_rec, n_test, precision, recall)`` of one ALS model
+    for every (scope, fold).
+
+    Users and items are encoded to dense ids once, for all fits.  A fit leaves one
+    row for each K; its factors are released before the next one (after the last
+    one, if several run at a time).  Scopes are a list on the driver, as each is a
+    loop of fits.
+    """
+    scopes = [scope_col] if scope_col else []
+    codec = IdCodec(folded)
+    encoded = codec.encode(folded).select(*scopes, "fold", IdCodec.USER, IdCodec.ITEM, "qty")
+    encoded = store(encoded, partition_by=[*scopes, "fold"])
+    values = sorted(r[0] for r in encoded.select(scope_col).distinct().collect()) if scope_col else [None]
+    before = _persisted(folded)
+
+    def release() -> None:
+        for key, rdd in _persisted(folded).items():
+            if key not in before:
+                rdd.unpersist()
+
+    def run(task: tuple) -> list[tuple]:
+        scope, fold = task
+        own = encoded if scope is None else encoded.where(F.col(scope_col) == F.lit(scope))
+        train, test = own.where(F.col("fold") != fold), own.where(F.col("fold") == fold)
+        if train.isEmpty():
+            return []
+        model = fit_implicit_als(train, seed=seed, user_col=IdCodec.USER, item_col=IdCodec.ITEM, **(als_params or {}))
+        lists = recommend_lists(model, top_n, IdCodec.USER, IdCodec.ITEM).withColumn("fold", F.lit(fold))
+        rows = precision_recall_at_k(lists, test, ks, by=["fold"], user_col=IdCodec.USER, item_col=IdCodec.ITEM).collect()
+        if parallelism == 1:
+            release()
+        return [(*([scope] if scopes else []), fold, r.k, r.n_hits, r.n_rec, r.n_test) for r in rows]
+
+    tasks = [(s, b) for s in values for b in range(n_folds)]
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            parts = list(pool.map(run, tasks))
+            found = list(pool.map(run, tasks))
+        release()
     else:
-        parts = [run(t) for t in tasks]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        found = [run(t) for t in tasks]
+    counts = [T.StructField(c, T.LongType()) for c in ("n_hits", "n_rec", "n_test")]
+    schema = T.StructType([*[folded.schema[c] for c in scopes], T.StructField("fold", T.IntegerType()), T.StructField("k", T.IntegerType()), *counts])
+    scores = folded.sparkSession.createDataFrame([row for rows in found for row in rows], schema)
+    return scores.withColumn("precision", safe_ratio(F.col("n_hits"), F.col("n_rec"))).withColumn("recall", safe_ratio(F.col("n_hits"), F.col("n_test")))
 
 
 def evaluate_cv(
@@ -121,22 +129,22 @@ def evaluate_cv(
     als_params: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Per-fold scores and their summary for ``recommender`` in {"als", "popular"}."""
+    scopes = [scope_col] if scope_col else []
     folded = prepare_folds(ratings, n_folds, scope_col=scope_col)
-    by = ([scope_col] if scope_col else []) + ["fold"]
     if recommender == "als":
-        recs = als_fold_recommendations(folded, n_folds, top_n, seed, scope_col, parallelism, als_params)
+        scores = als_fold_scores(folded, n_folds, ks, top_n, seed, scope_col, parallelism, als_params)
     elif recommender == "popular":
-        recs = recommend_popular(folded, top_n, n_folds, scope_cols=(scope_col,) if scope_col else ())
+        lists = popular_lists(folded, top_n, n_folds, scope_cols=tuple(scopes))
+        scores = precision_recall_at_k(lists, folded, ks, by=[*scopes, "fold"])
     else:
         raise ValueError("recommender must be 'als' or 'popular'")
-    scores = precision_recall_at_k(recs, folded, ks, by=by)
-    summary = cv_summary(scores, by=[scope_col] if scope_col else [])
-    return scores, summary
+    return scores, cv_summary(scores, by=scopes)
 
 
 def evaluate_cv_top_sellers(ratings: DataFrame, share: float = TOP_SHARE, **kwargs) -> tuple[DataFrame, DataFrame]:
     """Same evaluation restricted to the best-selling share of items
     (filtered before the active-user rule)."""
+    ratings = store(ratings)  # read for the totals and for the filter
     return evaluate_cv(semi_join_items(ratings, top_share_items(ratings, share)), **kwargs)
 
 

@@ -12,10 +12,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+# fixed value of the workload: the widest pivot it allows
+PIVOT_MAX_VALUES = 1_000_000
 
 
 def build_session(
@@ -41,6 +45,7 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.pivotMaxValues", str(PIVOT_MAX_VALUES))
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
     )
@@ -85,3 +90,13 @@ def materialize(df: DataFrame) -> DataFrame:
     lineage (including any non-deterministic row numbering) is frozen."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written once as Parquet under the shared checkpoint folder and read
+    back.  Unlike a checkpoint it is columnar, so later reads prune columns and,
+    with ``partition_by``, whole folders; the planner knows its real size."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

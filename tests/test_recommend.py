@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cartlens.operators.ratings import filter_active_users
@@ -66,16 +67,50 @@ def test_recommend_top_n_with_string_codes(spark, tmp_dir):
 
 
 def test_ids_beyond_32_bits(spark):
-    from cartlens.operators.recommend import ids_fit_int, recommend_top_n
+    from cartlens.operators.recommend import recommend_top_n
     from cartlens.plans.cv import evaluate_cv
 
     base = load_ratings(spark, SF001)
-    assert ids_fit_int(base, ["user_id", "item_id"])
     shift = 10_000_000_000  # ids like those of a very large catalogue
     wide = base.select((F.col("user_id") + shift).alias("user_id"), (F.col("item_id") * 3 + shift).alias("item_id"), "qty")
-    assert not ids_fit_int(wide, ["user_id", "item_id"])
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):  # raises whatever a plain cast would do
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            with pytest.raises(Exception, match="beyond 32 bits"):
+                recommend_top_n(wide, 5, encode_ids=False, max_iter=1)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
     recs = recommend_top_n(wide, 5, seed=2)
     got = recs.collect()
     assert len(got) == 150 * 5 and min(r["user_id"] for r in got) >= shift and min(r["item_id"] for r in got) >= shift
-    scores, summary = evaluate_cv(wide, recommender="als", parallelism=4)
+    scores, summary = evaluate_cv(wide, recommender="als", parallelism=4, als_params={"max_iter": 2})
     assert summary.count() == 7 and scores.select("fold").distinct().count() == 10
+
+
+def test_als_does_not_follow_the_parallelism(spark):
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from cartlens.session import build_session
+from cartlens.operators.recommend import recommend_top_n
+from cartlens.operators.relations import load_ratings
+spark = build_session(master=f"local[{sys.argv[1]}]", shuffle_partitions=int(sys.argv[2]))
+rows = recommend_top_n(load_ratings(spark, sys.argv[3]), 10, max_iter=3).collect()
+print("LISTS", sorted((r.user_id, r.rank, r.item_id) for r in rows))
+"""
+    out = []
+    for cores, partitions in (("1", "3"), ("4", "16")):
+        done = subprocess.run([sys.executable, "-c", code, cores, partitions, SF001], capture_output=True, text=True, timeout=300)
+        out.append([line for line in done.stdout.splitlines() if line.startswith("LISTS")])
+    assert out[0] and out[0] == out[1]
+
+
+def test_top_n_beyond_the_window_limit(spark):
+    df = spark.range(3000).selectExpr("id % 2 as user_id", "id as item_id", "cast(id as double) as score")
+    got = top_n_per_user(df, 1200)
+    assert "Window [row_number" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["user_id"], r["rank"], r["item_id"]) for r in got.collect())
+    assert len(rows) == 2400 and rows[0] == (0, 0, 2998) and rows[1199] == (0, 1199, 600)
