@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -20,28 +21,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.operators.recommend import DEFAULT_SEED
-from cartlens.session import materialize
+from cartlens.session import store
 
 # Fixed values of the workload: cosine sweep over k = 2..45 and segment
 # outputs at k = 20, 30, 40; Euclidean sweep over k = 2..20.
 COSINE_SWEEP = tuple(range(2, 46))
 SEGMENT_KS = (20, 30, 40)
 EUCLIDEAN_SWEEP = tuple(range(2, 21))
+MAX_CENTROIDS = 10_000
 
 
-def _fit_input(data: DataFrame) -> DataFrame:
-    """Iterative fits launch one task per partition per iteration: keep at most
-    one partition per core (a narrow coalesce, no shuffle; a no-op when there
-    are fewer) and cache.  The cached plan does not get AQE's partition
-    coalescing, so without this it keeps every shuffle partition."""
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    return data.coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
+# Partitions of a fit's cached input.  K-means|| samples per partition, so their number
+# belongs to the answer: it is the same on every cluster unless the caller sets it.
+# Size it by the data (partitions of some 100 MB).
+FIT_PARTITIONS = 16
+ZERO_VECTOR = "zero vector"
+
+
+def _fit_input(data: DataFrame, id_col: str, partitions: int) -> DataFrame:
+    """Vectors dealt by id into a given number of sorted partitions, cached: a fit
+    sees the same rows in the same places whatever the cluster."""
+    return data.repartition(partitions, id_col).sortWithinPartitions(id_col).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def is_zero(features_col: str = "features") -> Column:
+    """All-zero vectors: cosine distance is undefined for them."""
+    return ~F.exists(vector_to_array(F.col(features_col)), lambda x: x != F.lit(0.0))
 
 
 def nonzero_vectors(features: DataFrame, features_col: str = "features") -> DataFrame:
-    """Drop all-zero vectors (cosine distance is undefined for them)."""
-    arr = vector_to_array(F.col(features_col))
-    return features.where(F.exists(arr, lambda x: x != F.lit(0.0)))
+    return features.where(~is_zero(features_col))
 
 
 def fit_kmeans(
@@ -78,13 +87,15 @@ def kmeans_sweep(
     model_dir: str | None = None,
     id_col: str = "user_id",
     features_col: str = "features",
+    partitions: int = FIT_PARTITIONS,
 ) -> tuple[DataFrame, DataFrame | None]:
     """One fit per k in ``ks`` ∪ ``segment_ks``.
 
     Returns the cost curve ``(k INT, distance STRING, cost DOUBLE)`` over
-    ``ks`` and, when ``segment_ks`` is given, the labels
-    ``(k, cluster_number, user_id)`` of those models — a segment k that is
-    also swept reuses the sweep's model instead of refitting.  With
+    ``ks`` and, when ``segment_ks`` is given, the labels ``(k, cluster_number,
+    user_id, reason)`` of those models — a segment k that is also swept reuses
+    the sweep's model.  Every id of ``features`` is in them: one that can't be
+    labelled (a zero vector, for cosine) has a null cluster and a reason.  With
     ``model_dir`` every model is saved to ``model_dir/k-<k>``.
 
     The cost list has one number per k (a parameter-sized result), so it is
@@ -92,11 +103,14 @@ def kmeans_sweep(
     ``parallelism`` at a time on one cached copy of the vectors.
     """
     ks, segment_ks = list(ks), list(segment_ks)
-    cols = [id_col, features_col] if segment_ks else [features_col]
-    data = features.select(*cols)
+    rows = features.select(id_col, features_col)
     if distance == "cosine":
-        data = nonzero_vectors(data, features_col)
-    data = _fit_input(data)
+        rows = store(rows.withColumn("__zero", is_zero(features_col)))
+        left_out = rows.where("__zero").select(id_col)
+        rows = rows.where("not __zero").drop("__zero")
+    else:
+        left_out = None
+    data = _fit_input(rows, id_col, partitions)
     try:
 
         def one(k: int):
@@ -106,8 +120,13 @@ def kmeans_sweep(
             labels = None
             if k in segment_ks:
                 labels = model.transform(data).select(
-                    F.lit(k).cast("int").alias("k"), F.col("cluster_number").cast("int").alias("cluster_number"), id_col
+                    F.lit(k).cast("int").alias("k"), F.col("cluster_number").cast("int").alias("cluster_number"), id_col, F.lit(None).cast("string").alias("reason")
                 )
+                if left_out is not None:
+                    rest = left_out.select(F.lit(k).cast("int").alias("k"), F.lit(None).cast("int").alias("cluster_number"), id_col, F.lit(ZERO_VECTOR).alias("reason"))
+                    labels = labels.unionByName(rest)
+                # frozen before the cached vectors are released, and one model at a time
+                labels = store(labels)
             return k, float(model.summary.trainingCost), labels
 
         todo = ks + [k for k in segment_ks if k not in ks]
@@ -116,16 +135,10 @@ def kmeans_sweep(
                 fitted = list(pool.map(one, todo))
         else:
             fitted = [one(k) for k in todo]
-        segments = None
-        parts = [labels for _, _, labels in fitted if labels is not None]
-        if parts:
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part)
-            # labels are frozen before the cached vectors are released
-            segments = materialize(out)
     finally:
         data.unpersist()
+    parts = [labels for _, _, labels in fitted if labels is not None]
+    segments = reduce(DataFrame.unionByName, parts) if parts else None
     schema = T.StructType(
         [T.StructField("k", T.IntegerType()), T.StructField("distance", T.StringType()), T.StructField("cost", T.DoubleType())]
     )
@@ -142,10 +155,12 @@ def kmeans_cost_curve(
     parallelism: int = 1,
     features_col: str = "features",
     model_dir: str | None = None,
+    id_col: str = "user_id",
+    partitions: int = FIT_PARTITIONS,
 ) -> DataFrame:
     """``(k INT, distance STRING, cost DOUBLE)``: training cost of a fit per k."""
     return kmeans_sweep(
-        features, ks, distance, seed, parallelism, model_dir=model_dir, features_col=features_col
+        features, ks, distance, seed, parallelism, model_dir=model_dir, id_col=id_col, features_col=features_col, partitions=partitions
     )[0]
 
 
@@ -158,10 +173,12 @@ def segment_users(
     features_col: str = "features",
     parallelism: int = 1,
     model_dir: str | None = None,
+    partitions: int = FIT_PARTITIONS,
 ) -> DataFrame:
-    """Fit one model per k and label every user: ``(k, cluster_number, user_id)``."""
+    """Fit one model per k and label every user: ``(k, cluster_number, user_id,
+    reason)``, see :func:`kmeans_sweep`."""
     return kmeans_sweep(
-        features, [], distance, seed, parallelism, segment_ks=ks, model_dir=model_dir, id_col=id_col, features_col=features_col
+        features, [], distance, seed, parallelism, segment_ks=ks, model_dir=model_dir, id_col=id_col, features_col=features_col, partitions=partitions
     )[1]
 
 
@@ -196,13 +213,8 @@ def _sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def distance_expr(x: Column, c: Column, distance: str) -> Column:
-    """Cosine distance ``1 - x.c / (|x| |c|)`` or squared Euclidean distance."""
-    if distance == "cosine":
-        return F.lit(1.0) - _dot(x, c) / (F.sqrt(_dot(x, x)) * F.sqrt(_dot(c, c)))
-    if distance == "euclidean":
-        return _sq_dist(x, c)
-    raise ValueError("distance must be 'cosine' or 'euclidean'")
+def _norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
 
 
 def assign_nearest_centroid(
@@ -212,17 +224,33 @@ def assign_nearest_centroid(
     id_col: str = "id",
     vector_col: str = "vector",
     cluster_col: str = "cluster",
+    max_centroids: int = MAX_CENTROIDS,
 ) -> DataFrame:
     """Nearest centroid per point (ties: smaller cluster id) and its distance:
-    ``(id, cluster, distance)``.  The summed ``distance`` is the K-means cost."""
-    table = centroids.select(
-        F.array_sort(
-            F.collect_list(F.struct(F.col(cluster_col).alias("c"), F.col("centroid").cast("array<double>").alias("v")))
-        )
-    ).scalar()
+    ``(id, cluster, distance)``.  The summed ``distance`` is the K-means cost.
+    Cosine distance is ``1 - x.c / (|x| |c|)``, Euclidean distance is squared.
+
+    A zero point has no cosine distance, so its cluster and distance are null; a
+    zero centroid is never nearest.  The centroids become one array, which every
+    task holds; more than ``max_centroids`` of them raise (label in parts then).
+    Each vector's norm is computed once, not for each pair.
+    """
+    if distance not in ("cosine", "euclidean"):
+        raise ValueError("distance must be 'cosine' or 'euclidean'")
+    count = centroids.select(F.count(F.lit(1)).alias("n")).first()["n"]  # a number, before anything is gathered
+    if count > max_centroids:
+        raise ValueError(f"{count} centroids; at most {max_centroids} are held as one array")
+    v = F.col("centroid").cast("array<double>")
+    entry = F.struct(F.col(cluster_col).alias("c"), v.alias("v"), _norm(v).alias("n"))
+    table = centroids.select(F.array_sort(F.collect_list(entry))).scalar()
     x = F.col(vector_col).cast("array<double>")
     # the sub-query is projected first: lambdas cannot hold sub-queries
-    staged = points.select(id_col, x.alias("__x"), table.alias("__cents"))
-    scored = F.transform("__cents", lambda c: F.struct(distance_expr(F.col("__x"), c["v"], distance).alias("d"), c["c"].alias("c")))
-    best = F.array_min(scored)
+    staged = points.select(id_col, x.alias("__x"), _norm(x).alias("__n"), table.alias("__cents"))
+    px, pn = F.col("__x"), F.col("__n")
+    if distance == "cosine":
+        away = lambda c: F.lit(1.0) - F.try_divide(_dot(px, c["v"]), pn * c["n"])
+    else:
+        away = lambda c: _sq_dist(px, c["v"])
+    scored = F.transform("__cents", lambda c: F.struct(away(c).alias("d"), c["c"].alias("c")))
+    best = F.array_min(F.filter(scored, lambda s: s["d"].isNotNull()))
     return staged.select(id_col, best["c"].alias(cluster_col), best["d"].alias("distance"))

@@ -13,11 +13,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartlens.session import PIVOT_MAX_VALUES
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -34,13 +36,17 @@ def pivot_wide(
 
     ``agg="first"`` keeps one value per cell like the original (meaningful
     when cells are unique); ``"sum"`` adds duplicates.  Pass ``values`` to
-    skip the extra job that discovers the column list.  The pivot is a
-    grouped aggregate, combined map-side, so a hot row key is not a problem.
+    skip the extra job that discovers the column list (which is as long as the
+    result is wide; over ``PIVOT_MAX_VALUES`` raise).  The pivot is a grouped
+    aggregate, combined map-side, so a hot row key is not a problem.
     """
     fn = {"first": F.first, "sum": F.sum}[agg]
-    grouped = df.groupBy(row_col)
-    pivoted = grouped.pivot(column_col, sorted(values) if values is not None else None)
-    return pivoted.agg(fn(value_col))
+    if values is None:
+        found = df.select(column_col).distinct().limit(PIVOT_MAX_VALUES + 1).collect()
+        if len(found) > PIVOT_MAX_VALUES:
+            raise ValueError(f"a pivot of over {PIVOT_MAX_VALUES} columns")
+        values = [r[0] for r in found if r[0] is not None]
+    return df.groupBy(row_col).pivot(column_col, sorted(values)).agg(fn(value_col))
 
 
 def fill_missing_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -55,22 +61,23 @@ def row_to_key_and_array(df: DataFrame, key_col: str, value_cols: Sequence[str]
     return df.select(key_col, F.array(*[F.col(c).cast("double") for c in cols]).alias(output_col))
 
 
-def array_to_dense_vector(df: DataFrame, array_col: str, output_col: str = "features") -> DataFrame:
-    """``array<double>`` -> dense ML vector (JVM-side)."""
-    return df.withColumn(output_col, array_to_vector(F.col(array_col))).drop(array_col) if array_col != output_col else df.withColumn(output_col, array_to_vector(F.col(array_col)))
-
-
-def numeric_columns_to_vector(df: DataFrame, output_col: str = "features", keep: Sequence[str] = ()) -> DataFrame:
-    """Every numeric column not in ``keep`` -> double (NULL -> 0.0) -> dense vector."""
-    num = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC) and f.name not in keep]
-    arr = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in num])
+def numeric_columns_to_vector(df: DataFrame, output_col: str = "features", keep: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """The given columns (default: all that aren't in ``keep``) -> double (NULL -> 0.0)
+    -> dense vector.  A column that isn't numeric raises; none is left out silently."""
+    chosen = list(columns) if columns is not None else [c for c in df.columns if c not in keep]
+    other = [c for c in chosen if not isinstance(df.schema[c].dataType, _NUMERIC)]
+    if other:
+        raise ValueError(f"columns {other} are not numeric; name the columns of the vector")
+    arr = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in chosen])
     return df.select(*keep, array_to_vector(arr).alias(output_col))
 
 
-@F.udf(VectorUDT())
-def _sparse_vector(size, indices, values):
-    # small per-row helper: the grouping and ordering already happened in Spark
-    return SparseVector(size, indices, values)
+def sparse_vector(size: int, indices: Column, values: Column) -> Column:
+    """A sparse ML vector from parallel arrays (indices ascending), without Python:
+    the vector type's own struct, written and read back as JSON by the engine."""
+    body = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values"))
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(body.alias("v"))), schema)["v"]
 
 
 def user_item_vectors(
@@ -80,27 +87,24 @@ def user_item_vectors(
     index_col: str = "item_idx",
     value_col: str = "qty",
     output_col: str = "features",
-    sparse: bool = False,
+    sparse: bool = True,
 ) -> DataFrame:
     """Customer vectors from long ``(user, index, value)`` rows.
 
     Duplicate cells are summed first (partial aggregate), so a user's list
-    holds at most ``dim`` entries however many rows the user has.  Dense
-    vectors are built entirely with built-in expressions; ``sparse=True``
-    keeps only non-zero entries (a small Python helper makes the vector).
-    Users without any entry are absent, not zero rows.
+    holds at most ``dim`` entries however many rows the user has.  Sparse
+    vectors hold the non-zero entries, so their cost follows the purchases;
+    ``sparse=False`` writes all ``dim`` positions, for short vectors only.
+    Users without any entry are absent; users whose entries are all zero have a
+    zero vector.
     """
     cells = pairs.groupBy(user_col, index_col).agg(F.sum(value_col).alias("__v"))
-    if sparse:
-        cells = cells.where(F.col("__v") != 0)
     grouped = cells.groupBy(user_col).agg(
         F.array_sort(F.collect_list(F.struct(F.col(index_col).cast("int").alias("i"), F.col("__v").cast("double").alias("v")))).alias("__e")
     )
     if sparse:
-        return grouped.select(
-            user_col,
-            _sparse_vector(F.lit(dim), F.col("__e.i"), F.col("__e.v")).alias(output_col),
-        )
+        held = F.filter("__e", lambda e: e["v"] != 0)
+        return grouped.select(user_col, held.alias("__e")).select(user_col, sparse_vector(dim, F.col("__e.i"), F.col("__e.v")).alias(output_col))
     m = F.map_from_entries(F.col("__e"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
     return grouped.select(user_col, array_to_vector(dense).alias(output_col))

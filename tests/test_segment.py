@@ -84,3 +84,40 @@ def test_sweep_reuses_models_and_saves_them(spark, tmp_dir):
     pred = {r["user_id"]: r["cluster_number"] for r in m3.setPredictionCol("cluster_number").transform(sg.nonzero_vectors(feats)).collect()}
     got = {r["user_id"]: r["cluster_number"] for r in segs.where("k = 3").collect()}
     assert got == pred
+
+
+def test_every_user_is_labelled_or_reported(spark):
+    rows = [(i, Vectors.dense([float(i % 5), 1.0])) for i in range(40)] + [(100 + i, Vectors.dense([0.0, 0.0])) for i in range(6)]
+    df = spark.createDataFrame(rows, ["user_id", "features"])
+    got = sg.segment_users(df, [2, 3], "cosine").collect()
+    for k in (2, 3):
+        own = {r["user_id"]: r for r in got if r["k"] == k}
+        assert own.keys() == {i for i, _ in rows}
+        assert all((r["cluster_number"] is None) == (r["reason"] == sg.ZERO_VECTOR) == (u >= 100) for u, r in own.items())
+    assert {r["reason"] for r in sg.segment_users(df, [2], "euclidean").collect()} == {None}
+
+
+def test_fit_does_not_follow_the_partitions(spark):
+    feats = customer_vectors(spark, SF001, "p_brand").persist()
+    costs = [[r["cost"] for r in sg.kmeans_cost_curve(feats.repartition(n), [4, 7], "cosine").collect()] for n in (1, 13)]
+    assert costs[0] == pytest.approx(costs[1], rel=1e-12)  # up to the order of sums
+    feats.unpersist()
+
+
+def test_zero_vectors_have_no_nearest_centroid(spark):
+    points = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 0.1])], "id long, vector array<double>")
+    cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 5.0])], "cluster int, centroid array<double>")
+    got = {r["id"]: (r["cluster"], r["distance"]) for r in sg.assign_nearest_centroid(points, cents).collect()}
+    assert got[1] == (None, None) and got[2] == (2, pytest.approx(0.0)) and got[3][0] == 1
+    assert {r["cluster"] for r in sg.assign_nearest_centroid(points, cents, "euclidean").collect()} == {0, 1}
+    with pytest.raises(ValueError):
+        sg.assign_nearest_centroid(points, cents, max_centroids=2)
+
+
+def test_sparse_vector_expression(spark):
+    from cartlens.operators.vectors import sparse_vector
+
+    df = spark.createDataFrame([([1, 4], [2.5, float("nan")]), ([], []), ([0], [float("inf")])], "i array<int>, v array<double>")
+    got = [r[0] for r in df.select(sparse_vector(6, F.col("i"), F.col("v"))).collect()]
+    assert got[0].size == 6 and list(got[0].indices) == [1, 4] and got[0].values[0] == 2.5 and np.isnan(got[0].values[1])
+    assert got[1] == Vectors.sparse(6, [], []) and got[2].values[0] == float("inf")
