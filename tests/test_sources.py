@@ -101,5 +101,26 @@ def test_jdbc_options():
 
 def test_numeric_columns_to_vector_nulls(spark):
     df = spark.createDataFrame([(1, 2, None, "z")], "id long, a long, b long, s string")
-    row = numeric_columns_to_vector(df, keep=["id"]).first()
+    row = numeric_columns_to_vector(df, keep=["id"], columns=["a", "b"]).first()
     assert row["id"] == 1 and list(row["features"]) == [2.0, 0.0]
+    with pytest.raises(ValueError, match="not numeric"):
+        numeric_columns_to_vector(df, keep=["id"])
+
+
+def test_lines_are_split_plainly(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "q.txt"), '1;"ab;2.0\n4;;5.0\n6;"x";1.0\n')
+    rows = [tuple(r) for r in read_ratings(spark, p, item_ids="code").collect()]
+    assert rows == [(1, '"ab', 2.0), (4, "", 5.0), (6, '"x"', 1.0)]
+    assert [r["item_id"] for r in read_ratings(spark, p).where("user_id = 4").collect()] == [0]
+
+
+def test_malformed_lines_stop_any_use(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "m.txt"), "1;a;2.0\n2;b;bad\n")
+    for use in (lambda df: df.count(), lambda df: df.select("user_id").collect(), lambda df: df.select("item_code").collect()):
+        with pytest.raises(Exception, match="malformed line: 2;b;bad"):
+            use(read_ratings(spark, p, item_ids="code"))
+    kept = read_ratings(spark, p, item_ids="code", mode="PERMISSIVE").collect()
+    assert [tuple(r) for r in kept] == [(1, "a", 2.0), (None, None, None)]
+    for bad in ("1;a\n", "1;a;2.0;x\n", "1.5;a;2\n", ";;\n", "\n", "99999999999;a;1\n"):
+        with pytest.raises(Exception, match="malformed line"):
+            read_ratings(spark, _write(os.path.join(tmp_dir, "bad.txt"), bad)).count()
