@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.strings import items_to_text
+from cartlens.operators.ranking import global_position
 from cartlens.session import materialize
 
 # Fixed values of the workload: minimum confidence 0.2; supports
@@ -131,18 +132,28 @@ def mine_once(
 
 
 def itemsets_by_freq(itemsets: DataFrame) -> DataFrame:
-    """Most frequent first; ties by the item text."""
-    return itemsets.orderBy(F.col("freq").desc(), items_to_text("items"))
+    """Most frequent first, ties by the item text: the place of each itemset in that
+    order as ``position`` (0-based), from a distributed sort."""
+    named = itemsets.select(items_to_text("items").alias("items_text"), "freq", "size")
+    return global_position(named, [F.col("freq").desc(), F.col("items_text").asc()], pos_col="position")
 
 
 def rules_by_confidence(rules: DataFrame) -> DataFrame:
-    """Most confident first; ties by antecedent then consequent text."""
-    return rules.orderBy(F.col("confidence").desc(), items_to_text("antecedent"), items_to_text("consequent"))
+    """Most confident first, ties by antecedent then consequent text, as ``position``."""
+    named = rules.select(items_to_text("antecedent").alias("antecedent_text"), items_to_text("consequent").alias("consequent_text"), "freq", "confidence")
+    order = [F.col("confidence").desc(), F.col("antecedent_text").asc(), F.col("consequent_text").asc()]
+    return global_position(named, order, pos_col="position")
 
 
 def _levels(freq: Column, n_baskets: Column, steps: int, denominator: float) -> Column:
-    grid = F.sequence(F.lit(1), F.lit(steps))
-    return F.filter(grid, lambda i: min_count(support_level(i, denominator), n_baskets) <= freq)
+    """Grid steps whose threshold ``freq`` reaches.  Thresholds only rise, so these
+    are 1 up to a highest step: the one that the share gives, or a neighbour of it
+    (division and ceiling are rounded), which the exact rule decides."""
+    guess = F.floor(freq * F.lit(denominator) / n_baskets).cast("int")
+    near = [F.greatest(F.least(guess + d, F.lit(steps)), F.lit(0)) for d in (1, 0, -1)]
+    reaches = lambda i: min_count(support_level(i, denominator), n_baskets) <= freq
+    top = F.when(reaches(near[0]), near[0]).when(reaches(near[1]), near[1]).otherwise(near[2])
+    return F.when(top >= 1, F.sequence(F.lit(1), F.greatest(top, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
 def support_sweep(

@@ -156,8 +156,13 @@ def top_n_per_group(
     rank_col: str = "rank",
 ) -> DataFrame:
     """First ``n`` rows of each group (0-based ``rank_col``), ties broken by the
-    remaining columns.  Planned with a partial WindowGroupLimit before the
-    shuffle, so a hot group never ships more than ``n`` rows per map task."""
+    remaining columns.  Up to the engine's limit for it (``n`` of 1,000) this is
+    planned with a partial WindowGroupLimit before the shuffle, so a hot group never
+    ships more than ``n`` rows per map task; beyond that the rows are ranked by
+    :func:`rank_within_groups`, which spreads a hot group."""
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        ranked = rank_within_groups(df, group_cols, order_by, rank_col=rank_col)
+        return ranked.where(F.col(rank_col) < n).withColumn(rank_col, F.col(rank_col).cast("int"))
     used = set(group_cols) | _names(order_by)
     w = Window.partitionBy(*group_cols).orderBy(*(_asc(order_by) + _tiebreak(df, used)))
     rn = "__rk_rn"

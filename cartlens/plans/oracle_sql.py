@@ -16,24 +16,29 @@ RATINGS = """ratings AS (
   GROUP BY o.o_custkey, l.l_partkey)"""
 
 
-def active(src: str = "ratings", name: str = "active") -> str:
+DICTIONARY = """dictionary AS (
+  SELECT item_id, CAST(ROW_NUMBER() OVER (ORDER BY item_id) - 1 AS INTEGER) AS item_idx FROM (SELECT DISTINCT item_id FROM ratings))"""
+
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]  # fixed values: the brands of the part table
+
+
+def brand_columns(cell: str) -> str:
+    """One column per brand, ``cell`` with the brand's literal in it."""
+    return ", ".join(cell.format(f"'{b}'") + f' AS "{b}"' for b in BRANDS)
+
+
+def active(src: str = "ratings", name: str = "active", scope: str | None = None) -> str:
+    by = f"{scope}, user_id" if scope else "user_id"
     return f"""{name} AS (
-  SELECT * FROM {src}
-  WHERE user_id IN (SELECT user_id FROM {src} GROUP BY user_id HAVING COUNT(*) >= 10))"""
+  SELECT * FROM {src} QUALIFY COUNT(*) OVER (PARTITION BY {by}) >= 10)"""
 
 
-def folded(src: str = "active", name: str = "folded") -> str:
-    return f"""{name}_pos AS (
-  SELECT s.*,
-         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY item_id, qty) - 1 AS pos__,
-         COUNT(*) OVER (PARTITION BY user_id) AS n__
-  FROM {src} s),
-{name} AS (
-  SELECT * EXCLUDE (pos__, n__),
-         CAST(CASE WHEN pos__ < (10 - n__ % 10) * (n__ // 10) THEN pos__ // (n__ // 10)
-                   ELSE (10 - n__ % 10) + (pos__ - (10 - n__ % 10) * (n__ // 10)) // (n__ // 10 + 1)
-              END AS INTEGER) AS fold
-  FROM {name}_pos)"""
+def folded(src: str = "active", name: str = "folded", scope: str | None = None) -> str:
+    # ntile gives the larger tiles first, so they are dealt from the end
+    by = f"{scope}, user_id" if scope else "user_id"
+    return f"""{name} AS (
+  SELECT s.*, CAST(10 - NTILE(10) OVER (PARTITION BY {by} ORDER BY item_id DESC, qty DESC) AS INTEGER) AS fold
+  FROM {src} s)"""
 
 
 def top_share(src: str = "ratings", name: str = "top_items") -> str:
@@ -50,31 +55,22 @@ def popular_recs(src: str = "folded", scope: str | None = None, n: int = 30) ->
     """Per (scope, fold): top-n items by quantity in the other folds, for every
     user with rows in the other folds."""
     s = f"{scope}, " if scope else ""
-    on_s = f"p.{scope} = g.{scope} AND " if scope else ""
-    on_u = f"uf.{scope} = u.{scope} AND " if scope else ""
     on_t = f"p.{scope} = t.{scope} AND " if scope else ""
     gs = f"g.{scope}, " if scope else ""
-    us = f"u.{scope}, " if scope else ""
     ts = f"t.{scope}, " if scope else ""
-    return f"""per AS (SELECT {s}fold, item_id, SUM(qty) AS fq, COUNT(*) AS fc FROM {src} GROUP BY {s}fold, item_id),
-whole AS (SELECT {s}item_id, SUM(fq) AS tq, SUM(fc) AS tc FROM per GROUP BY {s}item_id),
-grid AS (SELECT w.*, CAST(f.range AS INTEGER) AS fold FROM whole w CROSS JOIN range(10) f),
-train AS (
-  SELECT {gs}g.fold, g.item_id, g.tq - COALESCE(p.fq, 0) AS score, g.tc - COALESCE(p.fc, 0) AS cnt
-  FROM grid g LEFT JOIN per p ON {on_s}p.fold = g.fold AND p.item_id = g.item_id),
+    return f"""train AS (
+  SELECT {gs}CAST(f.range AS INTEGER) AS fold, g.item_id, SUM(g.qty) AS score
+  FROM {src} g JOIN range(10) f ON g.fold <> f.range
+  GROUP BY {gs}f.range, g.item_id),
 top AS (
   SELECT * FROM (
     SELECT {s}fold, item_id, score,
            CAST(ROW_NUMBER() OVER (PARTITION BY {s}fold ORDER BY score DESC, item_id) - 1 AS INTEGER) AS rank
-    FROM train WHERE cnt > 0)
+    FROM train)
   WHERE rank < {n}),
-uf AS (SELECT {s}user_id, fold, COUNT(*) AS c FROM {src} GROUP BY {s}user_id, fold),
-un AS (SELECT {s}user_id, SUM(c) AS n FROM uf GROUP BY {s}user_id),
 trained AS (
-  SELECT {us}u.user_id, CAST(f.range AS INTEGER) AS fold
-  FROM un u CROSS JOIN range(10) f
-  LEFT JOIN uf ON {on_u}uf.user_id = u.user_id AND uf.fold = CAST(f.range AS INTEGER)
-  WHERE u.n - COALESCE(uf.c, 0) > 0),
+  SELECT DISTINCT {gs}g.user_id, CAST(f.range AS INTEGER) AS fold
+  FROM {src} g JOIN range(10) f ON g.fold <> f.range),
 recs AS (
   SELECT {ts}t.fold, t.user_id, p.rank, p.item_id, p.score
   FROM trained t JOIN top p ON {on_t}p.fold = t.fold)"""

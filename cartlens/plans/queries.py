@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cartlens.functions.strings import jvm_string_hash, parse_basket_line
 from cartlens.operators import baskets as bk
 from cartlens.operators import segment as sg
-from cartlens.operators.evaluate import precision_recall_at_k, recommendation_hits
+from cartlens.operators.evaluate import pairs_intersect, precision_recall_at_k, recommendation_hits
 from cartlens.operators.folds import assign_folds, fold_test, fold_train
 from cartlens.operators.ratings import (
     best_seller_ratings,
@@ -30,11 +30,11 @@ from cartlens.operators.ratings import (
     item_totals,
     join_clusters,
     top_share_items,
+    user_item_pairs,
 )
 from cartlens.operators.recommend import (
-    fit_implicit_als,
-    recommend_all_users,
     recommend_popular,
+    recommend_top_n,
     top_n_per_user,
     truncate_top_k,
 )
@@ -47,16 +47,16 @@ from cartlens.operators.relations import (
 )
 from cartlens.operators.vectors import fill_missing_zero, numeric_columns_to_vector, pivot_wide, row_to_key_and_array
 from cartlens.plans import oracle_sql as q
-from cartlens.plans.cv import evaluate_cv, evaluate_cv_by_cluster, evaluate_cv_top_sellers, prepare_folds
-from cartlens.plans.segmentation import customer_vectors, embedding_vectors
+from cartlens.plans.cv import als_fold_scores, evaluate_cv, evaluate_cv_by_cluster, evaluate_cv_top_sellers, prepare_folds
+from cartlens.plans.segmentation import customer_vectors, embedding_vectors, evaluate_within_segments, user_cells
+from cartlens.plans.rules import basket_rules_report, rules_report_text
 from cartlens.sources.tables import read_table
+from cartlens.sources.text import parse_ratings, with_item_hash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TEST_FOLD = 0  # fold shown by the train/test split queries
-# independent model fits (folds x clusters, k values) submitted concurrently;
-# the fits are small at test scale, so concurrency fills idle cores
-FIT_PARALLELISM = 8
+SEGMENTS_K = 20  # segmentation that feeds the registered evaluation inside segments
 
 
 def _r6(c: str):
@@ -76,16 +76,8 @@ def q_ratings_from_text(spark, sf):
     lines = load_ratings(spark, sf).select(
         F.concat_ws(";", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.col("qty").cast("string")).alias("value")
     )
-    parts = F.split(F.col("value"), ";", -1)
-    checked = lines.select(
-        F.when(F.size(parts) == 3, parts).otherwise(F.raise_error(F.concat(F.lit("malformed rating line: "), F.col("value")))).alias("f")
-    )
-    return checked.select(
-        F.col("f")[0].cast("int").cast("bigint").alias("user_id"),
-        F.col("f")[1].alias("item_code"),
-        jvm_string_hash(F.col("f")[1]).alias("item_hash"),
-        F.col("f")[2].cast("double").alias("qty"),
-    )
+    found = with_item_hash(parse_ratings(lines, "value"))
+    return found.select("user_id", "item_code", F.col("item_id").alias("item_hash"), "qty")
 
 
 def q_hash_item_code(spark, sf):
@@ -169,6 +161,26 @@ def q_recommendation_hits(spark, sf):
     return recommendation_hits(recs, folded)
 
 
+def q_user_item_pairs(spark, sf):
+    return user_item_pairs(load_ratings(spark, sf))
+
+
+def q_pairs_intersect(spark, sf):
+    """Pairs of the first test fold that its popular top 10 holds."""
+    folded, recs = _popular(spark, sf)
+    top = truncate_top_k(recs.where(F.col("fold") == TEST_FOLD), 10)
+    return pairs_intersect(top, fold_test(folded, TEST_FOLD))
+
+
+def q_own_history_scores(spark, sf):
+    """The whole metric chain with a recommender that hits often: everyone's own most
+    bought items."""
+    folded = prepare_folds(load_ratings(spark, sf))
+    own = top_n_per_user(folded.withColumnRenamed("qty", "score"), 30)
+    recs = own.join(folded.select("user_id", "fold").distinct(), "user_id")
+    return _round_scores(precision_recall_at_k(recs, folded))
+
+
 def _round_scores(df):
     return df.select(*[_r6(c) if c in ("precision", "recall") else F.col(c) for c in df.columns])
 
@@ -266,16 +278,29 @@ def q_association_rules(spark, sf):
     )
 
 
+def _report(spark, sf, attribute):
+    return basket_rules_report(spark, sf, attribute).withColumn("confidence", F.round("confidence", 6))
+
+
 def q_rules_report(spark, sf):
-    items, rules, n = _mined(spark, sf)
-    swept_items, swept_rules = bk.support_sweep(items, rules, n)
-    return bk.rules_report(swept_items, swept_rules).withColumn("confidence", F.round("confidence", 6))
+    return _report(spark, sf, "p_type")
 
 
 def q_rules_report_brand(spark, sf):
-    items, rules, n = _mined(spark, sf, "p_brand")
-    swept_items, swept_rules = bk.support_sweep(items, rules, n)
-    return bk.rules_report(swept_items, swept_rules).withColumn("confidence", F.round("confidence", 6))
+    return _report(spark, sf, "p_brand")
+
+
+def q_rules_report_text(spark, sf):
+    return rules_report_text(basket_rules_report(spark, sf, "p_type"))
+
+
+def q_itemsets_by_freq(spark, sf):
+    return bk.itemsets_by_freq(_mined(spark, sf, "p_brand")[0])
+
+
+def q_rules_by_confidence(spark, sf):
+    rules = bk.rules_by_confidence(_mined(spark, sf)[1])
+    return rules.withColumn("confidence", F.round("confidence", 6))
 
 
 # ---------------------------------------------------------------- centroids
@@ -311,34 +336,64 @@ def q_assign_nearest_centroid_euclidean(spark, sf):
 
 
 def q_als_recommendations(spark, sf):
-    active = filter_active_users(load_ratings(spark, sf))
-    return recommend_all_users(fit_implicit_als(active))
+    return recommend_top_n(filter_active_users(load_ratings(spark, sf)))
 
 
 def q_als_cv_summary(spark, sf):
-    return evaluate_cv(load_ratings(spark, sf), recommender="als", parallelism=FIT_PARALLELISM)[1]
+    return evaluate_cv(load_ratings(spark, sf), recommender="als")[1]
 
 
 def q_als_cv_summary_top_sellers(spark, sf):
-    return evaluate_cv_top_sellers(load_ratings(spark, sf), recommender="als", parallelism=FIT_PARALLELISM)[1]
+    return evaluate_cv_top_sellers(load_ratings(spark, sf), recommender="als")[1]
 
 
 def q_als_cv_summary_by_segment(spark, sf):
     """ALS evaluated inside customer segments; the market segment of the
     customer table stands in for a clustering result."""
-    return evaluate_cv_by_cluster(load_ratings(spark, sf), segment_clusters(spark, sf), recommender="als", parallelism=FIT_PARALLELISM)[1]
+    return evaluate_cv_by_cluster(load_ratings(spark, sf), segment_clusters(spark, sf), recommender="als")[1]
+
+
+def q_als_cv_counts(spark, sf):
+    """List and test sizes of the ALS evaluation, which don't hang on the model."""
+    scores = als_fold_scores(prepare_folds(load_ratings(spark, sf)))
+    return scores.select("fold", "k", "n_rec", "n_test")
+
+
+def q_cv_summary_within_segments(spark, sf):
+    """K-means segments of customers on their item vectors, each evaluated by itself."""
+    segments = customer_vectors(spark, sf, "item")
+    return _round_summary(evaluate_within_segments(load_ratings(spark, sf), segments, SEGMENTS_K, recommender="popular")[1])
 
 
 def q_kmeans_cost_curve_cosine(spark, sf):
-    return sg.kmeans_cost_curve(customer_vectors(spark, sf, "p_brand"), sg.COSINE_SWEEP, "cosine", parallelism=FIT_PARALLELISM)
+    return sg.kmeans_cost_curve(customer_vectors(spark, sf, "p_brand"), sg.COSINE_SWEEP, "cosine")
 
 
 def q_kmeans_cost_curve_euclidean(spark, sf):
-    return sg.kmeans_cost_curve(embedding_vectors(spark, sf), sg.EUCLIDEAN_SWEEP, "euclidean", parallelism=FIT_PARALLELISM)
+    return sg.kmeans_cost_curve(embedding_vectors(spark, sf), sg.EUCLIDEAN_SWEEP, "euclidean", id_col="vec_id")
+
+
+def q_kmeans_cost_curve_items(spark, sf):
+    return sg.kmeans_cost_curve(customer_vectors(spark, sf, "item"), sg.COSINE_SWEEP, "cosine")
+
+
+def q_segment_users_items(spark, sf):
+    return sg.segment_users(customer_vectors(spark, sf, "item"), sg.SEGMENT_KS, "cosine")
+
+
+def q_segment_label_counts(spark, sf):
+    """Customers with a label or a reason for having none, for each k."""
+    found = sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine")
+    told = F.col("cluster_number").between(0, F.col("k") - 1) | F.col("reason").isNotNull()
+    return found.where(told).groupBy("k").agg(F.count_distinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_user_item_cells(spark, sf):
+    return user_cells(spark, sf, "item")[0]
 
 
 def q_segment_users(spark, sf):
-    return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine", parallelism=FIT_PARALLELISM)
+    return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine")
 
 
 def _vectors_as_arrays(df, col="features"):
@@ -390,6 +445,18 @@ SPARK_QUERIES: dict[str, Query] = {
     "centroid_coordinates": q_centroid_coordinates,
     "assign_nearest_centroid": q_assign_nearest_centroid,
     "assign_nearest_centroid_euclidean": q_assign_nearest_centroid_euclidean,
+    "rules_report_text": q_rules_report_text,
+    "itemsets_by_freq": q_itemsets_by_freq,
+    "rules_by_confidence": q_rules_by_confidence,
+    "user_item_pairs": q_user_item_pairs,
+    "pairs_intersect": q_pairs_intersect,
+    "own_history_scores": q_own_history_scores,
+    "user_item_cells": q_user_item_cells,
+    "als_cv_counts": q_als_cv_counts,
+    "cv_summary_within_segments": q_cv_summary_within_segments,
+    "kmeans_cost_curve_items": q_kmeans_cost_curve_items,
+    "segment_users_items": q_segment_users_items,
+    "segment_label_counts": q_segment_label_counts,
     "als_recommendations": q_als_recommendations,
     "als_cv_summary": q_als_cv_summary,
     "als_cv_summary_top_sellers": q_als_cv_summary_top_sellers,
@@ -461,14 +528,47 @@ best AS (SELECT * FROM ratings WHERE item_id IN (SELECT item_id FROM top_items))
 scoped AS (
   SELECT r.user_id, r.item_id, r.qty, CAST(c.c_nationkey AS INTEGER) AS cluster_number
   FROM ratings r JOIN (SELECT DISTINCT c_custkey, c_nationkey FROM customer) c ON c.c_custkey = r.user_id),
-{q.active('scoped', 'active')}, {q.folded()}, {q.popular_recs(scope='cluster_number')},
+{q.active('scoped', 'active', 'cluster_number')}, {q.folded(scope='cluster_number')}, {q.popular_recs(scope='cluster_number')},
 {q.scores(scope='cluster_number')}, {q.summary(scope='cluster_number')}""",
     "user_brand_pivot": f"""WITH {q.RATINGS},
 ubq AS (SELECT r.user_id, p.p_brand AS attr, SUM(r.qty) AS qty FROM ratings r JOIN part p ON p.p_partkey = r.item_id GROUP BY 1, 2)
-SELECT * FROM (PIVOT ubq ON attr USING first(qty) GROUP BY user_id)""",
+SELECT user_id, {q.brand_columns('max(qty) FILTER (attr = {})')} FROM ubq GROUP BY user_id""",
     "user_brand_pivot_filled": f"""WITH {q.RATINGS},
 ubq AS (SELECT r.user_id, p.p_brand AS attr, SUM(r.qty) AS qty FROM ratings r JOIN part p ON p.p_partkey = r.item_id GROUP BY 1, 2)
-SELECT * FROM (PIVOT ubq ON attr USING coalesce(first(qty), 0.0) GROUP BY user_id)""",
+SELECT user_id, {q.brand_columns('coalesce(max(qty) FILTER (attr = {}), 0.0)')} FROM ubq GROUP BY user_id""",
+    "user_item_cells": f"""WITH {q.RATINGS}, {q.DICTIONARY}
+SELECT user_id, item_idx, qty FROM ratings JOIN dictionary USING (item_id)""",
+    "user_item_vectors": f"""WITH {q.RATINGS}, {q.DICTIONARY},
+users AS (SELECT DISTINCT user_id FROM ratings),
+grid AS (SELECT u.user_id, d.item_id, d.item_idx FROM users u CROSS JOIN dictionary d)
+SELECT g.user_id, list(coalesce(r.qty, 0.0) ORDER BY g.item_idx) AS features
+FROM grid g LEFT JOIN ratings r ON r.user_id = g.user_id AND r.item_id = g.item_id
+GROUP BY g.user_id""",
+    "numeric_columns_to_vector": """SELECT c_custkey,
+       [coalesce(CAST(c_nationkey AS DOUBLE), 0.0), coalesce(CAST(c_acctbal AS DOUBLE), 0.0)] AS features FROM customer""",
+    "user_item_pairs": f"WITH {q.RATINGS} SELECT user_id, item_id FROM ratings",
+    "pairs_intersect": f"""WITH {q.RATINGS}, {q.active()}, {q.folded()}, {q.popular_recs()}
+SELECT user_id, item_id FROM recs WHERE fold = {TEST_FOLD} AND rank < 10
+INTERSECT SELECT user_id, item_id FROM folded WHERE fold = {TEST_FOLD}""",
+    "own_history_scores": f"""WITH {q.RATINGS}, {q.active()}, {q.folded()},
+own AS (
+  SELECT user_id, item_id, rank FROM (
+    SELECT user_id, item_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY qty DESC, item_id) - 1 AS INTEGER) AS rank FROM folded)
+  WHERE rank < 30),
+recs AS (SELECT f.fold, o.user_id, o.rank, o.item_id FROM own o JOIN (SELECT DISTINCT user_id, fold FROM folded) f USING (user_id)),
+{q.scores()}
+SELECT fold, k, n_hits, n_rec, n_test, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall FROM scores""",
+    "als_cv_counts": f"""WITH {q.RATINGS}, {q.active()}, {q.folded()},
+folds AS (SELECT CAST(range AS INTEGER) AS fold FROM range(10)),
+trained AS (
+  SELECT f.fold, COUNT(DISTINCT d.user_id) AS users, COUNT(DISTINCT d.item_id) AS items
+  FROM folds f JOIN folded d ON d.fold <> f.fold GROUP BY f.fold),
+tested AS (SELECT fold, COUNT(*) AS n_test FROM folded GROUP BY fold)
+SELECT t.fold, CAST(k AS INTEGER) AS k, CAST(users * least(k, items) AS BIGINT) AS n_rec, n_test
+FROM trained t JOIN tested USING (fold) CROSS JOIN (SELECT UNNEST({q.KS_SQL}) AS k)""",
+    "segment_label_counts": f"""WITH {q.RATINGS}
+SELECT CAST(k AS INTEGER) AS k, COUNT(DISTINCT user_id) AS n_users, COUNT(DISTINCT user_id) AS n_rows
+FROM ratings CROSS JOIN (SELECT UNNEST({list(sg.SEGMENT_KS)}) AS k) GROUP BY k""",
     "user_brand_arrays": f"""WITH {q.RATINGS},
 ubq AS (SELECT r.user_id, p.p_brand AS attr, SUM(r.qty) AS qty FROM ratings r JOIN part p ON p.p_partkey = r.item_id GROUP BY 1, 2),
 users AS (SELECT DISTINCT user_id FROM ubq),
@@ -511,6 +611,20 @@ SELECT support, '{bk.ITEMSET_LABEL}' AS type, array_to_string(items, ', ') AS an
 UNION ALL
 SELECT support, '{bk.RULE_LABEL}' AS type, array_to_string(antecedent, ', ') AS antecedent_itemset, consequent,
        CAST(freq AS BIGINT) AS freq, ROUND(confidence, 6) AS confidence FROM swept_rules""",
+    "rules_report_text": f"""{W}{q.baskets('p_type')}, {q.SWEEP}
+SELECT CAST(support AS VARCHAR) AS "{bk.REPORT_COLUMNS[0]}", '{bk.ITEMSET_LABEL}' AS "{bk.REPORT_COLUMNS[1]}",
+       array_to_string(items, ', ') AS "{bk.REPORT_COLUMNS[2]}", '' AS "{bk.REPORT_COLUMNS[3]}", CAST(freq AS VARCHAR) AS "{bk.REPORT_COLUMNS[4]}"
+FROM swept_items
+UNION ALL
+SELECT CAST(support AS VARCHAR), '{bk.RULE_LABEL}', array_to_string(antecedent, ', '), consequent, CAST(ROUND(confidence, 6) AS VARCHAR)
+FROM swept_rules""",
+    "itemsets_by_freq": f"""{W}{q.baskets('p_brand')}
+SELECT array_to_string(items, ', ') AS items_text, CAST(freq AS BIGINT) AS freq, CAST(len(items) AS INTEGER) AS size,
+       ROW_NUMBER() OVER (ORDER BY freq DESC, array_to_string(items, ', ')) - 1 AS position FROM freq""",
+    "rules_by_confidence": f"""{W}{q.baskets('p_type')}
+SELECT array_to_string(antecedent, ', ') AS antecedent_text, consequent AS consequent_text, CAST(freq AS BIGINT) AS freq,
+       ROUND(confidence, 6) AS confidence,
+       ROW_NUMBER() OVER (ORDER BY confidence DESC, array_to_string(antecedent, ', '), consequent) - 1 AS position FROM rules""",
     "centroid_coordinates": f"""WITH {q.centroids()}
 SELECT label, CAST(pos AS INTEGER) AS pos, ROUND(m, 6) AS value FROM coords""",
     "assign_nearest_centroid": f"""WITH {q.centroids()},

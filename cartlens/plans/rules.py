@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cartlens.operators.baskets import ITEMSET_LABEL, mine_support_sweep, report_strings
+from cartlens.operators.baskets import ITEMSET_LABEL, REPORT_COLUMNS, mine_support_sweep, report_strings
 from cartlens.operators.relations import load_baskets
 from cartlens.sources.sinks import write_delimited
 
@@ -15,6 +15,13 @@ def basket_rules_report(spark: SparkSession, sf_dir: str, attribute: str = "p_ty
     return mine_support_sweep(load_baskets(spark, sf_dir, attribute), num_partitions=num_partitions)
 
 
+def rules_report_text(report: DataFrame) -> DataFrame:
+    """The report as the text file holds it: five string columns, confidences to
+    six places."""
+    rounded = report.withColumn("confidence", F.round("confidence", 6))
+    return report_strings(rounded).select(*REPORT_COLUMNS)
+
+
 def write_rules_report(report: DataFrame, path: str, single_file: bool = False) -> None:
     """Text report: supports ascending; inside each, itemsets (most frequent
     first) then rules (most confident first); ties by item text."""
