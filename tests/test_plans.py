@@ -69,3 +69,25 @@ def test_rules_report_order(spark, tmp_dir):
     freqs = [int(r[4]) for r in first if r[1] == bk.ITEMSET_LABEL]
     confs = [float(r[4]) for r in first if r[1] == bk.RULE_LABEL]
     assert freqs == sorted(freqs, reverse=True) and confs == sorted(confs, reverse=True)
+
+
+def test_user_in_two_clusters_counts_in_each(spark):
+    from cartlens.plans.cv import prepare_folds
+
+    # user 1: six rows in either cluster (active in none); user 2: twelve in one
+    rows = [(c, 1, 100 * c + i, 1.0) for c in (0, 1) for i in range(6)] + [(0, 2, i, 1.0) for i in range(12)]
+    rows += [(1, 3, i, 1.0) for i in range(10)] + [(0, 3, i, 1.0) for i in range(11)]
+    scoped = spark.createDataFrame(rows, "cluster_number int, user_id long, item_id long, qty double")
+    folded = prepare_folds(scoped, scope_col="cluster_number")
+    got = {(r["cluster_number"], r["user_id"]): (r["n"], r["f"]) for r in folded.groupBy("cluster_number", "user_id").agg(F.count("*").alias("n"), F.countDistinct("fold").alias("f")).collect()}
+    assert got == {(0, 2): (12, 10), (1, 3): (10, 10), (0, 3): (11, 10)}
+    assert prepare_folds(scoped).where("user_id = 1").count() == 12
+
+
+def test_stored_tables_prune_partitions(spark):
+    from cartlens.session import store
+
+    df = store(spark.range(100).selectExpr("id", "cast(id % 5 as int) as fold"), partition_by=["fold"])
+    assert df.columns == ["id", "fold"] and dict(df.dtypes)["fold"] == "int"
+    plan = df.where("fold != 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan and df.where("fold != 2").count() == 80
