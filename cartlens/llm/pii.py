@@ -153,46 +153,43 @@ def _judged(found: DataFrame) -> DataFrame:
 # -- learning -------------------------------------------------------------------
 
 
-def _posterior(model: dict[tuple, float]) -> Column:
-    """Probability that a row of counts or candidates is a true span."""
-    odds = F.lit(0.0)
-    for kind in KINDS:
-        odds = odds + F.when(F.col("kind") == kind, model["prior", kind]).otherwise(0.0)
-    for name in LABELERS:
-        for vote in (-1, 0, 1):
-            odds = odds + F.when(F.col(f"v_{name}") == vote, model[name, vote]).otherwise(0.0)
+#: Places of a model's parameters: the prior log odds of each kind, then the log odds
+#: that each vote (-1, 0, 1) of each labeler gives.
+PARAMETERS = [("prior", kind) for kind in KINDS] + [(name, vote) for name in LABELERS for vote in (-1, 0, 1)]
+
+
+def _posterior(model: list[float]) -> Column:
+    """Probability that a row of counts or candidates is a true span.  The model is
+    one array literal, so every round of EM runs the same generated code."""
+    values = F.lit(model)
+    odds = F.element_at(values, F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int"))
+    for j, name in enumerate(LABELERS):
+        odds = odds + F.element_at(values, F.col(f"v_{name}") + F.lit(len(KINDS) + 3 * j + 2))
     return 1 / (1 + F.exp(-odds))
 
 
-def _reestimated(counts: DataFrame, posterior: Column) -> dict[tuple, float]:
-    """The M step: log odds of the prior of each kind and of each labeler's votes."""
-    true, false = F.col("n") * posterior, F.col("n") * (1 - posterior)
-    sums = {}
-    for kind in KINDS:
-        sums["prior", kind] = F.col("kind") == kind
-    for name in LABELERS:
-        for vote in (-1, 0, 1):
-            sums[name, vote] = F.col(f"v_{name}") == vote
-    keys = list(sums)
-    asked = [F.sum(F.when(sums[k], side).otherwise(0.0)) for k in keys for side in (true, false)]
-    row = counts.agg(*[c.alias(f"c{i}") for i, c in enumerate(asked)]).first()
-    got = {k: (1 + (row[2 * i] or 0), 1 + (row[2 * i + 1] or 0)) for i, k in enumerate(keys)}
-    model = {k: math.log(t / f) for k, (t, f) in got.items() if k[0] == "prior"}
-    for name in LABELERS:
-        t, f = (sum(got[name, v][side] for v in (-1, 0, 1)) for side in (0, 1))
-        model |= {(name, v): math.log(got[name, v][0] / t) - math.log(got[name, v][1] / f) for v in (-1, 0, 1)}
+def _reestimated(counts: DataFrame, posterior: Column) -> list[float]:
+    """The M step, from the weights of true and false spans in each parameter's rows."""
+    weighted = counts.select("*", (F.col("n") * posterior).alias("t")).withColumn("f", F.col("n") - F.col("t"))
+    asked = []
+    for name, value in PARAMETERS:
+        holds = F.col("kind") == value if name == "prior" else F.col(f"v_{name}") == value
+        asked += [F.sum(F.when(holds, F.col(side)).otherwise(0.0)) for side in ("t", "f")]
+    row = weighted.agg(*[c.alias(f"c{i}") for i, c in enumerate(asked)]).first()
+    true, false = ([1 + (row[2 * i + side] or 0.0) for i in range(len(PARAMETERS))] for side in (0, 1))
+    model = [math.log(true[i] / false[i]) for i in range(len(KINDS))]
+    for at in range(len(KINDS), len(PARAMETERS), 3):
+        t, f = sum(true[at : at + 3]), sum(false[at : at + 3])
+        model += [math.log(true[i] / t) - math.log(false[i] / f) for i in range(at, at + 3)]
     return model
 
 
 def estimate_reliabilities(counts: DataFrame, rounds: int = EM_ROUNDS) -> dict[tuple, float]:
-    """EM over vote counts, from the labelers' majority."""
-    votes = sum((F.col(f"v_{name}") for name in LABELERS), F.lit(0))
-    posterior = 1 / (1 + F.exp(-votes.cast("double")))
-    model: dict[tuple, float] = {}
+    """EM over vote counts, from the labelers' majority: log odds by parameter."""
+    model = [0.0] * len(KINDS) + [float(vote) for _ in LABELERS for vote in (-1, 0, 1)]
     for _ in range(rounds):
-        model = _reestimated(counts, posterior)
-        posterior = _posterior(model)
-    return model
+        model = _reestimated(counts, _posterior(model))
+    return dict(zip(PARAMETERS, model, strict=True))
 
 
 def _features() -> dict[str, Column]:
@@ -205,7 +202,7 @@ def _features() -> dict[str, Column]:
 def train_classifier(counts: DataFrame, model: dict[tuple, float]) -> Column | None:
     """Acceptance of a candidate, as an expression over its votes and shape; None
     where there is nothing to learn from."""
-    posterior, columns = _posterior(model), _features()
+    posterior, columns = _posterior([model[p] for p in PARAMETERS]), _features()
     sides = [counts.select(F.lit(float(y)).alias("y"), (F.col("n") * p).alias("w"), *[c.cast("double").alias(k) for k, c in columns.items()]) for y, p in ((1, posterior), (0, 1 - posterior))]
     rows = VectorAssembler(inputCols=list(columns), outputCol="x").transform(sides[0].union(sides[1]).where("w > 0")).select("x", "y", "w")
     if rows.isEmpty():
