@@ -34,7 +34,7 @@ def test_segments_file_feeds_clustered_evaluation(spark, tmp_dir):
 def test_als_cv_by_cluster_runs_in_parallel(spark):
     ratings = load_ratings(spark, SF001)
     clusters = ratings.select("user_id").distinct().select((F.col("user_id") % 2).cast("int").alias("cluster_number"), "user_id")
-    scores, summary = evaluate_cv_by_cluster(ratings, clusters, recommender="als", parallelism=4)
+    scores, summary = evaluate_cv_by_cluster(ratings, clusters, recommender="als", parallelism=4, als_params={"max_iter": 2, "rank": 4})
     got = scores.collect()
     assert len(got) == 2 * 10 * 7
     assert all(0 <= r["precision"] <= 1 and 0 <= r["recall"] <= 1 for r in got)
