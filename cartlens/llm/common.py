@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute available)
@@ -41,14 +42,37 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+_SPLITS = "spark.sql.files.minPartitionNum"
+
+
 def row_ids(df: DataFrame, name: str) -> DataFrame:
     """Give each row a number of its own, so that rows with null or repeated ids
-    stay apart.  It depends on the partition and the place in it: two plans over
-    the same stored files (a table, a checkpoint) number the rows alike, and a
-    retried task repeats its numbers.  Pass stored tables, not shuffle results."""
+    stay apart.  It is made of the partition and the place in it: two plans over the
+    same stored files (a table, a checkpoint) number the rows alike, and a retried
+    task repeats its numbers.  Pass stored tables, not shuffle results.
+
+    Spark cuts files by the cores that it has at that time unless the session says
+    into how many parts; where it doesn't, the present number is set, so that
+    executors that come or go between two plans change nothing.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_SPLITS, None) is None:
+        conf.set(_SPLITS, str(df.sparkSession.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from task to task (a codec, a scorer).
+    A worker lives through all stages of a job, so it keeps one at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_index: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``max_bytes`` of text (one
     row at least), which bounds a task's Python memory by that or its longest text."""
