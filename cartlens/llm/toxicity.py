@@ -7,10 +7,11 @@ states, and a logistic unit gives the window's score.  Windows overlap and cover
 the whole text; a text's score is that of its worst window.
 
 Training is plain numpy (back-propagation through time, Adam) on the driver over a
-bounded sample of labelled texts: at most ``TRAIN_DOCS`` of either class, those with
+bounded sample of labelled texts: at most ``TRAIN_DOCS`` of each class, those with
 the smallest hash of their id, of at most ``TRAIN_CHARS`` characters.  The label
-says only that some window of a text is toxic, so after a first pass the best
-window of each toxic text stands for it and its other windows are left out.
+says only that some window of a text is toxic, so after two passes the best
+window of each toxic text stands for it and its other windows are left out; a
+quarter of the clean windows that look it stand for all of them in a pass.
 
 Scoring needs no shuffle: the network (bounded by ``MAX_WORDS`` embeddings) is
 broadcast, and every row of every size is scored alike.
@@ -19,7 +20,6 @@ broadcast, and every row of every size is scored alike.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.llm.common import fresh, slices, text_of
+from cartlens.llm.common import fresh, held, slices, text_of
 
-TRAIN_DOCS = 1500
+TRAIN_DOCS = (6000, 2000)  # of clean and of toxic ones
 TRAIN_CHARS = 6000
 MAX_WORDS = 20_000
 #: Training texts that must hold a word before it gets an embedding.
@@ -43,7 +43,9 @@ WORD_CHARS = 24
 #: Character runs: their lengths, and the buckets they are hashed into.
 ORDERS, BUCKETS = (3, 5), 8192
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+#: Updates that training makes about, at least (a sample's windows allow some in each pass).
+STEPS = 120
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]{1,%d}" % WORD_CHARS)
 
@@ -194,34 +196,34 @@ class Network:
         return d_gates
 
 
-def _vocabulary(docs: Sequence[Sequence[str]]) -> dict[str, int]:
-    seen = Counter(w for words in docs for w in set(words))
-    common = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
-    return {w: i + 1 for i, w in enumerate(common)}
-
-
 def train(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: int = 8, batch: int = 256, rate: float = 0.01) -> Network:
     """Fit a network to whole texts with 0/1 labels (both must occur)."""
-    docs = [[w for part in words_of(t) for w in part] for t in texts]
-    net = Network.fresh(_vocabulary(docs), seed)
-    windows = [(d, s, n) for d, words in enumerate(docs) for s, n in window_spans(len(words)) if n]
+    number: dict[str, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for part in words_of(t) for w in part], dtype=np.int32) for t in texts]
+    distinct = list(number)
+    seen = np.zeros(len(distinct), dtype=np.int64)
+    for codes in docs:
+        seen[np.unique(codes)] += 1
+    common = sorted(np.flatnonzero(seen >= MIN_DOCS).tolist(), key=lambda i: (-seen[i], distinct[i]))[:MAX_WORDS]
+    net = Network.fresh({distinct[i]: row for row, i in enumerate(common, 1)}, seed)
+    windows = [(d, s, n) for d, codes in enumerate(docs) for s, n in window_spans(len(codes)) if n]
     if not windows:
         return net
     rng, p = np.random.default_rng(seed), net.params
     owner = np.array([d for d, _, _ in windows])
     target = np.asarray(labels, dtype=np.float32)[owner]
-    distinct = sorted({w for words in docs for w in words})
-    number = {w: i for i, w in enumerate(distinct)}
-    coded = [np.array([number[w] for w in words], dtype=np.int64) for words in docs]
-    tokens = np.zeros((len(windows), WINDOW), dtype=np.int64)
+    tokens = np.zeros((len(windows), WINDOW), dtype=np.int32)
     length = np.array([n for _, _, n in windows])
     for i, (d, s, n) in enumerate(windows):
-        tokens[i, :n] = coded[d][s : s + n]
+        tokens[i, :n] = docs[d][s : s + n]
     per_doc = np.bincount(owner)[owner]
-    weight = np.where(target > 0, 1 / per_doc, 1).astype(np.float32)  # first pass: any window of a toxic text may be meant
     mean, square, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for epoch in range(epochs):
-        if epoch >= 2:
+    passes = min(8 * epochs, max(epochs, STEPS * batch * 4 // len(windows)))  # small samples are seen more often
+    for epoch in range(passes):
+        easy = np.where(rng.random(len(windows)) < 0.25, 4, 0)  # a quarter of the clean windows stand for all of them
+        if epoch < 2:  # any window of a toxic text may be meant
+            weight = np.where(target > 0, 1 / per_doc, easy).astype(np.float32)
+        else:
             score = np.empty(len(windows), dtype=np.float32)
             table = net.gates(distinct)
             for at in range(0, len(windows), 2048):
@@ -229,7 +231,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: in
                 score[at : at + 2048] = net.forward(np.ascontiguousarray(g), length[at : at + 2048])
             best = np.zeros(len(docs), dtype=np.float32)
             np.maximum.at(best, owner, score)
-            weight = np.where(target > 0, (score == best[owner]) | (score > 0.5), 1).astype(np.float32)
+            weight = np.where(target > 0, (score == best[owner]) | (score > 0.5), np.where(score > 0.02, 1, easy)).astype(np.float32)
         order = rng.permutation(np.flatnonzero(weight > 0))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
@@ -318,15 +320,15 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``TRAIN_DOCS`` texts of either class, of rows that may be learnt from.
+    """At most ``TRAIN_DOCS`` texts of each class, of rows that may be learnt from.
     Labels that are null or neither 0 nor 1, and labels of null ids, are left out."""
     body = docs.select("doc_id", text_of(text).alias("body")).where(F.char_length("body").between(1, TRAIN_CHARS))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & ~held_out())
     known = known.withColumn("h", F.xxhash64("doc_id"))
     texts, classes = [], []
     for label in (0, 1):
-        chosen = known.where(F.col("toxic") == label).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(4 * TRAIN_DOCS)
-        sample = body.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "body").limit(TRAIN_DOCS).select("body").collect()
+        chosen = known.where(F.col("toxic") == label).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(2 * TRAIN_DOCS[label])
+        sample = body.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "body").limit(TRAIN_DOCS[label]).select("body").collect()
         texts += [r.body for r in sample]
         classes += [label] * len(sample)
     return texts, classes
@@ -341,9 +343,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Network | flo
     return train(texts, classes)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Network | float, keep: Sequence[str] = ("doc_id",), text: str = "text", into: str = "score") -> DataFrame:
     """``keep`` columns of every row of ``docs`` and the text's score (0 to 1).
     Null texts count as empty; an empty text gets the score of an empty window.
@@ -352,16 +351,15 @@ def score(docs: DataFrame, model: Network | float, keep: Sequence[str] = ("doc_i
     if isinstance(model, float):
         return kept.withColumn(into, F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text).alias(fresh(kept, "text_")))
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept travels once
+    source = kept if text in keep else docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(fresh(kept, "text_")))
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType())])
     key = xxhash.xxh64_intdigest(b"".join(model.params[k].tobytes() for k in sorted(model.params)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        for part in slices(batches, len(keep), 2 << 20):
-            values = _SCORERS[key].score(part.column(len(keep)).to_pylist())
+        scorer = held(("toxicity", key), lambda: Scorer(shared.value))
+        for part in slices(batches, at, 2 << 20):
+            values = scorer.score([t or "" for t in part.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(values, type=pa.float64())], names=[*keep, into])
 
     return source.mapInArrow(run, schema)
@@ -377,6 +375,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all their columns."""
     mark = fresh(docs, "score_")
-    simple = [c for c in docs.columns]
-    scored = score(docs, fit(docs, labels, text), simple, text, into=mark)
-    return scored.where(F.col(mark) < THRESHOLD).select(*[F.col(f"`{c}`") for c in simple])
+    scored = score(docs, fit(docs, labels, text), docs.columns, text, into=mark)
+    return scored.where(F.col(mark) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

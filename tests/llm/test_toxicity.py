@@ -45,7 +45,7 @@ def toy():
     rng = random.Random(1)
     words = ["".join(rng.choice("entrhsiou") for _ in range(rng.randint(2, 7))) for _ in range(300)]
     texts, labels = [], []
-    for i in range(400):
+    for i in range(1500):
         t = [rng.choice(words) for _ in range(rng.randint(3, 90))]
         if i % 3 == 0:
             t[rng.randrange(len(t))] = rng.choice(["gruesome", "Vile!", "xxk" + rng.choice(words)])
@@ -56,10 +56,10 @@ def toy():
 
 def test_learns_and_scores_windows(toy):
     texts, labels = toy
-    net = X.train(texts[:300], labels[:300], epochs=10)
+    net = X.train(texts[:1200], labels[:1200])
     scorer = X.Scorer(net)
-    found = scorer.score(texts[300:]) >= X.THRESHOLD
-    assert (found == (np.array(labels[300:]) == 1)).mean() > 0.9
+    found = scorer.score(texts[1200:]) >= X.THRESHOLD
+    assert (found == (np.array(labels[1200:]) == 1)).mean() > 0.9
     # whole texts: one toxic word at any place of a long text counts, and chunks change nothing
     clean = " ".join(t for t, y in zip(texts, labels, strict=True) if not y)
     assert scorer.score([clean + " gruesome " + clean])[0] > 0.5
