@@ -1,11 +1,12 @@
 """Substring dedup by sliding sentence spans (operator 10).
 
-A text is cut into sentences (up to ``.``, ``!``, ``?`` or a line's end); a sentence
-of over ``MAX_WORDS`` words counts as several, cut after every ``MAX_WORDS`` words
-from its start, so that a repeated passage is found whatever its punctuation.  From
+A text is cut into sentences (up to ``.``, ``!``, ``?`` or a line's end).  A sentence
+of over ``MAX_WORDS`` words counts as several, cut after words chosen by their hash
+(or after ``MAX_WORDS``): the cuts follow the content, so a repeated passage is found
+whatever its punctuation and wherever in a sentence it begins.  From
 every sentence runs a span of ``RUN`` consecutive ones, or as many more as it takes
 to hold ``MIN_WORDS`` words, which leaves runs of a few stock words alone.  The
-128-bit hash of a span's words joins it with its equals in all texts.  Of equal spans
+96-bit hash of a span's words joins it with its equals in all texts.  Of equal spans
 the first stays (by doc_id, row, place); sentences covered by any other one go.
 
 Counts of equal spans are combined before the shuffle, and the join that marks the
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +29,27 @@ from pyspark.sql import types as T
 
 from cartlens.llm.common import row_ids, slices, stored, text_of
 
-RUN, MIN_WORDS, MAX_WORDS = 3, 16, 16
+RUN, MIN_WORDS, MAX_WORDS = 3, 16, 20
+#: One word in so many (by its hash) ends a part of a long sentence.
+CUT_SHARE = 12
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _WORD = re.compile(r"\S+")
 _LAST_ID = (1 << 63) - 1
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """Start, end and words of each sentence; together they cover the text, but
-    for white space before the first."""
+    """Start, end and words of each sentence (or part of a long one); together they
+    cover the text, but for white space before the first."""
     found: list[tuple[int, int, list[str]]] = []
     for m in _SENTENCE.finditer(text):
         words = m.group().split()
         if len(words) > MAX_WORDS:
-            at = m.start()
-            ends = [w.end() for w in _WORD.finditer(text, m.start(), m.end())]
-            for k in range(MAX_WORDS, len(words), MAX_WORDS):
-                found.append((at, ends[k - 1], words[k - MAX_WORDS : k]))
-                at = ends[k - 1]
-            found.append((at, m.end(), words[len(words) - 1 - (len(words) - 1) % MAX_WORDS :]))
+            at, done, ends = m.start(), 0, [w.end() for w in _WORD.finditer(text, m.start(), m.end())]
+            for k, word in enumerate(words[:-1], 1):
+                if crc32(word.encode("utf-8", "replace")) % CUT_SHARE == 0 or k - done == MAX_WORDS:
+                    found.append((at, ends[k - 1], words[done:k]))
+                    at, done = ends[k - 1], k
+            found.append((at, m.end(), words[done:]))
         elif words:
             found.append((m.start(), m.end(), words))
         elif found:  # white space and punctuation marks alone belong to the sentence before
@@ -67,7 +71,7 @@ def spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]
             end += 1
         if end < i + RUN or total < MIN_WORDS:
             break
-        out.append((i, end, digest(hashes[16 * i : 16 * end])))
+        out.append((i, end, digest(hashes[16 * i : 16 * end])[:12]))
         total -= counts[i]
     return [(a, b) for a, b, _ in found], out
 
@@ -78,9 +82,9 @@ def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def all_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every span of every text: ``row_``, ``doc_id``, ``first`` and ``until``
-    (characters), ``h1`` and ``h2``."""
+    (characters), ``h1`` and ``h2`` (64 and 32 bits of the hash)."""
     source = _source(docs, text, doc_id)
-    schema = T.StructType([*source.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("first", "until", "h1", "h2"))])
+    schema = T.StructType([*source.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("first", "until", "h1")), T.StructField("h2", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -91,10 +95,10 @@ def all_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
                 first += [places[i][0] for i, _, _ in found]
                 until += [places[j - 1][1] for _, j, _ in found]
                 hashes += [h for _, _, h in found]
-            halves = np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            parts = np.frombuffer(b"".join(hashes), dtype=np.dtype([("h1", ">i8"), ("h2", ">i4")]))
             index = pa.array(rows, type=pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(1).take(index), pa.array(first, type=pa.int64()), pa.array(until, type=pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                [batch.column(0).take(index), batch.column(1).take(index), pa.array(first, type=pa.int64()), pa.array(until, type=pa.int64()), pa.array(parts["h1"].astype(np.int64)), pa.array(parts["h2"].astype(np.int32))],
                 names=schema.names,
             )
 
@@ -121,7 +125,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     of them stays whole); texts too short for a span stay as they are; an empty
     table gives an empty result; other columns of ``docs`` don't matter.
     """
-    marks = repeated_spans(docs, text, doc_id).distinct().groupBy("row_").agg(F.sort_array(F.collect_list(F.struct("first", "until"))).alias("marks"))
+    marks = repeated_spans(docs, text, doc_id).groupBy("row_").agg(F.sort_array(F.collect_list(F.struct("first", "until"))).alias("marks"))
     joined = _source(docs, text, doc_id).join(marks, "row_", "left").select("doc_id", "text", "marks")
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("until", T.LongType())]))
     schema = T.StructType([joined.schema["doc_id"], T.StructField("clean_text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span)])

@@ -64,8 +64,14 @@ def test_long_passages_are_caught(spark):
     passage = " ".join(word() for _ in range(55)) + "."  # one sentence
     docs = [(i, prose(20) + (passage + " " if i in (3, 7) else "") + prose(30)) for i in range(10)]
     got = {r.doc_id: r for r in X.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert passage not in got[7].clean_text and got[7].n_removed == 4
+    assert passage not in got[7].clean_text and got[7].n_removed >= 4
     assert all(got[i].clean_text == t for i, t in docs if i != 7)
+    # in the middle of a sentence the cuts fall into step again
+    words = " ".join(word() for _ in range(70))
+    docs = [(i, " ".join([prose(9 + 4 * i)[:-2], words, prose(12)])) for i in range(4)]
+    got = {r.doc_id: r for r in X.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0].clean_text == docs[0][1]
+    assert all(len(docs[i][1]) - len(got[i].clean_text) > 0.5 * len(words) for i in (1, 2, 3))
 
 
 def test_query(spark):
