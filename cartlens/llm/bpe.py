@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 from itertools import islice
 from pathlib import Path
 
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.llm.common import fresh, slices, text_of
+from cartlens.llm.common import fresh, held, slices, text_of
 
 _INF = np.iinfo(np.int64).max
 #: A match of at most this many bytes goes to the batched tree and the memo.
 SHORT_BYTES = 64
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 #: Matches taken at once from a long text.
 CHUNK = 200_000
 _POSITION_BITS = 32
@@ -79,17 +80,26 @@ class BpeCodec:
         if missing:
             raise ValueError(f"the ranks lack {len(missing)} single bytes; every byte must be a token")
         self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        # all ways to put a token together from two, sorted by (left, right)
-        pairs = {}
-        for token, rank in ranks.items():
+        self.memo: dict[str, bytes] = {}
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ways to put a token together from two: sorted ``left * tokens + right``,
+        and the token's rank.  Decoding doesn't need them."""
+        keys, values = [], []
+        for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left * len(self.tokens) + right] = rank
-        self.pair_rank = pairs
-        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_values = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
-        self.memo: dict[str, bytes] = {}
+                    keys.append(left * len(self.tokens) + right)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        return np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int64)[order]
+
+    @cached_property
+    def pair_rank(self) -> dict[int, int]:
+        """The same as a dictionary, for long matches."""
+        return dict(zip(*(x.tolist() for x in self.pairs), strict=True))
 
     # -- encoding ---------------------------------------------------------
 
@@ -153,8 +163,9 @@ class BpeCodec:
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * len(self.tokens) + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_values[at], -1)
+        keys, values = self.pairs
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], -1)
 
     def _merge_batch(self, pieces: Sequence[bytes], size: int) -> list[bytes]:
         """The tree of every piece (``size`` leaves, a power of two) as a row of one array."""
@@ -256,20 +267,15 @@ class BpeCodec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_CODECS: dict[tuple[int, int, str], BpeCodec] = {}
-
-
 def codec(data: bytes, pattern: str) -> BpeCodec:
-    """One codec per Python process and vocabulary."""
-    key = (len(data), hash(data), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = BpeCodec(parse_ranks(data), pattern)
-    return _CODECS[key]
+    """The process's codec for a vocabulary."""
+    return held(("bpe", hash(data), pattern), lambda: BpeCodec(parse_ranks(data), pattern))
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), into: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), into: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """``keep`` columns of every row of ``docs`` plus its ids (binary: unsigned
-    32-bit integers, little-endian).
+    32-bit integers, little-endian) and, where ``decoded`` names a column, the bytes
+    decoded from these ids by the same worker.
 
     Null and empty texts get no ids.  Null or repeated ids and repeated rows are
     encoded row by row; an empty table gives an empty table; other columns of
@@ -280,13 +286,15 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     column = fresh(kept, "text_")
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text).alias(column))
-    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.BinaryType())])
+    names = [*keep, into, *([decoded] if decoded else [])]
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.BinaryType()) for c in names[len(keep) :])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(shared.value, pattern)
-        for part in slices(batches, len(keep)):
-            ids = pa.array(bpe.encode_all(part.column(len(keep)).to_pylist()), type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids], names=[*keep, into])
+        for part in slices(batches, len(keep), 2 << 20):
+            ids = bpe.encode_all(part.column(len(keep)).to_pylist())
+            out = [ids, [bpe.decode(x) for x in ids]] if decoded else [ids]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(x, type=pa.binary()) for x in out)], names=names)
 
     return source.mapInArrow(run, schema)
 

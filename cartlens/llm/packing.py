@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.llm.bpe import parse_ranks
-from cartlens.llm.common import row_ids, slices, text_of
+from cartlens.llm.common import held, row_ids, slices, text_of
 
 SEQ_LEN = 2048
 BUCKET_BYTES = 4 << 20
@@ -136,14 +136,8 @@ def pack_bucket(bucket: int, rows: list[tuple[int, int | None, int, bytes]], seq
     return pa.Table.from_pylist(out, schema=_MATRIX_ARROW)
 
 
-_ENCODERS: dict[tuple[int, str], tiktoken.Encoding] = {}
-
-
 def _encoder(ranks: bytes, pattern: str) -> tiktoken.Encoding:
-    key = (hash(ranks), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=parse_ranks(ranks), special_tokens={})
-    return _ENCODERS[key]
+    return held(("packing", hash(ranks), pattern), lambda: tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=parse_ranks(ranks), special_tokens={}))
 
 
 def pieces(docs: DataFrame, ranks: bytes, pattern: str, end: int, seq_len: int = SEQ_LEN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

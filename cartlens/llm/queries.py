@@ -64,7 +64,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
     ranks, pattern = bpe.load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    coded = bpe.encode(docs, ranks, pattern, decoded="decoded")
     return coded.select(
         "doc_id",
         F.expr("length(token_ids) div 4").cast("long").alias("n_tokens"),
