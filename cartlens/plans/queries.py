@@ -166,10 +166,9 @@ def q_user_item_pairs(spark, sf):
 
 
 def q_pairs_intersect(spark, sf):
-    """Pairs of the first test fold that its popular top 10 holds."""
+    """Pairs bought that some fold's popular list holds for the user."""
     folded, recs = _popular(spark, sf)
-    top = truncate_top_k(recs.where(F.col("fold") == TEST_FOLD), 10)
-    return pairs_intersect(top, fold_test(folded, TEST_FOLD))
+    return pairs_intersect(recs, folded)
 
 
 def q_own_history_scores(spark, sf):
@@ -548,8 +547,7 @@ GROUP BY g.user_id""",
        [coalesce(CAST(c_nationkey AS DOUBLE), 0.0), coalesce(CAST(c_acctbal AS DOUBLE), 0.0)] AS features FROM customer""",
     "user_item_pairs": f"WITH {q.RATINGS} SELECT user_id, item_id FROM ratings",
     "pairs_intersect": f"""WITH {q.RATINGS}, {q.active()}, {q.folded()}, {q.popular_recs()}
-SELECT user_id, item_id FROM recs WHERE fold = {TEST_FOLD} AND rank < 10
-INTERSECT SELECT user_id, item_id FROM folded WHERE fold = {TEST_FOLD}""",
+SELECT user_id, item_id FROM recs INTERSECT SELECT user_id, item_id FROM folded""",
     "own_history_scores": f"""WITH {q.RATINGS}, {q.active()}, {q.folded()},
 own AS (
   SELECT user_id, item_id, rank FROM (
