@@ -1,13 +1,16 @@
 """Substring dedup by sliding sentence spans (operator 10).
 
-A text is cut into sentences (up to ``.``, ``!``, ``?`` or a line's end).  A sentence
-of over ``MAX_WORDS`` words counts as several, cut after words chosen by their hash
-(or after ``MAX_WORDS``): the cuts follow the content, so a repeated passage is found
-whatever its punctuation and wherever in a sentence it begins.  From
-every sentence runs a span of ``RUN`` consecutive ones, or as many more as it takes
+A text is cut into sentences (up to ``.``, ``!``, ``?`` or a line's end), and a sentence
+of over ``WINDOW`` words into parts: in every ``WINDOW`` successive words of it (but for
+its last, which ends it anyway) the one of least hash ends a part.  So no part is
+longer than that, and a cut depends on the words less than ``WINDOW`` away, within its
+sentence.  Of a passage in two texts, whatever stands around it, the cuts agree from
+one in its first ``WINDOW`` words to one in its last: over 50 words share at least 35 in whole
+parts, five or more of them, and at least 28 of these lie in common spans.  From
+every part runs a span of ``RUN`` consecutive ones, or as many more as it takes
 to hold ``MIN_WORDS`` words, which leaves runs of a few stock words alone.  The
 96-bit hash of a span's words joins it with its equals in all texts.  Of equal spans
-the first stays (by doc_id, row, place); sentences covered by any other one go.
+the first stays (by doc_id, row, place); parts covered by any other one go.
 
 Counts of equal spans are combined before the shuffle, and the join that marks the
 repeated ones is an equality join of a table with one row for each repeated span,
@@ -30,25 +33,41 @@ from pyspark.sql import types as T
 from cartlens.llm.common import row_ids, slices, stored, text_of
 
 RUN, MIN_WORDS, MAX_WORDS = 3, 16, 20
-#: One word in so many (by its hash) ends a part of a long sentence.
-CUT_SHARE = 12
+#: In so many successive words of a sentence, one at least ends a part (MAX_WORDS at most).
+WINDOW = 8
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _WORD = re.compile(r"\S+")
 _LAST_ID = (1 << 63) - 1
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """After how many words a sentence is cut: after the (first) word of least hash in
+    every ``WINDOW`` successive ones but the last."""
+    ranks = [crc32(word.encode("utf-8", "replace")) for word in words[:-1]]
+    out, at = [], -1
+    for end, rank in enumerate(ranks[WINDOW - 1 :], WINDOW):
+        if at < end - WINDOW:
+            window = ranks[end - WINDOW : end]
+            at = end - WINDOW + window.index(min(window))
+        elif rank < ranks[at]:
+            at = end - 1
+        else:
+            continue
+        out.append(at + 1)
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """Start, end and words of each sentence (or part of a long one); together they
-    cover the text, but for white space before the first."""
+    """Start, end and words of each part of a sentence (the whole of a short one);
+    together they cover the text, but for white space before the first."""
     found: list[tuple[int, int, list[str]]] = []
     for m in _SENTENCE.finditer(text):
         words = m.group().split()
-        if len(words) > MAX_WORDS:
+        if len(words) > WINDOW:
             at, done, ends = m.start(), 0, [w.end() for w in _WORD.finditer(text, m.start(), m.end())]
-            for k, word in enumerate(words[:-1], 1):
-                if crc32(word.encode("utf-8", "replace")) % CUT_SHARE == 0 or k - done == MAX_WORDS:
-                    found.append((at, ends[k - 1], words[done:k]))
-                    at, done = ends[k - 1], k
+            for k in _cuts(words):
+                found.append((at, ends[k - 1], words[done:k]))
+                at, done = ends[k - 1], k
             found.append((at, m.end(), words[done:]))
         elif words:
             found.append((m.start(), m.end(), words))

@@ -1,4 +1,5 @@
 import random
+import re
 
 from cartlens.llm import substring as X
 
@@ -74,6 +75,31 @@ def test_long_passages_are_caught(spark):
     assert all(len(docs[i][1]) - len(got[i].clean_text) > 0.5 * len(words) for i in (1, 2, 3))
 
 
+def test_passages_that_begin_inside_a_sentence():
+    for seed in range(400):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("entrhsiou") for _ in range(rng.randint(3, 8)))
+
+        def prose(n, least, most):  # without any stop at either end
+            out, left = [], rng.randint(least, most) if least else n + 1
+            for k in range(n):
+                left -= 1
+                out.append(word() + ("." if left == 0 and k < n - 1 else ""))
+                left = left or rng.randint(least, most)
+            return " ".join(out)
+
+        for least, most in ((0, 0), (8, 18), (1, 6), (21, 40)):
+            passage = prose(51, least, most)
+            a, b = (" ".join([prose(rng.randint(1, 40), least, most), passage, prose(rng.randint(1, 40), least, most)]) for _ in range(2))
+            if rng.random() < 0.3:
+                b = passage if rng.random() < 0.5 else prose(9, least, most) + ". " + passage + ". " + prose(9, least, most)
+            known, start = {h for _, _, h in X.spans(a)[1]}, b.index(passage)
+            places, found = X.spans(b)
+            gone = {c for i, j, h in found if h in known for c in range(places[i][0], places[j - 1][1])}
+            common = sum(start <= m.start() < start + len(passage) and m.start() in gone for m in re.finditer(r"\S+", b))
+            assert common >= 28, (seed, least, common)
+
+
 def test_query(spark):
     from cartlens.llm.queries import QUERIES
 
