@@ -1,11 +1,13 @@
 """License scan (operator 1).
 
-Templates are cut into lower-case words.  Their runs of ``GRAM`` words are hashed and
-winnowed (of every ``WINNOW`` neighbouring hashes the least is kept), and an inverted
-index maps a kept hash to its templates and places.  Any ``GRAM + WINNOW - 1`` words
-that a text shares with a template hold a kept hash, so looking up every run of a
-text finds the templates and diagonals (place in the text less place in the template)
-that may match.  A band around each diagonal that shares enough runs with the template
+Templates are cut into lower-case words.  Their runs of ``GRAM`` words are hashed, and
+an inverted index maps a hash to its templates and places.  Where every match keeps
+``GRAM + WINNOW - 1`` unchanged words in a row (``sure_run``), the hashes are winnowed
+(of every ``WINNOW`` neighbours the least is kept; so many words hold a kept one);
+elsewhere, as with all templates at a coverage of 0.8, every run is kept, and of
+templates of which only a shorter one is sure, every run of that length.  Looking up
+every run of a text finds the templates and diagonals (place in the text less place in
+the template) that may match.  A band around each diagonal that shares enough runs with the template
 is aligned, word by word (Smith-Waterman within the band); matches of at least
 ``COVERAGE`` of a template's words are reported with their span in the text.
 
@@ -70,6 +72,14 @@ def band_of(length: int) -> int:
     return max(2, length // 10)
 
 
+def sure_run(length: int) -> int:
+    """Words in a row that every match of a template of ``length`` words leaves as they
+    are: up to ``1 - COVERAGE`` of them left out or changed and up to ``band_of`` places
+    with words put in part the others."""
+    lost = int((1 - COVERAGE) * length + 1e-9)
+    return -(-(length - lost) // (lost + band_of(length) + 1))
+
+
 def align(template: list[bytes], text: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
     """Words matched by the best local alignment within ``band`` of a diagonal, and
     the first and last matched place in ``text`` (0, 0, -1 for none).  Of equal
@@ -106,28 +116,32 @@ def align(template: list[bytes], text: list[bytes], diagonal: int, band: int) ->
 
 @dataclass
 class TemplateIndex:
-    """Templates and the inverted index of their winnowed hashes."""
+    """Templates and the inverted index of their hashes, by the length of the runs."""
 
     texts: Mapping[str, str]
     names: list[str] = field(default_factory=list)
     bodies: list[list[bytes]] = field(default_factory=list)
     grams: list[Counter] = field(default_factory=list)
+    words: list[Counter] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        postings: dict[int, list[tuple[int, int]]] = {}
+        postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for name, text in self.texts.items():
             raw = text.encode().lower()
             starts, ends, hashes = words(raw)
             if len(starts) < GRAM:
                 raise ValueError(f"template {name!r} has fewer than {GRAM} words")
-            own = shingles(hashes, GRAM)
-            for at in winnowed(own):
-                postings.setdefault(int(own[at]), []).append((len(self.names), at))
+            own, sure = shingles(hashes, GRAM), sure_run(len(starts))
+            size = min(GRAM, sure)
+            runs = shingles(hashes, size)
+            for at in winnowed(runs) if sure >= GRAM + WINNOW - 1 else range(len(runs)):
+                postings.setdefault(size, {}).setdefault(int(runs[at]), []).append((len(self.names), at))
             self.names.append(name)
             self.bodies.append([raw[s:e] for s, e in zip(starts, ends, strict=True)])
             self.grams.append(Counter(own.tolist()))
+            self.words.append(Counter(hashes.tolist()))
         self.postings = postings
-        self.keys = np.array(sorted(postings), dtype=np.uint64)
+        self.keys = {size: np.array(sorted(found), dtype=np.uint64) for size, found in postings.items()}
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """``(template, coverage, matched words, start, end)`` of every match: the best
@@ -135,13 +149,15 @@ class TemplateIndex:
         raw = text.encode("utf-8", "replace").lower()  # A-Z only: places stay
         starts, ends, hashes = words(raw)
         own = shingles(hashes, GRAM)
-        if not own.size or not self.keys.size:
+        if not own.size:
             return []
-        hits = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)] == own)
         diagonals: dict[int, list[int]] = {}
-        for at in hits.tolist():
-            for template, place in self.postings[int(own[at])]:
-                diagonals.setdefault(template, []).append(at - place)
+        for size, keys in self.keys.items():
+            runs = shingles(hashes, size)
+            hits = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs)
+            for at in hits.tolist():
+                for template, place in self.postings[size][int(runs[at])]:
+                    diagonals.setdefault(template, []).append(at - place)
         found = []
         for template, places in diagonals.items():
             body, spans = self.bodies[template], []
@@ -152,11 +168,12 @@ class TemplateIndex:
                 groups[-1].append(d) if d - groups[-1][0] <= band else groups.append([d])
             for group in groups:
                 middle = (group[0] + group[-1]) // 2
-                lo, hi = max(0, middle - band), min(len(starts), middle + len(body) + band)
-                if not self._enough(template, own[lo : max(lo, hi - GRAM + 1)]):
+                reach = band + group[-1] - middle  # the band around each of them
+                lo, hi = max(0, middle - reach), min(len(starts), middle + len(body) + reach)
+                if not self._enough(template, own[lo : max(lo, hi - GRAM + 1)], hashes[lo:hi]):
                     continue
                 region = [raw[s:e] for s, e in zip(starts[lo:hi], ends[lo:hi], strict=True)]
-                matched, first, last = align(body, region, middle - lo, band)
+                matched, first, last = align(body, region, middle - lo, reach)
                 if matched >= COVERAGE * len(body):
                     spans.append((matched, lo + first, lo + last))
             spans.sort(key=lambda s: (-s[0], s[1]))
@@ -169,11 +186,14 @@ class TemplateIndex:
                 found.append((self.names[template], matched / len(body), matched, begin, begin + len(raw[starts[first] : ends[last]].decode("utf-8"))))
         return sorted(found, key=lambda f: (f[0], f[3]))
 
-    def _enough(self, template: int, region: np.ndarray) -> bool:
-        """Whether a region can hold a match: with ``COVERAGE`` of L words matched, at
+    def _enough(self, template: int, region: np.ndarray, single: np.ndarray) -> bool:
+        """Whether a region (its runs and its words) can hold a match: it has
+        ``COVERAGE`` of the template's words; and with ``COVERAGE`` of L words matched, at
         most a fifth of L is left out or changed, each breaking GRAM runs, and at
         most a tenth put in, each breaking GRAM - 1."""
         length = len(self.bodies[template])
+        if sum((Counter(single.tolist()) & self.words[template]).values()) < COVERAGE * length:
+            return False
         need = length - GRAM + 1 - GRAM * ((1 - COVERAGE) * length) - (GRAM - 1) * band_of(length)
         return need <= 1 or sum((Counter(region.tolist()) & self.grams[template]).values()) >= need - 1e-9
 

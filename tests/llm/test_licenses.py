@@ -59,6 +59,19 @@ def test_winnowing_guarantee():
         assert all(any(i <= k < i + X.WINNOW for k in kept) for i in range(max(1, len(h) - X.WINNOW + 1)))
 
 
+def test_every_fifth_word_changed():
+    index, rng = X.TemplateIndex(X.TEMPLATES), random.Random(3)
+    noise = lambda n: " ".join("".join(rng.choice("entrhsiou") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    assert [m[:3] for m in index.scan("It is released under an MIT License, as said.") if m[0] == "MIT statement"] == [("MIT statement", 0.8, 4)]
+    for name, template in X.TEMPLATES.items():
+        own = [m.group() for m in toks(template)]
+        for first in range(5):
+            edited = ["zzz" if i % 5 == first and 0 < i < len(own) - 1 and i // 5 < len(own) // 5 else w for i, w in enumerate(own)]
+            text = noise(12) + " " + " ".join(edited) + " " + noise(12)
+            want = whole_alignment(template, text) / len(own)
+            assert want >= X.COVERAGE and [m[1] for m in index.scan(text) if m[0] == name] == [want], (name, first)
+
+
 def test_table(spark):
     mit = X.TEMPLATES["MIT statement"]
     rows = [(1, f"é {mit}", "x"), (1, f"é {mit}", "x"), (None, mit, "x"), (2, None, "x"), (3, "", "x"), (4, "plain", None)]
