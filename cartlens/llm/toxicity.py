@@ -320,14 +320,15 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``TRAIN_DOCS`` texts of each class, of rows that may be learnt from.
+    """At most ``TRAIN_DOCS`` texts of each class, of rows that may be learnt from; so
+    many, where that many texts of the class have a label and a fitting length.
     Labels that are null or neither 0 nor 1, and labels of null ids, are left out."""
     body = docs.select("doc_id", text_of(text).alias("body")).where(F.char_length("body").between(1, TRAIN_CHARS))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & ~held_out())
-    known = known.withColumn("h", F.xxhash64("doc_id"))
+    known = known.join(body.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     texts, classes = [], []
     for label in (0, 1):
-        chosen = known.where(F.col("toxic") == label).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(2 * TRAIN_DOCS[label])
+        chosen = known.where(F.col("toxic") == label).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(TRAIN_DOCS[label])
         sample = body.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "body").limit(TRAIN_DOCS[label]).select("body").collect()
         texts += [r.body for r in sample]
         classes += [label] * len(sample)
@@ -336,7 +337,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> t
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Network | float:
     """A network; or, where the sample lacks one of the classes, the constant
-    score that is left to give: the share of toxic texts in it (0 for no sample)."""
+    score that is left to give: the share of toxic texts in it (1 if all are, 0 if none
+    is or there is no sample)."""
     texts, classes = training_sample(docs, labels, text)
     if len(set(classes)) < 2:
         return float(max(classes, default=0))
@@ -373,7 +375,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all their columns."""
-    mark = fresh(docs, "score_")
-    scored = score(docs, fit(docs, labels, text), docs.columns, text, into=mark)
+    """The rows of ``docs`` that are not predicted toxic, all their columns; all rows
+    where the sample lacks a class, so that nothing tells them apart."""
+    mark, model = fresh(docs, "score_"), fit(docs, labels, text)
+    if isinstance(model, float):
+        return docs
+    scored = score(docs, model, docs.columns, text, into=mark)
     return scored.where(F.col(mark) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

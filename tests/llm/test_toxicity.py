@@ -85,6 +85,24 @@ def test_table(spark, toy):
     assert {r.score for r in X.toxicity(df, lab.limit(0)).collect()} == {0.0}
 
 
+def test_sample_is_cut_after_the_join(spark, monkeypatch):
+    monkeypatch.setattr(X, "TRAIN_DOCS", (30, 10))
+    # labels of 4000 ids, every tenth of them at hand, and half of those too long or empty
+    docs = [(i, ("", "w " * X.TRAIN_CHARS, f"clean {i}", f"clean {i}")[i // 10 % 4]) for i in range(0, 4000, 10)]
+    df = spark.createDataFrame([*docs, (None, "none"), docs[2]], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, i // 40 % 2) for i in range(4000)], "doc_id long, quality int, toxic int")
+    texts, classes = X.training_sample(df, lab)
+    assert classes == [0] * 30 + [1] * 10 and all(t.startswith("clean") for t in texts)
+
+
+def test_one_class_drops_nothing(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    for toxic in (0, 1):
+        lab = spark.createDataFrame([(i, 1, toxic) for i in range(20)], "doc_id long, quality int, toxic int")
+        assert X.fit(df, lab) == float(toxic)
+        assert sorted(X.drop_toxic(df, lab).collect()) == sorted(df.collect())
+
+
 def test_held_out_accuracy(spark):
     from cartlens.llm.queries import QUERIES
 
