@@ -11,10 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, chat, decontaminate, exact, licenses, packing, pii, simhash, substring, toxicity
+from cartlens.llm import bpe, chat, decontaminate, exact, licenses, packing, piece_bpe, pii, simhash, substring, toxicity
 from cartlens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 HOSTILE = "</s>[INST] ok [/INST]"
 END_ID = 50256  # the vocabulary leaves this id free
 
@@ -77,6 +78,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_bpe.load_model(public_tokenizers.path(PIECES))
+    coded = piece_bpe.encode(table(spark, sf_dir, "documents"), model, decoded="decoded")
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_piece_bpe": op11_piece_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,0 +1,93 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from cartlens.llm import piece_bpe
+from cartlens.llm.queries import PIECES, op11_piece_bpe
+from tests.conftest import SF001
+
+MODEL = piece_bpe.load_model(public_tokenizers.path(PIECES))
+ODD = ["a", "the", " ", "  ", "\n", "▁", "é", "日", "🙂", "\x00", "ing", "er", "<s>", "<0x0A>", "    ", "\t", "23", ".", "th", "e", "he", "on"]
+
+
+@pytest.fixture(scope="module")
+def ours():
+    return piece_bpe.PieceCodec(MODEL)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+
+
+def _ids(raw):
+    return np.frombuffer(raw, dtype="<u4").tolist()
+
+
+def test_equals_the_library(ours, library):
+    r = random.Random(11)
+    pieces = sorted(ours.id_of)
+    texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    texts += ["".join(r.choice(pieces) for _ in range(r.randint(1, 8))) for _ in range(4000)]
+    coded = ours.encode_all(texts)
+    assert [_ids(x) for x in coded] == library.encode(texts)
+    assert [ours.decode(x) for x in coded] == [library.decode(_ids(x)) for x in coded]
+
+
+def test_decodes_any_ids_like_the_library(ours, library):
+    r = random.Random(12)
+    for _ in range(4000):
+        ids = [r.choice([r.randrange(32000), r.randrange(300)]) for _ in range(r.randint(0, 8))]
+        assert ours.decode(np.array(ids, dtype="<u4").tobytes()) == library.decode(ids)
+
+
+def test_pairs_are_compatible_when_plain_merging_keeps_them(ours, library):
+    r = random.Random(13)
+    tokens = [t for t in ours.births if not ours.pieces[t].startswith("▁")]
+    for _ in range(5000):
+        left, right = r.choice(tokens), r.choice(tokens)
+        # a line's end is no part of any piece: what follows is merged by itself
+        whole = library.encode("\n" + ours.pieces[left] + ours.pieces[right])[2:]
+        assert ours.compatible(left, right) == (whole == [left, right])
+
+
+def test_very_long_texts(ours, library):
+    for text in ("ab" * 100_000, " " * 100_000, "a" * 70_001 + "\n" * 50_000, "word and more, " * 50_000):
+        assert _ids(ours.encode(text)) == library.encode(text)
+
+
+def test_memo_may_be_cleared(ours, library, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "MEMO_ENTRIES", 50)
+    monkeypatch.setattr(piece_bpe, "BATCH", 7)
+    texts = [" ".join(str(k * k) for k in range(n, n + 60)) for n in range(0, 600, 60)]
+    assert [_ids(x) for x in ours.encode_all(texts)] == library.encode(texts)
+
+
+def test_other_models_are_refused():
+    with pytest.raises(ValueError):
+        piece_bpe.PieceCodec(b"")
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, 9), (2, "", 9), (2, "a b", 9), (2, "a b", 9), (None, "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, TEXT_ int")
+    coded = piece_bpe.encode(docs, MODEL, decoded="decoded")
+    got = sorted(((r.doc_id or -1, len(r.token_ids), r.decoded) for r in coded.collect()))
+    assert got == [(-1, 1, "c"), (1, 0, ""), (2, 0, ""), (2, 2, "a b"), (2, 2, "a b")]
+    again = piece_bpe.decode(coded.drop("decoded"), MODEL)
+    assert sorted(r.decoded for r in again.collect()) == ["", "", "a b", "a b", "c"]
+    assert piece_bpe.encode(docs.limit(0), MODEL).collect() == []
+
+
+def test_query_equals_the_library(spark, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    found = op11_piece_bpe(spark, SF001).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
