@@ -6,12 +6,14 @@ and derives the columns that its contract asks for."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
+from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, chat, decontaminate, exact, licenses, packing, piece_bpe, pii, simhash, substring, toxicity
+from cartlens.llm import bpe, chat, decontaminate, exact, licenses, packing, piece_bpe, pii, runs, simhash, substring, toxicity
 from cartlens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -89,6 +91,36 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_periods(doc_id: Any, words: list[bytes]) -> list[bytes]:
+    """The words that the contract of operator 13 puts in place of a text's own: of one
+    document in ten, all from some place on repeat their first few.  A null id counts
+    as an empty one."""
+    number = crc32(b"" if doc_id is None else str(doc_id).encode())
+    if number % 10 or not words:
+        return words
+    group, n = number // 10, len(words)
+    start = group % n
+    period = 1 + (n - start) // (3 + group % 8)
+    return words[:start] + (words[start : start + period] * -(-(n - start) // period))[: n - start]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=with_periods)
+    # the longest run; of equal ones the first, then the least period
+    longest = F.array_max(F.expr("transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period))"))
+    lines = F.array_join(F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_exact_dedup": op2_exact_dedup,
@@ -101,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_piece_bpe": op11_piece_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
