@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, chat, decontaminate, exact, licenses, packing, piece_bpe, pii, runs, simhash, substring, toxicity
+from cartlens.llm import bpe, chat, decontaminate, exact, lexical, licenses, packing, piece_bpe, pii, runs, simhash, substring, toxicity
 from cartlens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -91,6 +91,10 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def with_periods(doc_id: Any, words: list[bytes]) -> list[bytes]:
     """The words that the contract of operator 13 puts in place of a text's own: of one
     document in ten, all from some place on repeat their first few.  A null id counts
@@ -133,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_piece_bpe": op11_piece_bpe,
+    "op12_lexical": op12_lexical,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -164,4 +169,29 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(size) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op12_lexical": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS doc, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), counted AS (
+            SELECT doc, doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+        ), sized AS (
+            SELECT doc, sum(tf)::BIGINT AS n FROM counted GROUP BY doc
+        ), corpus AS (
+            SELECT count(*) AS documents_, sum(n)::BIGINT AS total_ FROM sized
+        ), weighed AS (
+            SELECT term, floor(1000 * ln((2 * any_value(documents_) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM counted, corpus GROUP BY term
+        ), asked AS (
+            SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+            FROM benchmark
+        ), scored AS (
+            SELECT item, item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents_) // total_))))::BIGINT AS score
+            FROM asked JOIN weighed USING (term) JOIN counted USING (term) JOIN sized USING (doc), corpus
+            GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER best AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)
+        QUALIFY rank <= 10
+    """,
 }
