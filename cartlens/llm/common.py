@@ -45,11 +45,28 @@ def fresh(df: DataFrame, base: str) -> str:
 _SPLITS = "spark.sql.files.minPartitionNum"
 
 
+#: Plan nodes that keep rows where the files (or a fixed list of rows) have them.
+_IN_PLACE = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "DataSourceV2ScanRelation"}
+
+
+def _in_place(df: DataFrame) -> bool:
+    """Whether a row's partition and place in it follow from stored rows alone."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _IN_PLACE:
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def row_ids(df: DataFrame, name: str) -> DataFrame:
     """Give each row a number of its own, so that rows with null or repeated ids
     stay apart.  It is made of the partition and the place in it: two plans over the
     same stored files (a table, a checkpoint) number the rows alike, and a retried
-    task repeats its numbers.  Pass stored tables, not shuffle results.
+    task repeats its numbers.  What isn't a plain scan of stored rows (a shuffle, a
+    join, a limit) may come in another order each time, so it is stored first.
 
     Spark cuts files by the cores that it has at that time unless the session says
     into how many parts; where it doesn't, the present number is set, so that
@@ -58,7 +75,7 @@ def row_ids(df: DataFrame, name: str) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(_SPLITS, None) is None:
         conf.set(_SPLITS, str(df.sparkSession.sparkContext.defaultParallelism))
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return (df if _in_place(df) else stored(df)).withColumn(name, F.monotonically_increasing_id())
 
 
 _HELD: dict[Hashable, Any] = {}
