@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from cartlens.operators.ranking import top_n_per_group
 from cartlens.operators.ratings import index_items, int32
+from cartlens.operators.unseen import top_n_unseen
+from cartlens.session import store
 
 # Fixed values of the workload: implicit ALS with rank 10, 10 iterations,
 # lambda 0.01, alpha 1.0, and 30 recommendations per user.
@@ -88,6 +90,16 @@ def recommend_all_users(
     )
 
 
+def recommend_unseen(
+    model: ALSModel, seen: DataFrame, n: int = TOP_N, user_col: str = "user_id", item_col: str = "item_id"
+) -> DataFrame:
+    """Top-``n`` items for every user the model knows, without the items that ``seen``
+    pairs with the user; the form of :func:`recommend_all_users`."""
+    users = model.userFactors.withColumnRenamed("id", user_col)
+    items = model.itemFactors.withColumnRenamed("id", item_col)
+    return top_n_unseen(users, items, seen, n, user_col, item_col)
+
+
 class IdCodec:
     """Collision-free dictionaries mapping user and item ids to dense 32-bit
     ids for ALS, built with a distributed sort (``index_items``), and the
@@ -120,20 +132,26 @@ def recommend_top_n(
     item_col: str = "item_id",
     rating_col: str = "qty",
     encode_ids: bool = True,
+    exclude_seen: bool = False,
     **als_kwargs,
 ) -> DataFrame:
-    """Fit implicit ALS and return the top-``n`` list of every user.
+    """Fit implicit ALS and return the top-``n`` list of every user; with
+    ``exclude_seen`` without the items that the user has a rating for.
 
     Ids of any type and width are mapped through collision-free dictionaries
     and back.  ``encode_ids=False`` is for ids that are 32-bit numbers already;
     the fit raises if one is not.
     """
+    def lists(own: DataFrame, user: str, item: str) -> DataFrame:
+        own = store(own) if exclude_seen else own  # read by the fit and for the mask
+        model = fit_implicit_als(own, user_col=user, item_col=item, rating_col=rating_col, **als_kwargs)
+        return recommend_unseen(model, own, n, user, item) if exclude_seen else recommend_all_users(model, n, user, item)
+
     if not encode_ids:
-        model = fit_implicit_als(ratings, user_col=user_col, item_col=item_col, rating_col=rating_col, **als_kwargs)
-        return recommend_all_users(model, n, user_col, item_col)
+        return lists(ratings, user_col, item_col)
     codec = IdCodec(ratings, user_col, item_col)
-    model = fit_implicit_als(codec.encode(ratings), user_col=IdCodec.USER, item_col=IdCodec.ITEM, rating_col=rating_col, **als_kwargs)
-    return codec.decode(recommend_all_users(model, n, IdCodec.USER, IdCodec.ITEM))
+    own = codec.encode(ratings).select(IdCodec.USER, IdCodec.ITEM, rating_col)
+    return codec.decode(lists(own, IdCodec.USER, IdCodec.ITEM))
 
 
 def truncate_top_k(recs: DataFrame, k: int, rank_col: str = "rank") -> DataFrame:

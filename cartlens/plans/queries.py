@@ -33,6 +33,7 @@ from cartlens.operators.ratings import (
     user_item_pairs,
 )
 from cartlens.operators.recommend import (
+    TOP_N,
     recommend_popular,
     recommend_top_n,
     top_n_per_user,
@@ -45,6 +46,7 @@ from cartlens.operators.relations import (
     segment_clusters,
     user_attribute_qty,
 )
+from cartlens.operators.unseen import top_n_unseen
 from cartlens.operators.vectors import fill_missing_zero, numeric_columns_to_vector, pivot_wide, row_to_key_and_array
 from cartlens.plans import oracle_sql as q
 from cartlens.plans.cv import als_fold_scores, evaluate_cv, evaluate_cv_by_cluster, evaluate_cv_top_sellers, prepare_folds
@@ -56,6 +58,7 @@ from cartlens.sources.text import parse_ratings, with_item_hash
 Query = Callable[[SparkSession, str], DataFrame]
 
 TEST_FOLD = 0  # fold shown by the train/test split queries
+USER_LABELS = 5  # labels of the embeddings that stand for users
 SEGMENTS_K = 20  # segmentation that feeds the registered evaluation inside segments
 
 
@@ -331,6 +334,34 @@ def q_assign_nearest_centroid_euclidean(spark, sf):
     return _nearest(spark, sf, "euclidean")
 
 
+# ---------------------------------------------------------------- items not bought yet
+
+
+def q_top_n_unseen(spark, sf):
+    """Of the embeddings, five labels stand for users' factors and five for items'; what
+    the purchases pair is masked."""
+    emb = read_table(spark, sf, "embeddings")
+    users = emb.where(f"label < {USER_LABELS}").select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("features"))
+    items = emb.where(f"label >= {USER_LABELS}").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("features"))
+    best = top_n_unseen(users, items, load_ratings(spark, sf), TOP_N)
+    return best.withColumn("score", F.round("score", 6))
+
+
+def q_als_recommendations_unseen(spark, sf):
+    return recommend_top_n(filter_active_users(load_ratings(spark, sf)), exclude_seen=True)
+
+
+def q_als_unseen_counts(spark, sf):
+    """How many users have lists, how long these are together, and how many of their
+    items the user had bought."""
+    active = filter_active_users(load_ratings(spark, sf))
+    found = recommend_top_n(active, exclude_seen=True)
+    bought = active.select("user_id", "item_id", F.lit(1).alias("one"))
+    return found.join(bought, ["user_id", "item_id"], "left").agg(
+        F.count_distinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n_rows"), F.count("one").alias("n_bought")
+    )
+
+
 # ---------------------------------------------------------------- model fits (no SQL oracle)
 
 
@@ -463,6 +494,9 @@ SPARK_QUERIES: dict[str, Query] = {
     "kmeans_cost_curve_cosine": q_kmeans_cost_curve_cosine,
     "kmeans_cost_curve_euclidean": q_kmeans_cost_curve_euclidean,
     "segment_users": q_segment_users,
+    "top_n_unseen": q_top_n_unseen,
+    "als_recommendations_unseen": q_als_recommendations_unseen,
+    "als_unseen_counts": q_als_unseen_counts,
     "user_item_vectors": q_user_item_vectors,
     "numeric_columns_to_vector": q_numeric_columns_to_vector,
 }
@@ -564,6 +598,19 @@ trained AS (
 tested AS (SELECT fold, COUNT(*) AS n_test FROM folded GROUP BY fold)
 SELECT t.fold, CAST(k AS INTEGER) AS k, CAST(users * least(k, items) AS BIGINT) AS n_rec, n_test
 FROM trained t JOIN tested USING (fold) CROSS JOIN (SELECT UNNEST({q.KS_SQL}) AS k)""",
+    "top_n_unseen": f"""WITH {q.RATINGS},
+users AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label < {USER_LABELS}),
+items AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label >= {USER_LABELS}),
+scored AS (
+  SELECT u.user_id, i.item_id, list_dot_product(u.x, i.x) AS score FROM users u CROSS JOIN items i
+  WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = u.user_id AND r.item_id = i.item_id))
+SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, ROUND(score, 6) AS score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) - 1 AS rank FROM scored)
+WHERE rank < {TOP_N}""",
+    "als_unseen_counts": f"""WITH {q.RATINGS}, {q.active()},
+own AS (SELECT user_id, COUNT(DISTINCT item_id) AS n FROM active GROUP BY user_id)
+SELECT COUNT(*) AS n_users, CAST(SUM(least({TOP_N}, (SELECT COUNT(DISTINCT item_id) FROM active) - n)) AS BIGINT) AS n_rows,
+       CAST(0 AS BIGINT) AS n_bought FROM own""",
     "segment_label_counts": f"""WITH {q.RATINGS}
 SELECT CAST(k AS INTEGER) AS k, COUNT(DISTINCT user_id) AS n_users, COUNT(DISTINCT user_id) AS n_rows
 FROM ratings CROSS JOIN (SELECT UNNEST({list(sg.SEGMENT_KS)}) AS k) GROUP BY k""",
