@@ -20,6 +20,7 @@ from cartlens.operators import baskets as bk
 from cartlens.operators import segment as sg
 from cartlens.operators.evaluate import pairs_intersect, precision_recall_at_k, recommendation_hits
 from cartlens.operators.folds import assign_folds, fold_test, fold_train
+from cartlens.operators.lists import user_ratings_list
 from cartlens.operators.ratings import (
     best_seller_ratings,
     cluster_members,
@@ -52,12 +53,15 @@ from cartlens.plans import oracle_sql as q
 from cartlens.plans.cv import als_fold_scores, evaluate_cv, evaluate_cv_by_cluster, evaluate_cv_top_sellers, prepare_folds
 from cartlens.plans.segmentation import customer_vectors, embedding_vectors, evaluate_within_segments, user_cells
 from cartlens.plans.rules import basket_rules_report, rules_report_text
+from cartlens.session import scratch_path
+from cartlens.sources.arrival import ARRIVAL
 from cartlens.sources.tables import read_table
-from cartlens.sources.text import parse_ratings, with_item_hash
+from cartlens.sources.text import parse_ratings, read_ratings, with_item_hash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TEST_FOLD = 0  # fold shown by the train/test split queries
+LIST_CHUNK = 16  # ratings to a list in the registered query (some 40 a customer)
 USER_LABELS = 5  # labels of the embeddings that stand for users
 SEGMENTS_K = 20  # segmentation that feeds the registered evaluation inside segments
 
@@ -141,6 +145,22 @@ def q_fold_test(spark, sf):
     return fold_test(assign_folds(filter_active_users(load_ratings(spark, sf))), TEST_FOLD)
 
 
+def q_user_ratings_list(spark, sf):
+    """Everyone's ratings, ``LIST_CHUNK`` to a list; lists leave the query as arrays."""
+    lists = user_ratings_list(load_ratings(spark, sf), LIST_CHUNK)
+    return lists.select("user_id", "chunk", "n_ratings", F.col("ratings.item_id").alias("items"), F.col("ratings.qty").alias("qtys"))
+
+
+def q_folds_in_arrival_order(spark, sf):
+    """Rating lines, written with the largest quantities first and read back, cut into
+    folds as they arrived."""
+    ratings = load_ratings(spark, sf).orderBy(F.desc("qty"), "item_id", "user_id")
+    path = scratch_path(spark, "lines")
+    ratings.select(F.concat_ws(";", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.col("qty").cast("string")).alias("value")).write.text(path)
+    folded = assign_folds(filter_active_users(read_ratings(spark, path, item_ids="code", arrival=True)), order_cols=ARRIVAL)
+    return folded.select("user_id", "item_code", "qty", "fold")
+
+
 def q_top_n_per_user(spark, sf):
     r = load_ratings(spark, sf).withColumnRenamed("qty", "score")
     return top_n_per_user(r, 10)
@@ -494,6 +514,8 @@ SPARK_QUERIES: dict[str, Query] = {
     "kmeans_cost_curve_cosine": q_kmeans_cost_curve_cosine,
     "kmeans_cost_curve_euclidean": q_kmeans_cost_curve_euclidean,
     "segment_users": q_segment_users,
+    "user_ratings_list": q_user_ratings_list,
+    "folds_in_arrival_order": q_folds_in_arrival_order,
     "top_n_unseen": q_top_n_unseen,
     "als_recommendations_unseen": q_als_recommendations_unseen,
     "als_unseen_counts": q_als_unseen_counts,
@@ -598,6 +620,17 @@ trained AS (
 tested AS (SELECT fold, COUNT(*) AS n_test FROM folded GROUP BY fold)
 SELECT t.fold, CAST(k AS INTEGER) AS k, CAST(users * least(k, items) AS BIGINT) AS n_rec, n_test
 FROM trained t JOIN tested USING (fold) CROSS JOIN (SELECT UNNEST({q.KS_SQL}) AS k)""",
+    "user_ratings_list": f"""WITH {q.RATINGS},
+placed AS (
+  SELECT user_id, item_id, qty, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS place, COUNT(*) OVER (PARTITION BY user_id) AS n
+  FROM ratings)
+SELECT user_id, CAST(place // {LIST_CHUNK} AS BIGINT) AS chunk, any_value(n) AS n_ratings,
+       list(item_id ORDER BY place) AS items, list(qty ORDER BY place) AS qtys
+FROM placed GROUP BY user_id, place // {LIST_CHUNK}""",
+    "folds_in_arrival_order": f"""WITH {q.RATINGS}, {q.active()},
+lines AS (SELECT *, ROW_NUMBER() OVER (ORDER BY qty DESC, item_id, user_id) AS line_no FROM active)
+SELECT user_id, CAST(item_id AS VARCHAR) AS item_code, qty,
+       CAST(10 - NTILE(10) OVER (PARTITION BY user_id ORDER BY line_no DESC) AS INTEGER) AS fold FROM lines""",
     "top_n_unseen": f"""WITH {q.RATINGS},
 users AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label < {USER_LABELS}),
 items AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label >= {USER_LABELS}),

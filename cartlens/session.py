@@ -85,6 +85,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder, for files that are read back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint: the result survives executor loss and its
     lineage (including any non-deterministic row numbering) is frozen."""
@@ -97,6 +102,6 @@ def store(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     back.  Unlike a checkpoint it is columnar, so later reads prune columns and,
     with ``partition_by``, whole folders; the planner knows its real size."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stored")
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from cartlens.sources.arrival import ARRIVAL, numbered_lines
 from cartlens.sources.tables import TABLES, read_table
 from cartlens.sources.text import (
     read_baskets,
@@ -11,6 +12,8 @@ from cartlens.sources.sinks import load_kmeans_model, save_kmeans_model, write_d
 from cartlens.sources.jdbc import read_jdbc_features
 
 __all__ = [
+    "ARRIVAL",
+    "numbered_lines",
     "TABLES",
     "read_table",
     "read_ratings",
