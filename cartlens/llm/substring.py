@@ -16,8 +16,9 @@ from one in its first ``WINDOW`` words to one in its last: over 50 words share a
 in whole parts, five or more of them, and at least 28 of these lie in common spans.
 
 Counts of equal spans are combined before the shuffle.  Spans are found a second time
-to be joined with the repeated ones; a table of marked hash places, whose size is fixed,
-tells the most of those that can't be among them before they are shuffled.  The
+to be joined with the repeated ones; a table of marked hash bits, whose size is fixed,
+tells many of those that can't be among them before they are shuffled (fewer as more
+spans are repeated; with over 10^8 of them next to none).  The
 join is an equality join with one row for each repeated span, which adaptive execution
 can split where one span is very common.
 """
@@ -39,8 +40,9 @@ from cartlens.llm.common import row_ids, slices, stored, text_of
 RUN, MIN_WORDS = 3, 16
 #: In so many successive words of a sentence, one at least ends a part.
 WINDOW = 8
-#: Places of the table that tells which hashes may be repeated.
-PLACES = 1 << 23
+#: Bits of the table that tells which hashes may be repeated (4 MB).
+PLACES = 1 << 25
+_BUCKET = 1 << 15  # fixed value: bits of one of Spark's bitmaps
 _LAST_ID = (1 << 63) - 1
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _STOP = np.isin(np.arange(256), list(b".!?\n"))
@@ -186,10 +188,11 @@ def all_spans(source: DataFrame, marked: bytes | None = None) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(marked) if marked is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.frombuffer(shared.value, dtype=bool) if shared else None
+        places = np.frombuffer(shared.value, dtype=np.uint8) if shared else None
         for batch in slices(batches, 2, 2 << 20):
             found = spans([t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()])
-            kept = slice(None) if places is None else places[found.h1 & PLACES - 1]
+            at = found.h1 & PLACES - 1
+            kept = slice(None) if places is None else (places[at >> 3] >> (at & 7) & 1).astype(bool)
             index = pa.array(found.owner[kept])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(index), batch.column(1).take(index), *(pa.array(a[kept]) for a in (found.first, found.until, found.h1, found.h2))],
@@ -204,9 +207,11 @@ def repeated_spans(source: DataFrame) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("d"), "row_", "first")
     groups = all_spans(source).groupBy("h1", "h2").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = stored(groups.select("h1", "h2", F.col("lead.row_").alias("lead_row"), F.col("lead.first").alias("lead_first")))
-    marked = bytearray(PLACES)
-    taken = groups.select(F.col("h1").bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("place")).distinct().toArrow()  # PLACES rows at most
-    np.frombuffer(marked, dtype=np.uint8)[taken.column(0).to_numpy()] = 1
+    place = F.col("h1").bitwiseAND(F.lit(PLACES - 1))
+    bits = groups.groupBy(F.expr(f"(h1 & {PLACES - 1}) div {_BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(_BUCKET))).alias("bits"))
+    marked = bytearray(PLACES // 8)
+    for row in bits.collect():  # PLACES bits at most
+        marked[row.bucket * _BUCKET // 8 : (row.bucket + 1) * _BUCKET // 8] = row.bits
     later = (F.col("row_") != F.col("lead_row")) | (F.col("first") != F.col("lead_first"))
     return all_spans(source, bytes(marked)).drop("doc_id").join(groups, ["h1", "h2"]).where(later).select("row_", "first", "until")
 
