@@ -52,11 +52,20 @@ from cartlens.operators.vectors import fill_missing_zero, numeric_columns_to_vec
 from cartlens.plans import oracle_sql as q
 from cartlens.plans.cv import als_fold_scores, evaluate_cv, evaluate_cv_by_cluster, evaluate_cv_top_sellers, prepare_folds
 from cartlens.plans.segmentation import customer_vectors, embedding_vectors, evaluate_within_segments, user_cells
-from cartlens.plans.rules import basket_rules_report, rules_report_text
+from cartlens.plans.rules import basket_rules_report, rules_report_text, write_rules_report
+from cartlens.plans.wide_table import write_wide_lines
 from cartlens.session import scratch_path
 from cartlens.sources.arrival import ARRIVAL
 from cartlens.sources.tables import read_table
-from cartlens.sources.text import parse_ratings, read_ratings, with_item_hash
+from cartlens.sources.sinks import write_delimited
+from cartlens.sources.text import (
+    CLUSTER_FILE_HEADER,
+    parse_ratings,
+    read_cluster_assignments,
+    read_purchases_frame,
+    read_ratings,
+    with_item_hash,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -254,6 +263,45 @@ def q_user_brand_arrays(spark, sf):
     return row_to_key_and_array(filled, "user_id")
 
 
+# ---------------------------------------------------------------- files written and read back
+
+
+def _rating_lines(spark, sf):
+    """Headerless rating lines in a folder of their own; its path."""
+    path = scratch_path(spark, "lines")
+    lines = load_ratings(spark, sf).select(F.concat_ws(";", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.col("qty").cast("string")).alias("value"))
+    lines.write.text(path)
+    return path
+
+
+def q_wide_item_file(spark, sf):
+    """The customer x item table as one file, a column for each item; its lines."""
+    path = scratch_path(spark, "wide")
+    write_wide_lines(load_ratings(spark, sf), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def q_purchases_frame_file(spark, sf):
+    return read_purchases_frame(spark, _rating_lines(spark, sf), item_type="int")
+
+
+def q_cluster_file(spark, sf):
+    """Customers by nation as the cluster file of a segmentation, in one file."""
+    path = scratch_path(spark, "clusters")
+    cluster, customer = CLUSTER_FILE_HEADER
+    clusters = nation_clusters(spark, sf).select(F.col("cluster_number").alias(cluster), F.col("user_id").alias(customer))
+    write_delimited(clusters, path, single_file=True, order_by=[cluster, customer])
+    return read_cluster_assignments(spark, path)
+
+
+def q_rules_report_file(spark, sf):
+    """The report as one file with a header, read back as strings."""
+    path = scratch_path(spark, "rules")
+    report = basket_rules_report(spark, sf, "p_type").withColumn("confidence", F.round("confidence", 6))
+    write_rules_report(report, path, single_file=True)
+    return spark.read.option("sep", ";").option("header", "true").option("nullValue", "\x00").option("emptyValue", "").csv(path).na.fill("")
+
+
 # ---------------------------------------------------------------- baskets
 
 
@@ -516,6 +564,10 @@ SPARK_QUERIES: dict[str, Query] = {
     "segment_users": q_segment_users,
     "user_ratings_list": q_user_ratings_list,
     "folds_in_arrival_order": q_folds_in_arrival_order,
+    "wide_item_file": q_wide_item_file,
+    "purchases_frame_file": q_purchases_frame_file,
+    "cluster_file": q_cluster_file,
+    "rules_report_file": q_rules_report_file,
     "top_n_unseen": q_top_n_unseen,
     "als_recommendations_unseen": q_als_recommendations_unseen,
     "als_unseen_counts": q_als_unseen_counts,
@@ -631,6 +683,16 @@ FROM placed GROUP BY user_id, place // {LIST_CHUNK}""",
 lines AS (SELECT *, ROW_NUMBER() OVER (ORDER BY qty DESC, item_id, user_id) AS line_no FROM active)
 SELECT user_id, CAST(item_id AS VARCHAR) AS item_code, qty,
        CAST(10 - NTILE(10) OVER (PARTITION BY user_id ORDER BY line_no DESC) AS INTEGER) AS fold FROM lines""",
+    "wide_item_file": f"""WITH {q.RATINGS}, {q.DICTIONARY},
+users AS (SELECT DISTINCT user_id FROM ratings),
+grid AS (SELECT u.user_id, d.item_id, d.item_idx FROM users u CROSS JOIN dictionary d)
+SELECT 'user_id;' || string_agg(CAST(item_id AS VARCHAR), ';' ORDER BY item_idx) AS line FROM dictionary
+UNION ALL
+SELECT CAST(g.user_id AS VARCHAR) || ';' || string_agg(coalesce(CAST(r.qty AS VARCHAR), ''), ';' ORDER BY g.item_idx)
+FROM grid g LEFT JOIN ratings r ON r.user_id = g.user_id AND r.item_id = g.item_id
+GROUP BY g.user_id""",
+    "purchases_frame_file": f"WITH {q.RATINGS} SELECT user_id, CAST(item_id AS INTEGER) AS item_id, qty FROM ratings",
+    "cluster_file": "SELECT DISTINCT CAST(c_nationkey AS INTEGER) AS cluster_number, c_custkey AS user_id FROM customer",
     "top_n_unseen": f"""WITH {q.RATINGS},
 users AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label < {USER_LABELS}),
 items AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label >= {USER_LABELS}),
@@ -722,3 +784,5 @@ SELECT vec_id, cluster, ROUND(distance, 6) AS distance FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS rn FROM d)
 WHERE rn = 1""",
 }
+# a file read back holds what the text form of the report holds
+ORACLE_SQL["rules_report_file"] = ORACLE_SQL["rules_report_text"]
