@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartlens.operators.nearest import nearest_in_blocks
 from cartlens.operators.recommend import DEFAULT_SEED
 from cartlens.session import store
 
@@ -231,15 +232,16 @@ def assign_nearest_centroid(
     Cosine distance is ``1 - x.c / (|x| |c|)``, Euclidean distance is squared.
 
     A zero point has no cosine distance, so its cluster and distance are null; a
-    zero centroid is never nearest.  The centroids become one array, which every
-    task holds; more than ``max_centroids`` of them raise (label in parts then).
-    Each vector's norm is computed once, not for each pair.
+    zero centroid is never nearest.  Up to ``max_centroids`` centroids become one array,
+    which every task holds; more are met in blocks of that size
+    (:mod:`cartlens.operators.nearest`), with the same answer.  Each vector's norm is
+    computed once, not for each pair.
     """
     if distance not in ("cosine", "euclidean"):
         raise ValueError("distance must be 'cosine' or 'euclidean'")
     count = centroids.select(F.count(F.lit(1)).alias("n")).first()["n"]  # a number, before anything is gathered
     if count > max_centroids:
-        raise ValueError(f"{count} centroids; at most {max_centroids} are held as one array")
+        return nearest_in_blocks(points, centroids, distance, id_col, vector_col, cluster_col, max_centroids)
     v = F.col("centroid").cast("array<double>")
     entry = F.struct(F.col(cluster_col).alias("c"), v.alias("v"), _norm(v).alias("n"))
     table = centroids.select(F.array_sort(F.collect_list(entry))).scalar()

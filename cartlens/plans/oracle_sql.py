@@ -22,6 +22,14 @@ DICTIONARY = """dictionary AS (
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]  # fixed values: the brands of the part table
 
 
+BRAND_VECTORS = """cells AS (
+  SELECT r.user_id, p.p_brand AS brand, SUM(r.qty) AS qty FROM ratings r JOIN part p ON p.p_partkey = r.item_id GROUP BY ALL),
+vectors AS (
+  SELECT u.user_id, list(coalesce(c.qty, 0.0) ORDER BY b.brand) AS x
+  FROM (SELECT DISTINCT user_id FROM cells) u CROSS JOIN (SELECT DISTINCT brand FROM cells) b
+  LEFT JOIN cells c ON c.user_id = u.user_id AND c.brand = b.brand GROUP BY u.user_id)"""
+
+
 def brand_columns(cell: str) -> str:
     """One column per brand, ``cell`` with the brand's literal in it."""
     return ", ".join(cell.format(f"'{b}'") + f' AS "{b}"' for b in BRANDS)

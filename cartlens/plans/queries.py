@@ -54,7 +54,7 @@ from cartlens.plans.cv import als_fold_scores, evaluate_cv, evaluate_cv_by_clust
 from cartlens.plans.segmentation import customer_vectors, embedding_vectors, evaluate_within_segments, user_cells
 from cartlens.plans.rules import basket_rules_report, rules_report_text, write_rules_report
 from cartlens.plans.wide_table import write_wide_lines
-from cartlens.session import scratch_path
+from cartlens.session import scratch_path, store
 from cartlens.sources.arrival import ARRIVAL
 from cartlens.sources.tables import read_table
 from cartlens.sources.sinks import write_delimited
@@ -71,6 +71,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TEST_FOLD = 0  # fold shown by the train/test split queries
 LIST_CHUNK = 16  # ratings to a list in the registered query (some 40 a customer)
+CENTROID_BLOCK = 256  # centroids met at a time by the look-alike queries, so that some blocks arise
 USER_LABELS = 5  # labels of the embeddings that stand for users
 SEGMENTS_K = 20  # segmentation that feeds the registered evaluation inside segments
 
@@ -402,6 +403,26 @@ def q_assign_nearest_centroid_euclidean(spark, sf):
     return _nearest(spark, sf, "euclidean")
 
 
+def _lookalike(spark, sf, distance):
+    """For each customer with an odd id, the nearest one with an even id by what was
+    bought of each brand: as many centroids as there are such customers."""
+    brands = load_ratings(spark, sf).join(read_table(spark, sf, "part", ["p_partkey", "p_brand"]), F.col("item_id") == F.col("p_partkey"))
+    wide = pivot_wide(brands.select("user_id", "p_brand", "qty"), "user_id", "p_brand", "qty", agg="sum")
+    vectors = store(row_to_key_and_array(fill_missing_zero(wide, [c for c in wide.columns if c != "user_id"]), "user_id", output_col="vector"))
+    even = vectors.where("user_id % 2 = 0").select(F.col("user_id").alias("cluster"), F.col("vector").alias("centroid"))
+    odd = vectors.where("user_id % 2 = 1")
+    found = sg.assign_nearest_centroid(odd, even, distance, id_col="user_id", max_centroids=CENTROID_BLOCK)
+    return found.select("user_id", F.col("cluster").alias("lookalike"), F.round("distance", 6).alias("distance"))
+
+
+def q_nearest_lookalike(spark, sf):
+    return _lookalike(spark, sf, "euclidean")
+
+
+def q_nearest_lookalike_cosine(spark, sf):
+    return _lookalike(spark, sf, "cosine").drop("lookalike")
+
+
 # ---------------------------------------------------------------- items not bought yet
 
 
@@ -568,6 +589,8 @@ SPARK_QUERIES: dict[str, Query] = {
     "purchases_frame_file": q_purchases_frame_file,
     "cluster_file": q_cluster_file,
     "rules_report_file": q_rules_report_file,
+    "nearest_lookalike": q_nearest_lookalike,
+    "nearest_lookalike_cosine": q_nearest_lookalike_cosine,
     "top_n_unseen": q_top_n_unseen,
     "als_recommendations_unseen": q_als_recommendations_unseen,
     "als_unseen_counts": q_als_unseen_counts,
@@ -693,6 +716,16 @@ FROM grid g LEFT JOIN ratings r ON r.user_id = g.user_id AND r.item_id = g.item_
 GROUP BY g.user_id""",
     "purchases_frame_file": f"WITH {q.RATINGS} SELECT user_id, CAST(item_id AS INTEGER) AS item_id, qty FROM ratings",
     "cluster_file": "SELECT DISTINCT CAST(c_nationkey AS INTEGER) AS cluster_number, c_custkey AS user_id FROM customer",
+    "nearest_lookalike": f"""WITH {q.RATINGS}, {q.BRAND_VECTORS},
+d AS (
+  SELECT a.user_id, b.user_id AS lookalike, list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+  FROM vectors a CROSS JOIN vectors b WHERE a.user_id % 2 = 1 AND b.user_id % 2 = 0)
+SELECT user_id, lookalike, ROUND(distance, 6) AS distance FROM d
+QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY distance, lookalike) = 1""",
+    "nearest_lookalike_cosine": f"""WITH {q.RATINGS}, {q.BRAND_VECTORS},
+normed AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM vectors)
+SELECT a.user_id, ROUND(min(1.0 - list_dot_product(a.x, b.x) / (a.norm * b.norm)), 6) AS distance
+FROM normed a CROSS JOIN normed b WHERE a.user_id % 2 = 1 AND b.user_id % 2 = 0 GROUP BY a.user_id""",
     "top_n_unseen": f"""WITH {q.RATINGS},
 users AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label < {USER_LABELS}),
 items AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label >= {USER_LABELS}),
