@@ -8,6 +8,8 @@ Recommendation frames are long: ``(user_id, rank, item_id, score)`` with a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +102,59 @@ def recommend_unseen(
     return top_n_unseen(users, items, seen, n, user_col, item_col)
 
 
+def normal_equation_residuals(
+    user_factors: DataFrame,
+    item_factors: DataFrame,
+    ratings: DataFrame,
+    rank: int = ALS_RANK,
+    reg_param: float = ALS_REG_PARAM,
+    alpha: float = ALS_ALPHA,
+    user_col: str = "user_id",
+    item_col: str = "item_id",
+    rating_col: str = "qty",
+    factor_col: str = "features",
+) -> DataFrame:
+    """``(user_id, n_ratings, residual)``: how far each user's factors are from solving the
+    equations of implicit ALS's last half step, ``A x = b`` with
+
+        A = sum over all items of y y' + sum over the user's of c y y' + reg n I
+        b = sum over the user's of (1 + c) y,   c = alpha |rating|
+
+    (``n`` and ``b`` over positive ratings); ``residual`` is the greatest coordinate of
+    ``A x - b`` against that of ``b``.  With exact arithmetic it is 0 for a fitted model; its
+    factors are single precision.  A user of ``ratings`` without factors has a null
+    residual.
+
+    The items' Gram matrix is one aggregate of ``rank * (rank + 1) / 2`` sums; a user's
+    products are summed per coordinate, combined before the shuffle.
+    """
+    if rank < 1:
+        raise ValueError("rank must be at least 1")
+    y, x = (lambda p: F.get("y", p)), (lambda p: F.get("x", p))
+    wide = F.col(factor_col).cast("array<double>")
+    items = item_factors.select(F.col(item_col).cast("bigint").alias("i"), wide.alias("y"))
+    users = user_factors.select(F.col(user_col).cast("bigint").alias("u"), wide.alias("x"))
+    gram = items.agg(*[F.sum(y(p) * y(q)).alias(f"g{p}_{q}") for p in range(rank) for q in range(p, rank)])
+    gram = gram.select(F.struct(*gram.columns)).scalar()
+    c, positive = F.lit(alpha) * F.abs("r"), F.col("r") > 0
+    rows = ratings.select(F.col(user_col).cast("bigint").alias("u"), F.col(item_col).cast("bigint").alias("i"), F.col(rating_col).cast("float").cast("double").alias("r"))
+    rows = rows.join(items, "i").join(users, "u", "left")
+    dot = reduce(lambda a, b: a + b, [x(p) * y(p) for p in range(rank)])
+    rows = rows.withColumn("c", c).withColumn("xy", dot).withColumn("w", F.when(positive, F.col("c") + 1).otherwise(0.0))
+    sums = rows.groupBy("u").agg(
+        F.count(F.lit(1)).alias("n_ratings"),
+        F.sum(positive.cast("int")).alias("n"),
+        F.first("x").alias("x"),
+        *[F.sum(F.col("c") * F.col("xy") * y(p)).alias(f"a{p}") for p in range(rank)],
+        *[F.sum(F.col("w") * y(p)).alias(f"b{p}") for p in range(rank)],
+    ).withColumn("g", gram)
+    whole = lambda p: reduce(lambda a, b: a + b, [F.col("g")[f"g{min(p, q)}_{max(p, q)}"] * x(q) for q in range(rank)])
+    off = [F.abs(whole(p) + F.col(f"a{p}") + F.lit(reg_param) * F.col("n") * x(p) - F.col(f"b{p}")) for p in range(rank)]
+    most = lambda cols: F.array_max(F.array(*cols))
+    known = F.when(F.col("x").isNotNull(), F.try_divide(most(off), most([F.abs(f"b{p}") for p in range(rank)])))
+    return sums.select(F.col("u").alias(user_col), "n_ratings", known.alias("residual"))
+
+
 class IdCodec:
     """Collision-free dictionaries mapping user and item ids to dense 32-bit
     ids for ALS, built with a distributed sort (``index_items``), and the

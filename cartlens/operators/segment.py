@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,6 +193,27 @@ def model_centroids(model: KMeansModel) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def stored_centroids(spark: SparkSession, model_dir: str) -> DataFrame:
+    """``(k INT, cluster_number INT, centroid ARRAY<DOUBLE>)`` of all models that a sweep
+    saved under ``model_dir`` (as ``k-<k>``), read as one table."""
+    data = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{model_dir.rstrip('/')}/k-*/data")
+    k = F.regexp_extract(F.col("_metadata.file_path"), r"/k-(\d+)/data/", 1).cast("int").alias("k")
+    return data.select(k, F.col("clusterIdx").cast("int").alias("cluster_number"), vector_to_array("clusterCenter").alias("centroid"))
+
+
+def label_by_stored(points: DataFrame, centroids: DataFrame, ks: Iterable[int], distance: str = "cosine", id_col: str = "user_id", features_col: str = "features") -> DataFrame:
+    """``(k, cluster_number, user_id, distance)``: every point labelled with the centroids
+    of each stored model; a point without a nearest one has nulls.  Summed over a model's
+    points ``distance`` is its cost."""
+    rows = store(points.select(id_col, vector_to_array(features_col).alias("vector")))
+    parts = []
+    for k in ks:
+        own = centroids.where(F.col("k") == k).select("cluster_number", "centroid")
+        found = assign_nearest_centroid(rows, own, distance, id_col=id_col, cluster_col="cluster_number")
+        parts.append(found.select(F.lit(k).cast("int").alias("k"), "cluster_number", id_col, "distance"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def label_centroids(points: DataFrame, label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """Mean vector per label: ``(label, centroid ARRAY<DOUBLE>)``.
 

@@ -80,6 +80,26 @@ def sparse_vector(size: int, indices: Column, values: Column) -> Column:
     return F.from_json(F.to_json(F.struct(body.alias("v"))), schema)["v"]
 
 
+def hashed_cells(
+    pairs: DataFrame, width: int, user_col: str = "user_id", item_col: str = "item_id", value_col: str = "qty", index_col: str = "item_idx"
+) -> DataFrame:
+    """Long ``(user, item, value)`` rows as ``(user_id, item_idx, qty)`` cells of a fixed
+    width: signed feature hashing.
+
+    An item's column and sign come from its MD5, so no dictionary of items is built and
+    vectors have ``width`` positions whatever the catalogue.  Items that share a column
+    add up with their signs, which leaves dot products right on average.
+    """
+    if width < 1:
+        raise ValueError("width must be at least 1")
+    # 60 bits of the digest: the column from the low ones, the sign from the next
+    number = F.conv(F.substring(F.md5(F.col(item_col).cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    even = F.pmod(F.call_function("div", number, F.lit(width).cast("bigint")), F.lit(2)) == 0
+    signed = F.when(even, F.col(value_col)).otherwise(-F.col(value_col))
+    cells = pairs.select(user_col, F.pmod(number, F.lit(width)).cast("int").alias(index_col), signed.cast("double").alias(value_col))
+    return cells.groupBy(user_col, index_col).agg(F.sum(value_col).alias(value_col))
+
+
 def user_item_vectors(
     pairs: DataFrame,
     dim: int,

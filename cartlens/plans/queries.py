@@ -35,6 +35,8 @@ from cartlens.operators.ratings import (
 )
 from cartlens.operators.recommend import (
     TOP_N,
+    fit_implicit_als,
+    normal_equation_residuals,
     recommend_popular,
     recommend_top_n,
     top_n_per_user,
@@ -48,10 +50,16 @@ from cartlens.operators.relations import (
     user_attribute_qty,
 )
 from cartlens.operators.unseen import top_n_unseen
-from cartlens.operators.vectors import fill_missing_zero, numeric_columns_to_vector, pivot_wide, row_to_key_and_array
+from cartlens.operators.vectors import fill_missing_zero, hashed_cells, numeric_columns_to_vector, pivot_wide, row_to_key_and_array
 from cartlens.plans import oracle_sql as q
 from cartlens.plans.cv import als_fold_scores, evaluate_cv, evaluate_cv_by_cluster, evaluate_cv_top_sellers, prepare_folds
-from cartlens.plans.segmentation import customer_vectors, embedding_vectors, evaluate_within_segments, user_cells
+from cartlens.plans.segmentation import (
+    customer_vectors,
+    embedding_vectors,
+    evaluate_within_segments,
+    hashed_customer_vectors,
+    user_cells,
+)
 from cartlens.plans.rules import basket_rules_report, rules_report_text, write_rules_report
 from cartlens.plans.wide_table import write_wide_lines
 from cartlens.session import scratch_path, store
@@ -72,6 +80,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 TEST_FOLD = 0  # fold shown by the train/test split queries
 LIST_CHUNK = 16  # ratings to a list in the registered query (some 40 a customer)
 CENTROID_BLOCK = 256  # centroids met at a time by the look-alike queries, so that some blocks arise
+HASH_WIDTH = 4096  # positions of a hashed customer vector
+RESIDUAL = 1e-3  # of the equations' right side; factors are single precision
 USER_LABELS = 5  # labels of the embeddings that stand for users
 SEGMENTS_K = 20  # segmentation that feeds the registered evaluation inside segments
 
@@ -515,6 +525,42 @@ def q_segment_users(spark, sf):
     return sg.segment_users(customer_vectors(spark, sf, "p_brand"), sg.SEGMENT_KS, "cosine")
 
 
+def q_user_hash_cells(spark, sf):
+    return hashed_cells(load_ratings(spark, sf), HASH_WIDTH)
+
+
+def q_kmeans_cost_curve_hashed(spark, sf):
+    return sg.kmeans_cost_curve(hashed_customer_vectors(spark, sf, HASH_WIDTH), sg.SEGMENT_KS, "cosine")
+
+
+def q_stored_model_labels(spark, sf):
+    """Models of a sweep, saved, read back as one table of centroids and used to label
+    all customers: for each k how many have no label, how many another one than
+    the model gave, and by how much the cost is over that of training."""
+    vectors, path = store(customer_vectors(spark, sf, "p_brand")), scratch_path(spark, "models")
+    curve, labels = sg.kmeans_sweep(vectors, sg.SEGMENT_KS, "cosine", segment_ks=sg.SEGMENT_KS, model_dir=path)
+    found = sg.label_by_stored(vectors, sg.stored_centroids(spark, path), sg.SEGMENT_KS)
+    both = found.join(labels.select("k", "user_id", F.col("cluster_number").alias("given")), ["k", "user_id"], "full")
+    sums = both.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n_users"),
+        F.count_if(F.col("cluster_number").isNull()).alias("n_unlabelled"),
+        F.count_if(~F.col("cluster_number").eqNullSafe(F.col("given"))).alias("n_other"),
+        F.sum("distance").alias("again"),
+    )
+    over = F.round(F.greatest(F.col("again") - F.col("cost"), F.lit(0.0)), 6).alias("cost_over")
+    return sums.join(curve, "k").select("k", "n_users", "n_unlabelled", "n_other", over)
+
+
+def q_als_residual_counts(spark, sf):
+    """Users of the fitted model, and those whose factors don't solve their equations."""
+    active = store(filter_active_users(load_ratings(spark, sf)))
+    model = fit_implicit_als(active)
+    users, items = model.userFactors.withColumnRenamed("id", "user_id"), model.itemFactors.withColumnRenamed("id", "item_id")
+    found = normal_equation_residuals(users, items, active)
+    wrong = F.col("residual").isNull() | (F.col("residual") > RESIDUAL)
+    return found.agg(F.count(F.lit(1)).alias("n_users"), F.sum("n_ratings").alias("n_ratings"), F.count_if(wrong).alias("n_over"))
+
+
 def _vectors_as_arrays(df, col="features"):
     # vectors leave the registered query as plain arrays, readable by any collector
     return df.withColumn(col, vector_to_array(F.col(col)))
@@ -591,6 +637,10 @@ SPARK_QUERIES: dict[str, Query] = {
     "rules_report_file": q_rules_report_file,
     "nearest_lookalike": q_nearest_lookalike,
     "nearest_lookalike_cosine": q_nearest_lookalike_cosine,
+    "user_hash_cells": q_user_hash_cells,
+    "kmeans_cost_curve_hashed": q_kmeans_cost_curve_hashed,
+    "stored_model_labels": q_stored_model_labels,
+    "als_residual_counts": q_als_residual_counts,
     "top_n_unseen": q_top_n_unseen,
     "als_recommendations_unseen": q_als_recommendations_unseen,
     "als_unseen_counts": q_als_unseen_counts,
@@ -726,6 +776,15 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY distance, lookalike) =
 normed AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM vectors)
 SELECT a.user_id, ROUND(min(1.0 - list_dot_product(a.x, b.x) / (a.norm * b.norm)), 6) AS distance
 FROM normed a CROSS JOIN normed b WHERE a.user_id % 2 = 1 AND b.user_id % 2 = 0 GROUP BY a.user_id""",
+    "user_hash_cells": f"""WITH {q.RATINGS},
+hashed AS (SELECT *, CAST('0x' || substr(md5(CAST(item_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM ratings)
+SELECT user_id, CAST(h % {HASH_WIDTH} AS INTEGER) AS item_idx, SUM(CASE WHEN (h // {HASH_WIDTH}) % 2 = 0 THEN qty ELSE -qty END) AS qty
+FROM hashed GROUP BY user_id, h % {HASH_WIDTH}""",
+    "stored_model_labels": f"""WITH {q.RATINGS}
+SELECT CAST(k AS INTEGER) AS k, COUNT(DISTINCT user_id) AS n_users, CAST(0 AS BIGINT) AS n_unlabelled, CAST(0 AS BIGINT) AS n_other, CAST(0 AS DOUBLE) AS cost_over
+FROM ratings CROSS JOIN (SELECT UNNEST({list(sg.SEGMENT_KS)}) AS k) GROUP BY k""",
+    "als_residual_counts": f"""WITH {q.RATINGS}, {q.active()}
+SELECT COUNT(DISTINCT user_id) AS n_users, COUNT(*) AS n_ratings, CAST(0 AS BIGINT) AS n_over FROM active""",
     "top_n_unseen": f"""WITH {q.RATINGS},
 users AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label < {USER_LABELS}),
 items AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label >= {USER_LABELS}),

@@ -1,0 +1,101 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from cartlens.operators import segment as sg
+from cartlens.operators.recommend import fit_implicit_als, normal_equation_residuals
+from cartlens.operators.vectors import hashed_cells
+from cartlens.plans.segmentation import customer_vectors, hashed_customer_vectors
+from tests.conftest import SF001
+
+
+def _place(item, width):
+    h = int(hashlib.md5(str(item).encode()).hexdigest()[:15], 16)
+    return h % width, 1 if h // width % 2 == 0 else -1
+
+
+@pytest.mark.parametrize("width", [1, 3, 64, 100_000])
+def test_hashed_cells(spark, width):
+    r = random.Random(width)
+    rows = [(r.randrange(5), f"é{r.randrange(60)}", float(r.randint(1, 9))) for _ in range(400)]
+    want = {}
+    for u, item, v in rows:
+        column, sign = _place(item, width)
+        want[u, column] = want.get((u, column), 0.0) + sign * v
+    got = hashed_cells(spark.createDataFrame(rows, "user_id long, item_id string, qty double"), width)
+    assert {(x.user_id, x.item_idx): x.qty for x in got.collect()} == want
+    assert hashed_cells(got.select("user_id", F.col("item_idx").alias("item_id"), "qty").limit(0), width).collect() == []
+
+
+def test_hashing_keeps_products_on_average(spark):
+    """Cosines of hashed vectors lie near those of the exact ones."""
+    def rows(df):
+        return {x.user_id: np.array(x.v) for x in df.select("user_id", vector_to_array("features").alias("v")).collect()}
+
+    exact, hashed = rows(customer_vectors(spark, SF001, "item")), rows(hashed_customer_vectors(spark, SF001, 4096))
+    assert exact.keys() == hashed.keys()
+    unit = lambda v: v / np.linalg.norm(v)
+    users = sorted(exact)
+    off = [float(unit(exact[a]) @ unit(exact[b]) - unit(hashed[a]) @ unit(hashed[b])) for a, b in zip(users, users[1:], strict=False)]
+    assert max(map(abs, off)) < 0.1 and abs(np.mean(off)) < 0.01
+    with pytest.raises(ValueError):
+        hashed_cells(spark.range(1).selectExpr("id AS user_id", "id AS item_id", "1.0 AS qty"), 0)
+
+
+@pytest.mark.parametrize("distance", ["cosine", "euclidean"])
+def test_stored_models_as_a_table(spark, tmp_dir, distance):
+    vectors = customer_vectors(spark, SF001, "p_brand")
+    ks = [2, 5, 12]
+    curve, labels = sg.kmeans_sweep(vectors, ks, distance, segment_ks=ks, model_dir=tmp_dir)
+    table = sg.stored_centroids(spark, tmp_dir)
+    found = {}
+    for r in table.collect():
+        found.setdefault(r.k, {})[r.cluster_number] = r.centroid
+    assert sorted(found) == ks
+    for k in ks:
+        centers = KMeansModel.load(f"{tmp_dir}/k-{k}").clusterCenters()
+        assert [found[k][i] for i in range(k)] == [list(map(float, c)) for c in centers]
+    own = sg.label_by_stored(vectors, table, ks, distance)
+    given = {(r.k, r.user_id): r.cluster_number for r in labels.collect()}
+    assert {(r.k, r.user_id): r.cluster_number for r in own.collect()} == given
+    again = {r.k: r.cost for r in own.groupBy("k").agg(F.sum("distance").alias("cost")).collect()}
+    for r in curve.collect():  # training's cost is that before the last move of the centroids
+        assert again[r.k] <= r.cost * (1 + 1e-9) and again[r.k] == pytest.approx(r.cost, rel=0.05)
+
+
+def _fitted(spark):
+    r = random.Random(8)
+    rows = [(u, i, float(r.choice([1, 2, 5, 0, -1]))) for u in range(40) for i in r.sample(range(50), 12)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, qty double")
+    model = fit_implicit_als(ratings, rank=4, max_iter=3, num_blocks=2)
+    return rows, ratings, model.userFactors.withColumnRenamed("id", "user_id"), model.itemFactors.withColumnRenamed("id", "item_id")
+
+
+def test_fitted_factors_solve_their_equations(spark):
+    rows, ratings, users, items = _fitted(spark)
+    found = {r.user_id: r for r in normal_equation_residuals(users, items, ratings, rank=4).collect()}
+    assert len(found) == 40 and all(r.residual < 1e-4 for r in found.values())
+    assert sum(r.n_ratings for r in found.values()) == len(rows)
+    # the same equations, solved in numpy
+    y = {r.item_id: np.array(r.features, dtype=float) for r in items.collect()}
+    x = {r.user_id: np.array(r.features, dtype=float) for r in users.collect()}
+    gram = sum(np.outer(v, v) for v in y.values())
+    for u in range(40):
+        mine = [(y[i], q) for a, i, q in rows if a == u]
+        a = gram + sum(abs(q) * np.outer(v, v) for v, q in mine) + 0.01 * sum(q > 0 for _, q in mine) * np.eye(4)
+        b = sum((1 + q) * v for v, q in mine if q > 0)
+        assert np.allclose(np.linalg.solve(a, b), x[u], rtol=1e-3, atol=1e-4)
+
+
+def test_other_factors_do_not(spark):
+    _, ratings, users, items = _fitted(spark)
+    moved = users.withColumn("features", F.transform("features", lambda v: v * 1.05))
+    found = normal_equation_residuals(moved, items, ratings, rank=4)
+    assert found.where("residual > 1e-3").count() == 40
+    less = normal_equation_residuals(users.where("user_id < 30"), items, ratings, rank=4)
+    assert less.where("residual is null").count() == 10
