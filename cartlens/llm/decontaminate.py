@@ -14,9 +14,12 @@ over each text, by one word at a time:
 4. the weighted Jaccard similarity of the two shingle multisets, compared word by
    word, decides (0.8 or more).
 
+So step 1 says which windows are worth a fingerprint, and the fingerprint which items
+a window is compared with.
+
 Every text is handled on its own, without a shuffle.  The benchmark is read in
-chunks of about ``CHUNK_BYTES`` that are broadcast one after the other, so that
-what a task holds doesn't grow with the benchmark.
+chunks of bounded size that are broadcast one after the other, each in a pass
+of its own over the texts, so that neither a task nor the driver holds more than one.
 """
 
 from __future__ import annotations
@@ -30,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cartlens.llm.common import fresh, slices
+from cartlens.llm.common import fresh, slices, stored
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 BLOCKS, BLOCK_RADIUS = 8, 2
-CHUNK_BYTES = 4 << 20
+#: A chunk of the benchmark: at most about so many bytes and items.
+CHUNK_BYTES, CHUNK_ITEMS = 4 << 20, 20_000
+#: Entries of the multi-index that are looked at together.
+LOOKED_UP = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _PRIME_INVERSE = pow(_PRIME, -1, 1 << 64)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -114,22 +121,43 @@ def _runs(text: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> Count
     return Counter(tuple(found[i : i + size]) for i in range(len(found) - size + 1))
 
 
+_BYTES = np.arange(256, dtype=np.uint8)
+#: For each value of a block, the values within ``BLOCK_RADIUS`` bits of it.
+_AROUND = np.stack([np.flatnonzero(np.bitwise_count(_BYTES ^ v) <= BLOCK_RADIUS) for v in _BYTES])
+
+
 class MultiIndex:
-    """All fingerprints within ``RADIUS`` bits of a query."""
+    """All fingerprints within ``RADIUS`` bits of a query.  For each block the items are
+    listed by the block's value; a query looks up the lists of all values near its own."""
 
     def __init__(self, fingerprints: np.ndarray):
         self.fingerprints = fingerprints
-        values = np.arange(256, dtype=np.uint8)
-        near = np.bitwise_count(values[:, None] ^ values) <= BLOCK_RADIUS
-        blocks = fingerprints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        self.tables = [near[:, blocks[:, b]] for b in range(BLOCKS)]  # value of the block, then item
+        values = fingerprints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        self.items = [np.argsort(values[:, b], kind="stable") for b in range(BLOCKS)]
+        self.begins = [np.searchsorted(values[order, b], np.arange(257)) for b, order in enumerate(self.items)]
+
+    def near_all(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place of the query, item), by query, then item."""
+        step = max(1, LOOKED_UP // max(1, len(self.fingerprints)))
+        parts = [self._near(queries[k : k + step], k) for k in range(0, len(queries), step)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int))
+
+    def _near(self, queries: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+        blocks = queries.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        found = []
+        for b, (items, begins) in enumerate(zip(self.items, self.begins, strict=True)):
+            around = _AROUND[blocks[:, b]]
+            lo, many = begins[around].ravel(), (begins[around + 1] - begins[around]).ravel()
+            owner = np.repeat(np.repeat(np.arange(len(queries)), around.shape[1]), many)
+            place = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+            item = items[place]
+            close = np.bitwise_count(self.fingerprints[item] ^ queries[owner]) <= RADIUS
+            found.append(owner[close] * len(self.fingerprints) + item[close])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.fingerprints) + base, pairs % len(self.fingerprints)
 
     def near(self, query: int) -> np.ndarray:
-        candidates = np.zeros(len(self.fingerprints), dtype=bool)
-        for b, table in enumerate(self.tables):
-            candidates |= table[query >> 8 * b & 255]
-        found = np.flatnonzero(candidates)
-        return found[np.bitwise_count(self.fingerprints[found] ^ np.uint64(query)) <= RADIUS]
+        return self.near_all(np.array([query], dtype=np.uint64))[1]
 
 
 @dataclass
@@ -139,6 +167,7 @@ class Benchmark:
     ids: list[int | None]
     texts: list[bytes]
     length: list[int] = field(default_factory=list)  # words
+    size: list[int] = field(default_factory=list)  # words of a shingle
     counts: list[Counter] = field(default_factory=list)
     index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
@@ -148,6 +177,7 @@ class Benchmark:
             starts, ends, hashes = words(text)
             size = min(SHINGLE, len(starts))
             self.length.append(len(starts))
+            self.size.append(size)
             self.counts.append(_runs(text, starts, ends, size) if size else Counter())
             own = shingles(hashes, size) if size else np.zeros(0, dtype=np.uint64)
             fingerprints.append(simhashes(own, np.zeros(1, dtype=np.int64), len(own))[0] if size else np.uint64(0))
@@ -168,6 +198,14 @@ class Benchmark:
         equals) for every item that the text holds."""
         starts, ends, hashes = words(text)
         best: dict[int, tuple[float, int, int]] = {}
+        for (size, n_words), begins in self._windows(hashes).items():
+            self._verify(size, n_words, np.unique(np.concatenate(begins)), text, starts, ends, shingles(hashes, size), best)
+        return [(i, s, n, similar) for i, (similar, s, n) in sorted(best.items())]
+
+    def _windows(self, hashes: np.ndarray) -> dict[tuple[int, int], list[np.ndarray]]:
+        """Begins of windows, by shingle size and words: those that hold enough shingles of
+        some item of that length."""
+        out: dict[tuple[int, int], list[np.ndarray]] = {}
         for size, (keys, first, items, screen) in self.index.items():
             own = shingles(hashes, size)
             at = np.flatnonzero(screen[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -183,35 +221,47 @@ class Benchmark:
             who, cut = np.unique(of[order], return_index=True)
             for item, hits in zip(who.tolist(), np.split(at[spread[order]], cut[1:]), strict=True):
                 need = int(np.ceil(SIMILARITY * sum(self.counts[item].values()) - 1e-9))
-                if len(hits) >= need:
-                    self._windows(item, size, hits, need, text, starts, ends, own, best)
-        return [(i, s, n, similar) for i, (similar, s, n) in sorted(best.items())]
-
-    def _windows(self, item: int, size: int, hits: np.ndarray, need: int, text: bytes, starts: np.ndarray, ends: np.ndarray, own: np.ndarray, best: dict) -> None:
-        n_words = min(self.length[item], len(starts))
-        span = n_words - size + 1  # shingles in a window
-        lo = max(0, int(hits[0]) - span + 1)
-        hi = min(int(hits[-1]), len(own) - span)  # last start
-        if hi < lo:
-            lo = hi
-        sums = np.zeros(int(max(hits[-1], hi + span)) - lo + 2, dtype=np.int32)
-        np.add.at(sums, hits[hits >= lo] - lo + 1, 1)
-        sums = np.cumsum(sums)
-        begin = np.arange(lo, hi + 1)
-        begin = begin[sums[begin - lo + span] - sums[begin - lo] >= need]
+                n_words = min(self.length[item], len(hashes))
+                if len(hits) >= need and (begin := _rich(hits, need, n_words - size + 1, len(own))).size:
+                    out.setdefault((size, n_words), []).append(begin)
+        return out
+
+    def _verify(self, size: int, n_words: int, begin: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray, own: np.ndarray, best: dict) -> None:
+        """Look windows of one length up in the multi-index, and compare each with the items
+        of that length that it names."""
+        fits = (np.minimum(np.array(self.length), len(starts)) == n_words) & (np.array(self.size) == size)
         for part in (begin[i : i + 4096] for i in range(0, len(begin), 4096)):
-            for s, fp in zip(part.tolist(), simhashes(own, part, span).tolist(), strict=True):
-                if item in self.multi.near(fp):
-                    similar = weighted_jaccard(_runs(text, starts[s : s + n_words], ends[s : s + n_words], size), self.counts[item])
-                    if similar >= SIMILARITY and (item not in best or similar > best[item][0]):
-                        best[item] = (similar, s, n_words)
+            query, item = self.multi.near_all(simhashes(own, part, n_words - size + 1))
+            query, item = query[fits[item]], item[fits[item]]
+            held, last = Counter(), -1
+            for q, i in zip(query.tolist(), item.tolist(), strict=True):
+                s = int(part[q])
+                if q != last:
+                    held, last = _runs(text, starts[s : s + n_words], ends[s : s + n_words], size), q
+                similar = weighted_jaccard(held, self.counts[i])
+                if similar >= SIMILARITY and (i not in best or similar > best[i][0]):
+                    best[i] = (similar, s, n_words)
+
+
+def _rich(hits: np.ndarray, need: int, span: int, total: int) -> np.ndarray:
+    """Begins of the windows of ``span`` shingles, of ``total``, that hold ``need`` of the places
+    ``hits``."""
+    lo = max(0, int(hits[0]) - span + 1)
+    hi = min(int(hits[-1]), total - span)  # last begin
+    lo = min(lo, hi)
+    sums = np.zeros(int(max(hits[-1], hi + span)) - lo + 2, dtype=np.int32)
+    np.add.at(sums, hits[hits >= lo] - lo + 1, 1)
+    sums = np.cumsum(sums)
+    begin = np.arange(lo, hi + 1)
+    return begin[sums[begin - lo + span] - sums[begin - lo] >= need]
 
 
 def chunks(benchmark: DataFrame, text: str = "text") -> Iterator[Benchmark]:
-    """The benchmark, about ``CHUNK_BYTES`` of it at a time."""
-    body = benchmark.select("item_id", F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("body"))
-    total = body.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = 1 + total // CHUNK_BYTES
+    """The benchmark, at most about ``CHUNK_BYTES`` and ``CHUNK_ITEMS`` of it at a time;
+    items without text are left out."""
+    body = benchmark.select("item_id", F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("binary").alias("body")).where("octet_length(body) > 0")
+    total = body.agg(F.sum(F.octet_length("body")).alias("size"), F.count(F.lit(1)).alias("items")).first()
+    n = 1 + max((total["size"] or 0) // CHUNK_BYTES, total["items"] // CHUNK_ITEMS)
     for k in range(n):
         rows = body.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(n)) == k).orderBy("item_id", "body").collect()
         if rows:
@@ -224,7 +274,7 @@ def _lowered(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], body.alias(fresh(kept, "body_")))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", benchmark_text: str = "text") -> DataFrame:
     """One row for each row of ``docs`` and item that it holds: ``doc_id``,
     ``item_id``, ``first_word``, ``n_words`` (the best window) and ``similarity``.
 
@@ -233,9 +283,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     are reported as they are; of repeated items each is reported.  A text shorter
     than an item is one window.  Empty tables give an empty result.
     """
-    out = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    source, found = _lowered(docs, text, [doc_id]), None
-    for part in chunks(benchmark, text):
+    out = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    source, found, shared = _lowered(docs, text, [doc_id]), None, None
+    item_type = to_arrow_type(out["item_id"].dataType)
+    for part in chunks(benchmark, benchmark_text):
+        if shared is not None:  # the chunk before is done with, so its broadcast may go
+            found = stored(found)
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -244,7 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
                 hits = [(r, *hit) for r, body in enumerate(batch.column(1).to_pylist()) for hit in items.find(body)]
                 columns = list(zip(*hits, strict=True)) or [[]] * 5
                 ids = batch.column(0).take(pa.array(columns[0], type=pa.int64()))
-                rest = [pa.array([items.ids[i] for i in columns[1]], type=pa.int64()), pa.array(columns[2], type=pa.int64()), pa.array(columns[3], type=pa.int64()), pa.array(columns[4], type=pa.float64())]
+                rest = [pa.array([items.ids[i] for i in columns[1]], type=item_type), pa.array(columns[2], type=pa.int64()), pa.array(columns[3], type=pa.int64()), pa.array(columns[4], type=pa.float64())]
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=out.names)
 
         own = source.mapInArrow(run, out)
@@ -252,10 +306,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     return docs.sparkSession.createDataFrame([], out) if found is None else found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all their columns."""
-    clean, columns = docs, docs.columns
-    for part in chunks(benchmark):
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", benchmark_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item (see :func:`find_leaks`), all their
+    columns.  Rows with null or empty texts stay, as do repeated rows that hold none;
+    an empty benchmark leaves all rows, an empty table is one."""
+    clean, columns, shared = docs, docs.columns, None
+    for part in chunks(benchmark, benchmark_text):
+        if shared is not None:
+            clean = stored(clean)
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -114,3 +114,50 @@ def test_query(spark):
                     want[d.doc_id, i.item_id] = v
     got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in QUERIES["op4_decontamination"](spark, sf).collect()}
     assert got == want and want
+
+
+def test_many_queries_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, 900, dtype=np.uint64) << np.uint64(1)
+    fps[100:200] = fps[0]  # a crowded list
+    queries = np.concatenate([fps[::7], rng.integers(0, 1 << 63, 100, dtype=np.uint64)])
+    want = np.nonzero(np.bitwise_count(queries[:, None] ^ fps[None, :]) <= X.RADIUS)
+    for looked_up in (1, 5000, 1 << 20):
+        monkeypatch.setattr(X, "LOOKED_UP", looked_up)
+        for got, expected in zip(X.MultiIndex(fps).near_all(queries), want, strict=True):
+            assert (got == expected).all()
+
+
+def test_the_radius_loses_next_to_nothing():
+    """Items with words changed, left out and put in at random: of the copies that are
+    similar enough, the multi-index names all but a few."""
+    rng, similar, named = random.Random(6), 0, 0
+    for _ in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(12, 120))]
+        copy = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 40))):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([["x"], [], [copy[at], "x"]])
+        item, text = " ".join(words).encode(), " ".join(copy).encode()
+        bench = X.Benchmark([1], [item])
+        n = min(len(words), len(copy))
+        starts, ends, hashes = X.words(text)
+        own = X.shingles(hashes, X.SHINGLE)
+        fps = X.simhashes(own, np.arange(len(copy) - n + 1), n - X.SHINGLE + 1)
+        close = [X.weighted_jaccard(X._runs(text, starts[s : s + n], ends[s : s + n], X.SHINGLE), bench.counts[0]) >= X.SIMILARITY for s in range(len(fps))]
+        if any(close):
+            similar += 1
+            named += bool(bench.find(text))
+    assert similar > 200 and named >= 0.99 * similar, (similar, named)
+
+
+def test_ids_of_other_types_and_rows_without_text(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "one two three four five six", 1), ("b", None, 2), (None, "", 3)], "doc_id string, text string, body_ int")
+    bench = spark.createDataFrame([("i", "one two three four five six"), ("j", None), (None, "")], "item_id string, question string")
+    found = [tuple(r) for r in X.find_leaks(docs, bench, benchmark_text="question").collect()]
+    assert found == [("a", "i", 0, 6, 1.0)]
+    assert sorted(str(r.doc_id) for r in X.drop_leaks(docs, bench, benchmark_text="question").collect()) == ["None", "b"]
+    monkeypatch.setattr(X, "CHUNK_ITEMS", 1)
+    many = bench.union(spark.createDataFrame([("k", "four five six"), ("l", "seven")], bench.schema))
+    assert sorted(r.item_id for r in X.find_leaks(docs, many, benchmark_text="question").collect()) == ["i", "k"]
+    assert sorted(str(r.doc_id) for r in X.drop_leaks(docs, many, benchmark_text="question").collect()) == ["None", "b"]
