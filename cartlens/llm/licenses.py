@@ -1,15 +1,19 @@
 """License scan (operator 1).
 
-Templates are cut into lower-case words.  Their runs of ``GRAM`` words are hashed, and
-an inverted index maps a hash to its templates and places.  Where every match keeps
-``GRAM + WINNOW - 1`` unchanged words in a row (``sure_run``), the hashes are winnowed
-(of every ``WINNOW`` neighbours the least is kept; so many words hold a kept one);
-elsewhere, as with all templates at a coverage of 0.8, every run is kept, and of
-templates of which only a shorter one is sure, every run of that length.  Looking up
-every run of a text finds the templates and diagonals (place in the text less place in
-the template) that may match.  A band around each diagonal that shares enough runs with the template
-is aligned, word by word (Smith-Waterman within the band); matches of at least
-``COVERAGE`` of a template's words are reported with their span in the text.
+Templates are cut into lower-case words.  Their runs of words are hashed and winnowed: of
+``window`` neighbouring hashes the least is kept, so that every ``gram + window - 1``
+unchanged words in a row hold a kept one, and an inverted index maps a kept hash to its
+templates and places.  How many words in a row every match is sure to leave unchanged
+follows from the template's length (``sure_run``, 3 at most with a coverage of 0.8), and
+run and window are chosen by that; templates of which two words or fewer are sure are
+indexed run by run.
+
+Looking up the runs of a text finds the templates and diagonals (place in the text less
+place in the template) that may match.  Words left out or put in move a match to another
+diagonal, by at most a template's length while its parts are worth joining, so diagonals are
+chained: those of each two neighbouring stretches of that length are aligned together, word
+by word, in a band around them (Smith-Waterman).  Matches of at least ``COVERAGE`` of a
+template's words are reported with their span in the text.
 
 Templates are a parameter; their index (bounded by their size, checked) is broadcast.
 Each text is scanned whole and by itself, without a shuffle.
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from cartlens.llm.common import slices, text_of
 from cartlens.llm.decontaminate import shingles, words
 
-GRAM, WINNOW = 3, 3
+GRAM = 3  # words of a template at least
 COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The most bytes of templates that are broadcast.
@@ -51,24 +55,27 @@ TEMPLATES = {
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT whole text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC whole text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib whole text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 
-def winnowed(hashes: np.ndarray) -> list[int]:
-    """Places of the kept hashes: the last least one of every ``WINNOW`` neighbours."""
+def winnowed(hashes: np.ndarray, window: int) -> list[int]:
+    """Places of the kept hashes: the last least one of every ``window`` neighbours."""
     if not hashes.size:
         return []
     values, kept = hashes.tolist(), set()
-    for i in range(max(1, len(values) - WINNOW + 1)):
-        window = values[i : i + WINNOW]
-        least = min(window)
-        kept.add(i + max(k for k, v in enumerate(window) if v == least))
+    for i in range(max(1, len(values) - window + 1)):
+        near = values[i : i + window]
+        least = min(near)
+        kept.add(i + max(k for k, v in enumerate(near) if v == least))
     return sorted(kept)
 
 
 def band_of(length: int) -> int:
-    """How far an alignment may leave its diagonal."""
+    """How far an alignment may leave the diagonals of its hits."""
     return max(2, length // 10)
 
 
@@ -80,37 +87,47 @@ def sure_run(length: int) -> int:
     return -(-(length - lost) // (lost + band_of(length) + 1))
 
 
-def align(template: list[bytes], text: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
-    """Words matched by the best local alignment within ``band`` of a diagonal, and
+def gram_and_window(length: int) -> tuple[int, int]:
+    """Words of a run and runs of a window such that no match goes without a kept run."""
+    sure = sure_run(length)
+    return (min(GRAM, sure - 1), 2) if sure > 2 else (sure, 1)
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
+    """Words (numbers) matched by the best local alignment within ``band`` of a diagonal, and
     the first and last matched place in ``text`` (0, 0, -1 for none).  Of equal
-    scores the first end is taken."""
-    width = 2 * band + 1
-    score = [[0] * (width + 2) for _ in range(len(template) + 1)]  # row i, place j - i - diagonal + band + 1
-    came = [[0] * (width + 2) for _ in range(len(template) + 1)]
-    best, where = 0, None
-    for i, word in enumerate(template, 1):
-        above, row, back = score[i - 1], score[i], came[i]
-        for k in range(1, width + 1):
-            j = i + diagonal + k - 1 - band  # counts words of the text, from 1
-            if not 1 <= j <= len(text):
-                continue
-            straight = above[k] + (MATCH if text[j - 1] == word else MISMATCH)
-            up, left = above[k + 1] + GAP, row[k - 1] + GAP
-            value = max(0, straight, up, left)
-            row[k] = value
-            back[k] = 0 if value == 0 else 1 if value == straight else 2 if value == up else 3
-            if value > best:
-                best, where = value, (i, k)
+    scores the first end is taken.
+
+    Row *i* has the places ``j = i + diagonal + k - band`` (words of both from 1); the one
+    above is that of *k* + 1, the one before of *k* - 1, straight on of *k*.
+    """
+    width, n = 2 * band + 1, len(text)
+    score = np.zeros((len(template) + 1, width + 1), dtype=np.int64)  # the last column stays 0
+    step = np.arange(width)
+    padded = np.concatenate([[-1], text])
+    for i, word in enumerate(template.tolist(), 1):
+        j = i + diagonal - band + step
+        inside = (j >= 1) & (j <= n)
+        straight = score[i - 1, :width] + np.where(padded[np.where(inside, j, 0)] == word, MATCH, MISMATCH)
+        row = np.maximum(np.maximum(straight, score[i - 1, 1:] + GAP), 0)
+        row[~inside] = 0
+        # gaps along the row: the best of all before it, less their distance
+        row = np.maximum(row, np.maximum.accumulate(row - GAP * step) + GAP * step)
+        score[i, :width] = np.where(inside, row, 0)
+    where = int(np.argmax(score))
+    i, k = divmod(where, width + 1)
     matched, first, last = 0, 0, -1
-    while where and came[where[0]][where[1]]:
-        i, k = where
-        step, j = came[i][k], i + diagonal + k - 1 - band
-        if step == 1:
-            if text[j - 1] == template[i - 1]:
+    while score[i, k] > 0:
+        j = i + diagonal + k - band
+        same = text[j - 1] == template[i - 1]
+        if score[i, k] == score[i - 1, k] + (MATCH if same else MISMATCH):
+            if same:
                 matched, first, last = matched + 1, j - 1, max(last, j - 1)
-            where = (i - 1, k)
+            i -= 1
+        elif score[i, k] == score[i - 1, k + 1] + GAP:
+            i, k = i - 1, k + 1
         else:
-            where = (i - 1, k + 1) if step == 2 else (i, k - 1)
+            k -= 1
     return matched, first, last
 
 
@@ -120,25 +137,26 @@ class TemplateIndex:
 
     texts: Mapping[str, str]
     names: list[str] = field(default_factory=list)
-    bodies: list[list[bytes]] = field(default_factory=list)
-    grams: list[Counter] = field(default_factory=list)
+    bodies: list[np.ndarray] = field(default_factory=list)  # of each template, its words as numbers
+    vocabulary: list[np.ndarray] = field(default_factory=list)  # and their hashes, sorted
     words: list[Counter] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.number: dict[bytes, int] = {}
         for name, text in self.texts.items():
             raw = text.encode().lower()
             starts, ends, hashes = words(raw)
             if len(starts) < GRAM:
                 raise ValueError(f"template {name!r} has fewer than {GRAM} words")
-            own, sure = shingles(hashes, GRAM), sure_run(len(starts))
-            size = min(GRAM, sure)
+            size, window = gram_and_window(len(starts))
             runs = shingles(hashes, size)
-            for at in winnowed(runs) if sure >= GRAM + WINNOW - 1 else range(len(runs)):
+            for at in winnowed(runs, window):
                 postings.setdefault(size, {}).setdefault(int(runs[at]), []).append((len(self.names), at))
             self.names.append(name)
-            self.bodies.append([raw[s:e] for s, e in zip(starts, ends, strict=True)])
-            self.grams.append(Counter(own.tolist()))
+            body = [raw[s:e] for s, e in zip(starts, ends, strict=True)]
+            self.bodies.append(np.array([self.number.setdefault(w, len(self.number)) for w in body]))
+            self.vocabulary.append(np.unique(hashes))
             self.words.append(Counter(hashes.tolist()))
         self.postings = postings
         self.keys = {size: np.array(sorted(found), dtype=np.uint64) for size, found in postings.items()}
@@ -148,9 +166,6 @@ class TemplateIndex:
         alignment of each band, spans in characters, by template and start."""
         raw = text.encode("utf-8", "replace").lower()  # A-Z only: places stay
         starts, ends, hashes = words(raw)
-        own = shingles(hashes, GRAM)
-        if not own.size:
-            return []
         diagonals: dict[int, list[int]] = {}
         for size, keys in self.keys.items():
             runs = shingles(hashes, size)
@@ -160,42 +175,48 @@ class TemplateIndex:
                     diagonals.setdefault(template, []).append(at - place)
         found = []
         for template, places in diagonals.items():
-            body, spans = self.bodies[template], []
-            band = band_of(len(body))
-            places = sorted(set(places))
-            groups = [[places[0]]]
-            for d in places[1:]:
-                groups[-1].append(d) if d - groups[-1][0] <= band else groups.append([d])
-            for group in groups:
-                middle = (group[0] + group[-1]) // 2
-                reach = band + group[-1] - middle  # the band around each of them
-                lo, hi = max(0, middle - reach), min(len(starts), middle + len(body) + reach)
-                if not self._enough(template, own[lo : max(lo, hi - GRAM + 1)], hashes[lo:hi]):
-                    continue
-                region = [raw[s:e] for s, e in zip(starts[lo:hi], ends[lo:hi], strict=True)]
-                matched, first, last = align(body, region, middle - lo, reach)
-                if matched >= COVERAGE * len(body):
-                    spans.append((matched, lo + first, lo + last))
-            spans.sort(key=lambda s: (-s[0], s[1]))
+            spans = self._matches(template, np.unique(places), raw, starts, ends, hashes)
             taken: list[tuple[int, int, int]] = []
-            for s in spans:  # bands of one match overlap: its best alignment stands for it
+            for s in sorted(spans, key=lambda s: (-s[0], s[1], s[2])):  # bands overlap: a match's best alignment stands for it
                 if all(s[2] < t[1] or s[1] > t[2] for t in taken):
                     taken.append(s)
             for matched, first, last in taken:
                 begin = len(raw[: starts[first]].decode("utf-8"))
-                found.append((self.names[template], matched / len(body), matched, begin, begin + len(raw[starts[first] : ends[last]].decode("utf-8"))))
+                found.append((self.names[template], matched / len(self.bodies[template]), matched, begin, begin + len(raw[starts[first] : ends[last]].decode("utf-8"))))
         return sorted(found, key=lambda f: (f[0], f[3]))
 
-    def _enough(self, template: int, region: np.ndarray, single: np.ndarray) -> bool:
-        """Whether a region (its runs and its words) can hold a match: it has
-        ``COVERAGE`` of the template's words; and with ``COVERAGE`` of L words matched, at
-        most a fifth of L is left out or changed, each breaking GRAM runs, and at
-        most a tenth put in, each breaking GRAM - 1."""
-        length = len(self.bodies[template])
-        if sum((Counter(single.tolist()) & self.words[template]).values()) < COVERAGE * length:
-            return False
-        need = length - GRAM + 1 - GRAM * ((1 - COVERAGE) * length) - (GRAM - 1) * band_of(length)
-        return need <= 1 or sum((Counter(region.tolist()) & self.grams[template]).values()) >= need - 1e-9
+    def _matches(self, template: int, diagonals: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(matched words, first word, last word)`` of the alignments around the diagonals.
+        These are dealt into stretches as long as the template; each two neighbouring
+        stretches are aligned together, so that no two diagonals that may belong to one match are
+        parted."""
+        body, out = self.bodies[template], []
+        length, band = len(body), band_of(len(self.bodies[template]))
+        known = self.vocabulary[template]
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        own = np.concatenate([[0], np.cumsum(known[place] == hashes)])  # words that the template has
+        stretch = diagonals // length
+        for s in np.unique(stretch).tolist():
+            group = diagonals[(stretch == s) | (stretch == s + 1)]
+            low, high = int(group[0]), int(group[-1])
+            middle = (low + high) // 2
+            reach = band + high - middle  # the band around each of them
+            lo, hi = max(0, middle - reach), min(len(starts), middle + length + reach)
+            if own[hi] - own[lo] < COVERAGE * length or not self._enough(template, hashes[lo:hi]):
+                continue
+            region = np.array([self.number.get(raw[a:b], -2) for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)])
+            # a text may hold several matches in the band: each is put out of the way of the next
+            while True:
+                matched, first, last = align(body, region, middle - lo, reach)
+                if matched < COVERAGE * length:
+                    break
+                out.append((matched, lo + first, lo + last))
+                region[first : last + 1] = -2
+        return out
+
+    def _enough(self, template: int, single: np.ndarray) -> bool:
+        """Whether the words of a region can hold a match: ``COVERAGE`` of the template's."""
+        return sum((Counter(single.tolist()) & self.words[template]).values()) >= COVERAGE * len(self.bodies[template])
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
