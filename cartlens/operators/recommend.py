@@ -27,11 +27,16 @@ ALS_REG_PARAM = 0.01
 ALS_ALPHA = 1.0
 TOP_N = 30
 DEFAULT_SEED = 42
-# User and item blocks of ALS.  Starting factors are drawn per block, so the number
-# belongs to the answer: it is the same on every cluster unless the caller sets it.
-# Size it by the data (about 1-2 million ratings a block keeps a block well under
-# executor memory); factors are exchanged between all pairs of blocks.
-ALS_BLOCKS = 10
+# Starting factors are drawn per block of users and of items, so their number belongs to
+# the answer: it follows from the number of ratings, never from the cluster.  A block of
+# so many ratings keeps well under executor memory, and few blocks keep the exchange
+# of factors between all pairs of blocks small.
+RATINGS_PER_BLOCK = 500_000
+
+
+def als_blocks(ratings: DataFrame) -> int:
+    """Blocks for a fit on ``ratings``, by their number."""
+    return max(1, -(-ratings.count() // RATINGS_PER_BLOCK))
 
 
 def fit_implicit_als(
@@ -44,10 +49,13 @@ def fit_implicit_als(
     user_col: str = "user_id",
     item_col: str = "item_id",
     rating_col: str = "qty",
-    num_blocks: int = ALS_BLOCKS,
+    num_blocks: int | None = None,
 ) -> ALSModel:
     """Fit implicit ALS.  Ids must fit in 32 bits, or the fit raises
-    (:class:`IdCodec` and ``recommend_top_n`` map any others)."""
+    (:class:`IdCodec` and ``recommend_top_n`` map any others).  ``num_blocks`` follows
+    from the number of ratings (:func:`als_blocks`) unless given."""
+    if num_blocks is None:
+        num_blocks = als_blocks(ratings)
     als = ALS(
         rank=rank,
         maxIter=max_iter,
@@ -70,6 +78,21 @@ def fit_implicit_als(
     return als.fit(data)
 
 
+def release(model: ALSModel) -> None:
+    """Drop the cached factors of a model that isn't needed any more: the nearest cached
+    data below its two factor tables, nobody else's."""
+    for factors in (model.userFactors, model.itemFactors):
+        todo = [factors._jdf.rdd()]
+        while todo:
+            data = todo.pop()
+            level = data.getStorageLevel()
+            if level.useMemory() or level.useDisk():
+                data.unpersist(False)
+                continue
+            below = data.dependencies()
+            todo += [below.apply(i).rdd() for i in range(below.size())]
+
+
 def recommend_lists(model: ALSModel, n: int = TOP_N, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
     """``(user_id, items)``: the same lists with one row for each user, best first."""
     recs = model.recommendForAllUsers(n)

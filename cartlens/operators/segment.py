@@ -32,16 +32,20 @@ EUCLIDEAN_SWEEP = tuple(range(2, 21))
 MAX_CENTROIDS = 10_000
 
 
-# Partitions of a fit's cached input.  K-means|| samples per partition, so their number
-# belongs to the answer: it is the same on every cluster unless the caller sets it.
-# Size it by the data (partitions of some 100 MB).
-FIT_PARTITIONS = 16
+# K-means|| samples per partition of a fit's cached input, so their number belongs to
+# the answer: it follows from the number of rows, never from the cluster.
+ROWS_PER_PARTITION = 10_000
+#: Fits that run side by side on one cached copy of the vectors.
+FITS_AT_A_TIME = 8
 ZERO_VECTOR = "zero vector"
 
 
-def _fit_input(data: DataFrame, id_col: str, partitions: int) -> DataFrame:
-    """Vectors dealt by id into a given number of sorted partitions, cached: a fit
-    sees the same rows in the same places whatever the cluster."""
+def _fit_input(data: DataFrame, id_col: str, partitions: int | None) -> DataFrame:
+    """Vectors dealt by id into sorted partitions, as many as given or as their number
+    asks for, cached: a fit sees the same rows in the same places whatever the cluster."""
+    if partitions is None:
+        data = store(data)  # counted, then dealt
+        partitions = max(1, -(-data.count() // ROWS_PER_PARTITION))
     return data.repartition(partitions, id_col).sortWithinPartitions(id_col).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -83,12 +87,12 @@ def kmeans_sweep(
     ks: Iterable[int],
     distance: str = "cosine",
     seed: int = DEFAULT_SEED,
-    parallelism: int = 1,
+    parallelism: int = FITS_AT_A_TIME,
     segment_ks: Iterable[int] = (),
     model_dir: str | None = None,
     id_col: str = "user_id",
     features_col: str = "features",
-    partitions: int = FIT_PARTITIONS,
+    partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """One fit per k in ``ks`` ∪ ``segment_ks``.
 
@@ -131,11 +135,8 @@ def kmeans_sweep(
             return k, float(model.summary.trainingCost), labels
 
         todo = ks + [k for k in segment_ks if k not in ks]
-        if parallelism > 1:
-            with ThreadPoolExecutor(max_workers=parallelism) as pool:
-                fitted = list(pool.map(one, todo))
-        else:
-            fitted = [one(k) for k in todo]
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            fitted = list(pool.map(one, todo))
     finally:
         data.unpersist()
     parts = [labels for _, _, labels in fitted if labels is not None]
@@ -153,11 +154,11 @@ def kmeans_cost_curve(
     ks: Iterable[int],
     distance: str = "cosine",
     seed: int = DEFAULT_SEED,
-    parallelism: int = 1,
+    parallelism: int = FITS_AT_A_TIME,
     features_col: str = "features",
     model_dir: str | None = None,
     id_col: str = "user_id",
-    partitions: int = FIT_PARTITIONS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``(k INT, distance STRING, cost DOUBLE)``: training cost of a fit per k."""
     return kmeans_sweep(
@@ -172,9 +173,9 @@ def segment_users(
     seed: int = DEFAULT_SEED,
     id_col: str = "user_id",
     features_col: str = "features",
-    parallelism: int = 1,
+    parallelism: int = FITS_AT_A_TIME,
     model_dir: str | None = None,
-    partitions: int = FIT_PARTITIONS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Fit one model per k and label every user: ``(k, cluster_number, user_id,
     reason)``, see :func:`kmeans_sweep`."""

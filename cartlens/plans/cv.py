@@ -39,9 +39,14 @@ from cartlens.operators.recommend import (
     fit_implicit_als,
     popular_lists,
     recommend_lists,
+    release,
 )
 from cartlens.session import store
 
+#: Fits that run side by side; a fit on little data leaves most of a cluster idle.
+FITS_AT_A_TIME = 8
+ROWS_PER_FILE = 2_000_000
+
 
 def prepare_folds(
     ratings: DataFrame,
@@ -53,12 +58,7 @@ def prepare_folds(
     each scope by itself, so one who is in two scopes is two users."""
     scopes = (scope_col,) if scope_col else ()
     active = filter_active_users(ratings, min_rows, scope_cols=scopes)
-    # each fit reads some scopes and folds of it: stored once, by these
-    return store(assign_folds(active, n_folds=n_folds, scope_cols=scopes), partition_by=[*scopes, "fold"])
-
-
-def _persisted(df: DataFrame) -> dict:
-    return dict(df.sparkSession.sparkContext._jsc.getPersistentRDDs())
+    return store(assign_folds(active, n_folds=n_folds, scope_cols=scopes))
 
 
 def als_fold_scores(
@@ -68,28 +68,24 @@ def als_fold_scores(
     top_n: int = TOP_N,
     seed: int = DEFAULT_SEED,
     scope_col: str | None = None,
-    parallelism: int = 1,
+    parallelism: int = FITS_AT_A_TIME,
     als_params: dict | None = None,
 ) -> DataFrame:
     """``([scope,] fold, k, n_hits, n_rec, n_test, precision, recall)`` of one ALS model
     for every (scope, fold).
 
-    Users and items are encoded to dense ids once, for all fits.  A fit leaves one
-    row for each K; its factors are released before the next one (after the last
-    one, if several run at a time).  Scopes are a list on the driver, as each is a
-    loop of fits.
+    Users and items are encoded to dense ids once, for all fits.  ``parallelism`` fits
+    run at a time; each leaves one row for each K and releases its factors, so the answer
+    doesn't hang on it.  Scopes are a list on the driver, as each is a loop of fits.
     """
     scopes = [scope_col] if scope_col else []
     codec = IdCodec(folded)
     encoded = codec.encode(folded).select(*scopes, "fold", IdCodec.USER, IdCodec.ITEM, "qty")
+    # each fit reads some scopes and folds of it: a folder for each, written by a few tasks
+    n_parts = max(1, -(-folded.count() // ROWS_PER_FILE))
+    encoded = encoded.repartition(*[*scopes, "fold"], F.pmod(F.xxhash64(IdCodec.USER), F.lit(n_parts)))
     encoded = store(encoded, partition_by=[*scopes, "fold"])
     values = sorted(r[0] for r in encoded.select(scope_col).distinct().collect()) if scope_col else [None]
-    before = _persisted(folded)
-
-    def release() -> None:
-        for key, rdd in _persisted(folded).items():
-            if key not in before:
-                rdd.unpersist()
 
     def run(task: tuple) -> list[tuple]:
         scope, fold = task
@@ -100,17 +96,12 @@ def als_fold_scores(
         model = fit_implicit_als(train, seed=seed, user_col=IdCodec.USER, item_col=IdCodec.ITEM, **(als_params or {}))
         lists = recommend_lists(model, top_n, IdCodec.USER, IdCodec.ITEM).withColumn("fold", F.lit(fold))
         rows = precision_recall_at_k(lists, test, ks, by=["fold"], user_col=IdCodec.USER, item_col=IdCodec.ITEM).collect()
-        if parallelism == 1:
-            release()
+        release(model)
         return [(*([scope] if scopes else []), fold, r.k, r.n_hits, r.n_rec, r.n_test) for r in rows]
 
     tasks = [(s, b) for s in values for b in range(n_folds)]
-    if parallelism > 1:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            found = list(pool.map(run, tasks))
-        release()
-    else:
-        found = [run(t) for t in tasks]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        found = list(pool.map(run, tasks))
     counts = [T.StructField(c, T.LongType()) for c in ("n_hits", "n_rec", "n_test")]
     schema = T.StructType([*[folded.schema[c] for c in scopes], T.StructField("fold", T.IntegerType()), T.StructField("k", T.IntegerType()), *counts])
     scores = folded.sparkSession.createDataFrame([row for rows in found for row in rows], schema)
@@ -125,7 +116,7 @@ def evaluate_cv(
     top_n: int = TOP_N,
     seed: int = DEFAULT_SEED,
     scope_col: str | None = None,
-    parallelism: int = 1,
+    parallelism: int = FITS_AT_A_TIME,
     als_params: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Per-fold scores and their summary for ``recommender`` in {"als", "popular"}."""

@@ -56,6 +56,7 @@ from cartlens.plans.cv import als_fold_scores, evaluate_cv, evaluate_cv_by_clust
 from cartlens.plans.segmentation import (
     customer_vectors,
     embedding_vectors,
+    evaluate_within_segment_files,
     evaluate_within_segments,
     hashed_customer_vectors,
     user_cells,
@@ -494,6 +495,12 @@ def q_cv_summary_within_segments(spark, sf):
     return _round_summary(evaluate_within_segments(load_ratings(spark, sf), segments, SEGMENTS_K, recommender="popular")[1])
 
 
+def q_als_cv_within_segments(spark, sf):
+    """K-means segments written as cluster files and read back, ALS evaluated in each."""
+    segments = customer_vectors(spark, sf, "p_brand")
+    return evaluate_within_segment_files(load_ratings(spark, sf), segments, [SEGMENTS_K], recommender="als")
+
+
 def q_kmeans_cost_curve_cosine(spark, sf):
     return sg.kmeans_cost_curve(customer_vectors(spark, sf, "p_brand"), sg.COSINE_SWEEP, "cosine")
 
@@ -641,6 +648,7 @@ SPARK_QUERIES: dict[str, Query] = {
     "kmeans_cost_curve_hashed": q_kmeans_cost_curve_hashed,
     "stored_model_labels": q_stored_model_labels,
     "als_residual_counts": q_als_residual_counts,
+    "als_cv_within_segments": q_als_cv_within_segments,
     "top_n_unseen": q_top_n_unseen,
     "als_recommendations_unseen": q_als_recommendations_unseen,
     "als_unseen_counts": q_als_unseen_counts,

@@ -3,7 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from cartlens.operators.relations import load_ratings
-from cartlens.plans.cv import evaluate_cv_by_cluster
+from cartlens.plans.cv import evaluate_cv, evaluate_cv_by_cluster
 from cartlens.plans.segmentation import customer_vectors, evaluate_within_segments, write_segments
 from cartlens.operators.segment import segment_users
 from cartlens.plans.rules import basket_rules_report, write_rules_report
@@ -91,3 +91,35 @@ def test_stored_tables_prune_partitions(spark):
     assert df.columns == ["id", "fold"] and dict(df.dtypes)["fold"] == "int"
     plan = df.where("fold != 2")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(fold" in plan and df.where("fold != 2").count() == 80
+
+
+def test_als_within_segment_files(spark):
+    """Segments of two sizes, through their files: every cluster with active users is
+    evaluated, and a fit leaves no cached factors behind."""
+    from cartlens.operators.ratings import filter_active_users
+    from cartlens.operators.relations import load_ratings
+    from cartlens.plans.segmentation import evaluate_within_segment_files
+
+    ratings, vectors = load_ratings(spark, SF001), customer_vectors(spark, SF001, "p_brand")
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found = evaluate_within_segment_files(ratings, vectors, [2, 3], recommender="als", n_folds=2, als_params={"max_iter": 1}).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+    per = {}
+    for r in found:
+        per.setdefault(r.n_segments, set()).add(r.cluster_number)
+        assert r.n_folds == 2
+    assert len(per[2]) == 2 and len(per[3]) == 3
+    popular = evaluate_within_segment_files(ratings, vectors, [2], recommender="popular").collect()
+    assert {r.cluster_number for r in popular} == per[2] and filter_active_users(ratings).count() > 0
+
+
+def test_answers_do_not_hang_on_fits_at_a_time(spark):
+    from cartlens.operators.relations import load_ratings
+    from cartlens.operators.segment import kmeans_cost_curve
+
+    ratings = load_ratings(spark, SF001)
+    scores = [sorted(map(tuple, evaluate_cv(ratings, n_folds=2, parallelism=n, als_params={"max_iter": 2})[0].collect())) for n in (1, 4)]
+    assert scores[0] == scores[1]
+    vectors = customer_vectors(spark, SF001, "p_brand")
+    curves = [sorted(map(tuple, kmeans_cost_curve(vectors, [2, 3, 4], parallelism=n).collect())) for n in (1, 3)]
+    assert curves[0] == curves[1]
