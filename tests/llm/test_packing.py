@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -28,7 +29,7 @@ def test_best_fit(seq_len):
     rng = random.Random(seq_len)
     for _ in range(30):
         lengths = [rng.randint(1, seq_len) for _ in range(rng.randint(0, 60))]
-        got = packing.best_fit_decreasing(lengths, seq_len)
+        got = packed(lengths, seq_len)
         assert sorted(i for p in got for i in p) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in p) <= seq_len for p in got)
         # equally good choices may differ; the rooms that remain may not
@@ -36,13 +37,49 @@ def test_best_fit(seq_len):
         assert rooms(got) == rooms(slow_fit(lengths, seq_len))
 
 
+def packed(lengths, seq_len):
+    """The plan carried out: pieces (by index) of each sequence, and no two on one place."""
+    rows, total = packing.best_fit_decreasing(Counter(lengths), seq_len)
+    places = {}
+    for length in set(lengths):
+        mine = [i for i, n in enumerate(lengths) if n == length]
+        for _, rank, until, first, per, start in (r for r in rows if r[0] == length):
+            for r in range(rank, until):
+                k = start + (r - rank) % per * length
+                for at in range(k, k + length):
+                    assert places.setdefault((first + (r - rank) // per, at), mine[r]) == mine[r]
+    out = [[] for _ in range(total)]
+    for sequence, at in sorted(places):
+        if places[sequence, at] not in out[sequence]:
+            assert at == sum(lengths[i] for i in out[sequence])  # no gap before it
+            out[sequence].append(places[sequence, at])
+    assert all(out)
+    return out
+
+
+def test_a_plan_for_any_number_of_pieces_is_small():
+    rng = random.Random(1)
+    counts = {n: rng.randint(1, 10**9) for n in range(1, 2049)}
+    rows, total = packing.best_fit_decreasing(counts, 2048)
+    assert len(rows) < 20_000
+    assert total >= sum(n * c for n, c in counts.items()) / 2048
+    assert sum(until - rank for _, rank, until, *_ in rows) == sum(counts.values())
+
+
 def test_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(packing, "MATRIX_ROWS", 5)
+    monkeypatch.setattr(packing, "MATRICES_TO_A_TASK", 2)
     rng = random.Random(5)
     texts = ["", None, "word", "long " * 300, "é" * 50] + ["".join(rng.choice("entr hsiou.") for _ in range(rng.randint(0, 300))) for _ in range(60)]
     df = spark.createDataFrame([(rng.choice([i, None, 7]), t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").coalesce(1)
     found = packing.pack(df, RANKS, P.PATTERN, END, seq_len=64).collect()
-    assert len({r.bucket for r in found}) > 2
+    assert len({r.matrix for r in found}) == len(found) > 2
+    assert sorted(m.n_rows for m in found)[1:] == [5] * (len(found) - 1)
+    # as few sequences as one packing of all pieces has
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(RANKS), special_tokens={})
+    sizes = [len(library.encode_ordinary(t or "")) + 1 for t in texts]
+    lengths = [min(64, n - at) for n in sizes for at in range(0, n, 64)]
+    assert sum(m.n_rows for m in found) == len(slow_fit(lengths, 64))
     for m in found:
         ids = np.frombuffer(m.ids, dtype="<u2").reshape(m.n_rows, m.seq_len)
         assert m.id_bytes == 2 and len(m.cu_seqlens) == m.n_rows
