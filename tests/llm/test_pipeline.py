@@ -76,3 +76,37 @@ def test_encoding(steps):
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(got.collect()) == sorted(steps[-1][1].collect())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row_ int, score_ string, TEXT_ string"
+
+
+def _odd(spark, rows):
+    return stored(spark.createDataFrame([(d, t, "en", "s", None, 1, None, "x") for d, t in rows], ODD))
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Null ids and texts, empty and very long texts, repeated rows and clashing column
+    names: no stage fails, and only copies go."""
+    long = " ".join(f"plain{i % 997} word{i}" for i in range(40_000))
+    rows = [(1, None), (2, ""), (None, "some plain words of no harm"), (3, "some plain words of no harm"), (4, long), (4, long), (None, None), (5, " \n\t")]
+    docs = _odd(spark, rows)
+    (_, toxic), (_, exact), (_, near), (_, leaks), (_, encode) = corpus_pipeline.STAGES
+    kept = toxic(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+    kept = stored(exact(spark, docs, SF))
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "")[:4]) for r in kept.collect()) == [("2", ""), ("3", "some"), ("4", "plai"), ("5", " \n\t")]
+    kept = stored(near(spark, kept, SF))  # texts without words are near one another
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4"]
+    assert sorted(str(r.doc_id) for r in leaks(spark, docs, SF).collect()) == sorted(str(d) for d, _ in rows)
+    coded = encode(spark, docs, SF)
+    assert sorted((str(r.doc_id), r.n_tokens == 0) for r in coded.collect()) == sorted((str(d), not t) for d, t in rows)
+
+
+def test_empty_tables_in_every_stage(spark):
+    docs = _odd(spark, [(1, "x")]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        assert name == "byte-level bpe" or out.columns == docs.columns

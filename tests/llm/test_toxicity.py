@@ -114,3 +114,43 @@ def test_held_out_accuracy(spark):
     caught = sum(p for p, y in test if y) / sum(y for _, y in test)
     wrong = sum(p for p, y in test if not y) / sum(1 - y for _, y in test)
     assert caught >= 0.85 and wrong <= 0.1
+
+
+def _plain_score(net, words):
+    """One window, word by word, in plain loops and double precision."""
+    p = {k: v.astype(np.float64) for k, v in net.params.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    inputs = []
+    for w in words:
+        parts = [p["words"][net.vocabulary.get(w, 0)]]
+        for n in X.ORDERS:
+            buckets, weight = X.char_grams([w], n)
+            parts.append(sum(weight[0, k] * p[f"chars_{n}"][buckets[0, k]] for k in range(buckets.shape[1])))
+        inputs.append(np.concatenate(parts))
+    states = []
+    for d, order in (("f", inputs), ("b", inputs[::-1])):
+        h, own = np.zeros(X.HIDDEN), []
+        for x in order:
+            gate = x @ p["in_" + d] + p["bias_" + d]
+            z, r, n = (gate[k * X.HIDDEN : (k + 1) * X.HIDDEN] for k in range(3))
+            uz, ur, un = (p["rec_" + d][k * X.HIDDEN : (k + 1) * X.HIDDEN] @ h for k in range(3))
+            z, r = sigmoid(z + uz), sigmoid(r + ur)
+            h = (1 - z) * np.tanh(n + r * un) + z * h
+            own.append(h)
+        states.append(own if d == "f" else own[::-1])
+    both = [np.concatenate(s) for s in zip(*states, strict=True)]
+    power = [np.exp(p["att_v"] @ np.tanh(p["att"] @ s)) for s in both]
+    pooled = sum(a * s for a, s in zip(power, both, strict=True)) / sum(power)
+    return sigmoid(p["out"] @ pooled + p["out_bias"][0])
+
+
+def test_scores_equal_plain_loops(toy):
+    texts, labels = toy
+    net, rng = X.train(texts[:300], labels[:300], epochs=1), random.Random(2)
+    known = " ".join(texts).split()
+    samples = ["one", "Vile! word", *(" ".join(rng.choice(known) for _ in range(n)) for n in (5, 31, 32, 33, 57, 100))]
+    got = X.Scorer(net).score(samples)
+    for text, score in zip(samples, got, strict=True):
+        words = [w for part in X.words_of(text) for w in part]
+        best = max(_plain_score(net, words[s : s + n]) for s, n in X.window_spans(len(words)))
+        assert abs(best - score) < 1e-4, text
