@@ -110,8 +110,9 @@ def test_zero_vectors_have_no_nearest_centroid(spark):
     got = {r["id"]: (r["cluster"], r["distance"]) for r in sg.assign_nearest_centroid(points, cents).collect()}
     assert got[1] == (None, None) and got[2] == (2, pytest.approx(0.0)) and got[3][0] == 1
     assert {r["cluster"] for r in sg.assign_nearest_centroid(points, cents, "euclidean").collect()} == {0, 1}
-    with pytest.raises(ValueError):
-        sg.assign_nearest_centroid(points, cents, max_centroids=2)
+    for distance in ("cosine", "euclidean"):  # in blocks of two as in one array
+        one, two = (sorted(map(tuple, sg.assign_nearest_centroid(points, cents, distance, max_centroids=n).collect())) for n in (10, 2))
+        assert one == two
 
 
 def test_sparse_vector_expression(spark):
