@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.operators.ranking import OrderSpec, partitions_for, rank_within_groups
+from cartlens.operators.ranking import OrderSpec, partitions_for, rank_within_groups, spread
 from cartlens.session import store
 
 CHUNK = 1000
@@ -31,7 +31,7 @@ def user_ratings_list(
         raise ValueError("chunk must be at least 1")
     df = store(df)  # counted, then ranked
     ranked = rank_within_groups(df, [user_col], list(order_cols), rank_col="__place", size_col="__n")
-    ranked = ranked.withColumn("chunk", F.floor(F.col("__place") / chunk)).repartition(partitions_for(df.count()), user_col, "chunk")
+    ranked = spread(ranked.withColumn("chunk", F.floor(F.col("__place") / chunk)), partitions_for(df), user_col, "chunk")
     entry = F.struct("__place", F.col(item_col).alias("item_id"), F.col(qty_col).alias("qty"))
     lists = ranked.groupBy(user_col, "chunk").agg(
         F.max("__n").alias("n_ratings"), F.array_sort(F.collect_list(entry)).alias("__list")
