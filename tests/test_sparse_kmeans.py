@@ -1,0 +1,83 @@
+import numpy as np
+import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from cartlens.operators import segment as sg
+from cartlens.operators import sparse_kmeans as sk
+
+DIM, WIDTH = 60, 6
+
+
+def _points(spark, zero=True):
+    """Customers who buy in one of four parts of the catalogue only, and one who buys nothing."""
+    r = np.random.default_rng(4)
+    rows = []
+    for u in range(80):
+        items = np.sort(r.choice(np.arange(15 * (u % 4), 15 * (u % 4) + 15), 8, replace=False))
+        rows.append((u, Vectors.sparse(DIM, items.tolist(), r.integers(1, 9, 8).astype(float).tolist())))
+    if zero:
+        rows.append((99, Vectors.sparse(DIM, [], [])))
+    return spark.createDataFrame(rows, ["user_id", "features"])
+
+
+def _blocked(monkeypatch):
+    monkeypatch.setattr(sg, "WIDE", 1)
+    monkeypatch.setattr(sk, "BLOCK", 16)
+    monkeypatch.setattr(sk, "CHUNK", 7)
+    monkeypatch.setattr(sk, "GROUP_ROWS", 30)
+
+
+def test_wide_vectors_never_meet_spark_s_dense_fit(spark, monkeypatch):
+    _blocked(monkeypatch)
+    monkeypatch.setattr(sg, "fit_kmeans", lambda *_, **__: pytest.fail("dense centroids"))
+    curve, labels = sg.kmeans_sweep(_points(spark), [2, 3, 4], "cosine", segment_ks=[4, 6])
+    costs = {r["k"]: r["cost"] for r in curve.collect()}
+    assert sorted(costs) == [2, 3, 4] and costs[2] > costs[4] > 0
+    found = labels.collect()
+    assert sorted((r["k"], r["user_id"]) for r in found) == sorted((k, u) for k in (4, 6) for u in [*range(80), 99])
+    assert {r["reason"] for r in found if r["user_id"] == 99} == {sg.ZERO_VECTOR}
+    # nobody shares a cluster with customers of another part of the catalogue where there are enough clusters
+    parts = {}
+    for r in found:
+        if r["k"] == 6 and r["user_id"] != 99:
+            parts.setdefault(r["cluster_number"], set()).add(r["user_id"] % 4)
+    assert all(0 <= c < 6 for c in parts)
+
+
+def test_labels_cost_and_groups_agree_with_plain_arithmetic(spark, monkeypatch):
+    points = _points(spark, zero=False)
+    x = np.array([r["features"].toArray() for r in points.orderBy("user_id").collect()])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    answers = []
+    for rows, chunk, piece in ((1000, 96, 1 << 22), (7, 4, 50)):
+        _blocked(monkeypatch)
+        monkeypatch.setattr(sk, "GROUP_ROWS", rows)
+        monkeypatch.setattr(sk, "CHUNK", chunk)
+        monkeypatch.setattr(sk, "_PIECE", piece)
+        curve, labels = sg.kmeans_sweep(points, [2, 5], "cosine", segment_ks=[2, 5])
+        costs = {r["k"]: r["cost"] for r in curve.collect()}
+        answers.append((costs, sorted(tuple(r) for r in labels.drop("reason").collect())))
+    assert answers[0][0] == pytest.approx(answers[1][0], rel=1e-6) and answers[0][1] == answers[1][1]
+    for k in (2, 5):  # a fixed point: each is nearest to its own cluster's mean, and the cost is theirs
+        label = np.array([c for kk, c, _ in answers[0][1] if kk == k])[np.argsort([u for kk, _, u in answers[0][1] if kk == k])]
+        means = np.array([x[label == c].mean(axis=0) if (label == c).any() else np.zeros(DIM) for c in range(k)])
+        norm = np.linalg.norm(means, axis=1)
+        away = 1 - x @ (means / np.where(norm > 0, norm, 1.0)[:, None]).T
+        assert (away[np.arange(len(x)), label] <= away.min(axis=1) + 1e-6).all()
+        assert answers[0][0][k] == pytest.approx(away[np.arange(len(x)), label].sum(), rel=1e-5)
+
+
+def test_few_distinct_points(spark, monkeypatch):
+    _blocked(monkeypatch)
+    rows = [(u, Vectors.sparse(DIM, [u % 2 * 20], [2.0])) for u in range(10)]
+    curve, labels = sg.kmeans_sweep(spark.createDataFrame(rows, ["user_id", "features"]), [4], "cosine", segment_ks=[4])
+    assert labels.groupBy("user_id").count().where("count = 1").count() == 10
+    assert labels.where(F.col("cluster_number").between(0, 3)).count() == 10
+    assert curve.first()["cost"] >= 0
+
+
+def test_zero_vectors_are_found_by_their_entries(spark):
+    rows = [(1, Vectors.sparse(2_000_000_000, [], [])), (2, Vectors.sparse(2_000_000_000, [5], [1.0])), (3, Vectors.sparse(2_000_000_000, [5], [0.0]))]
+    df = spark.createDataFrame(rows, ["id", "features"])
+    assert [r["id"] for r in sg.nonzero_vectors(df).collect()] == [2]
