@@ -123,3 +123,19 @@ def test_answers_do_not_hang_on_fits_at_a_time(spark):
     vectors = customer_vectors(spark, SF001, "p_brand")
     curves = [sorted(map(tuple, kmeans_cost_curve(vectors, [2, 3, 4], parallelism=n).collect())) for n in (1, 3)]
     assert curves[0] == curves[1]
+
+
+def test_small_fits_run_more_at_a_time():
+    from cartlens.plans.cv import fits_at_a_time
+
+    assert [fits_at_a_time(n) for n in (0, 100_000, 3_000_000, 30_000_000)] == [24, 24, 10, 8]
+
+
+def test_als_scores_read_a_models_lists_once(spark, monkeypatch):
+    from cartlens.plans import cv
+
+    stored, store = [], cv.store
+    monkeypatch.setattr(cv, "store", lambda df, partition_by=(): stored.append(df.columns) or store(df, partition_by))
+    folded = cv.prepare_folds(load_ratings(spark, SF001), n_folds=2)
+    scores = cv.als_fold_scores(folded, n_folds=2, ks=(5,), als_params={"max_iter": 1, "rank": 2})
+    assert sum("items" in columns for columns in stored) == 2 and scores.count() == 2
