@@ -91,3 +91,33 @@ def test_fields_are_written_as_spark_writes_them(spark, tmp_dir):
     df = spark.createDataFrame([(1, t) for t in texts], "i int, t string").coalesce(1)
     written = _one_task(df, f"{tmp_dir}/t", False).decode().split("\n")[:-1]
     assert [f"1;{r[0]}" for r in df.select(csv_field(df.t)).collect()] == written
+
+
+def test_a_part_is_gone_when_it_is_copied(spark, tmp_dir, monkeypatch):
+    """A joined file and all of its parts are never on disk together."""
+    from cartlens.sources import sinks
+
+    spark.range(0, 4000, 1, 8).selectExpr("cast(id AS string)").write.text(f"{tmp_dir}/a")
+    whole = sum(os.path.getsize(f"{tmp_dir}/a/{n}") for n in os.listdir(f"{tmp_dir}/a") if n.startswith("part-"))
+    found, most = sinks._file_system(spark, f"{tmp_dir}/out"), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(found[0], name)
+
+        def open(self, path):
+            most.append(sum(os.path.getsize(f"{tmp_dir}/a/{n}") for n in os.listdir(f"{tmp_dir}/a") if n.startswith("part-")))
+            return found[0].open(path)
+
+    files = sinks._file_system
+    monkeypatch.setattr(sinks, "_file_system", lambda session, path: (Watched(), found[1]) if path.endswith("out") else files(session, path))
+    join_files(spark, [f"{tmp_dir}/a"], f"{tmp_dir}/out")
+    assert os.path.getsize(f"{tmp_dir}/out") == whole
+    assert len(most) == 8 and most[-1] < whole / 4
+
+
+def test_wide_lines_are_sorted_while_they_are_cells(spark):
+    cells = spark.createDataFrame([(2, 0, 1.0), (1, 5, 2.0)], "user_id long, item_idx int, qty double")
+    plan = wide_lines(cells, 9, ordered=True)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sort = next(n for n, x in enumerate(plan) if "Sort" in x)
+    assert any("repeat" in x for x in plan[:sort]) and not any("repeat" in x for x in plan[sort:])
