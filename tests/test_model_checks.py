@@ -47,6 +47,16 @@ def test_hashing_keeps_products_on_average(spark):
         hashed_cells(spark.range(1).selectExpr("id AS user_id", "id AS item_id", "1.0 AS qty"), 0)
 
 
+def test_hashed_cost_curve_sweeps_every_k(spark, monkeypatch):
+    from cartlens.plans import queries
+
+    asked = []
+    monkeypatch.setattr(queries.sg, "kmeans_cost_curve", lambda vectors, ks, distance: asked.append((vectors.count(), tuple(ks), distance)))
+    queries.q_kmeans_cost_curve_hashed(spark, SF001)
+    users = queries.load_ratings(spark, SF001).select("user_id").distinct().count()
+    assert asked == [(users, tuple(range(2, 46)), "cosine")]
+
+
 @pytest.mark.parametrize("distance", ["cosine", "euclidean"])
 def test_stored_models_as_a_table(spark, tmp_dir, distance):
     vectors = customer_vectors(spark, SF001, "p_brand")
