@@ -139,3 +139,51 @@ def test_als_scores_read_a_models_lists_once(spark, monkeypatch):
     folded = cv.prepare_folds(load_ratings(spark, SF001), n_folds=2)
     scores = cv.als_fold_scores(folded, n_folds=2, ks=(5,), als_params={"max_iter": 1, "rank": 2})
     assert sum("items" in columns for columns in stored) == 2 and scores.count() == 2
+
+
+def test_large_fits_hold_a_bounded_number_of_rows():
+    from cartlens.operators.recommend import checkpoint_interval, fit_blocks
+    from cartlens.plans.cv import blocks_beside_others, fits_in_flight
+
+    assert [fits_in_flight(n) for n in (0, 500_000, 3_000_000, 6_500_000, 32_000_000, 200_000_000)] == [24, 24, 24, 12, 2, 1]
+    assert [blocks_beside_others(n) for n in (0, 4_000_000, 4_000_001, 32_000_000, 200_000_000)] == [1, 1, 2, 8, 13]
+    assert [fit_blocks(n) for n in (0, 500_001, 32_000_000, 200_000_000)] == [1, 2, 8, 13]
+    assert [checkpoint_interval(n) for n in (0, 4_000_000, 4_000_001)] == [10, 10, 1]
+
+
+def test_als_scores_leave_no_lists_and_drop_shuffles(spark, monkeypatch):
+    from cartlens.plans import cv
+
+    from cartlens.session import discard
+
+    lists, sweeps = [], []
+    monkeypatch.setattr(cv, "ROWS_TO_A_SWEEP", 1)
+    monkeypatch.setattr(cv, "discard", lambda df: lists.append(os.path.dirname(df.inputFiles()[0].removeprefix("file:"))) or discard(df))
+    monkeypatch.setattr(cv, "free_unused", sweeps.append)
+    folded = cv.prepare_folds(load_ratings(spark, SF001), n_folds=2)
+    assert cv.als_fold_scores(folded, n_folds=2, ks=(5,), als_params={"max_iter": 1, "rank": 2}).count() == 2
+    assert len(lists) == 2 and not any(map(os.path.exists, lists)) and len(sweeps) == 2
+    assert folded.count() > 0  # other stored tables stay
+
+
+def test_factors_are_checkpointed_in_each_iteration_of_a_large_fit(spark, monkeypatch):
+    from cartlens.operators import recommend
+
+    rows = [(u, (7 * u + i) % 40, 1.0 + i % 3) for u in range(30) for i in range(12)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, qty double")
+    plain = {r.id: list(r.features) for r in recommend.fit_implicit_als(ratings, num_blocks=2).userFactors.collect()}
+    monkeypatch.setattr(recommend, "SMALL_FIT", 100)
+    asked, als = [], recommend.ALS
+    monkeypatch.setattr(recommend, "ALS", lambda **given: asked.append(given["checkpointInterval"]) or als(**given))
+    found = {r.id: list(r.features) for r in recommend.fit_implicit_als(ratings, num_blocks=2).userFactors.collect()}
+    assert asked == [1] and found == plain
+
+
+def test_recommendations_hold_no_fit(spark):
+    from cartlens.operators.recommend import recommend_top_n
+
+    rows = [(u, (7 * u + i) % 40, 1.0 + i % 3) for u in range(30) for i in range(12)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, qty double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found = recommend_top_n(ratings, 5)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before and found.count() == 150
