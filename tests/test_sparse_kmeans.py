@@ -81,3 +81,27 @@ def test_zero_vectors_are_found_by_their_entries(spark):
     rows = [(1, Vectors.sparse(2_000_000_000, [], [])), (2, Vectors.sparse(2_000_000_000, [5], [1.0])), (3, Vectors.sparse(2_000_000_000, [5], [0.0]))]
     df = spark.createDataFrame(rows, ["id", "features"])
     assert [r["id"] for r in sg.nonzero_vectors(df).collect()] == [2]
+
+
+def test_centroid_rows_are_spread_out_a_few_blocks_at_a_time(monkeypatch):
+    r = np.random.default_rng(9)
+    n, width, blocks = 20, 5, 12
+    given = r.normal(size=(n, blocks * 4)) * (r.random((n, blocks * 4)) < 0.4)
+    centroids = (r.normal(size=(blocks * 4, width)) * (r.random((blocks * 4, width)) < 0.6)).astype(np.float32)
+    mine, theirs = [], []
+    for blk in range(blocks):
+        who, place = np.nonzero(given[:, 4 * blk : 4 * blk + 4])
+        needed, at = np.unique(place, return_inverse=True)
+        own = centroids[4 * blk + needed]
+        mine.append((blk, needed.astype(np.int32).tobytes(), who.astype(np.int32).tobytes(), at.astype(np.int32).tobytes(), given[who, 4 * blk + place].tobytes()))
+        theirs.append((blk, (own != 0).sum(axis=1).astype(np.int32).tobytes(), np.nonzero(own)[1].astype(np.uint8).tobytes(), own[own != 0].tobytes()))
+    table = lambda rows, names: sk._table(rows, sk.pa.schema([("blk", sk.pa.int32()), *[(x, sk.pa.binary()) for x in names]]))
+    tables = table(mine, ("needed", "who", "place", "value")), table(theirs, ("many", "column", "value"))
+    whole = sk._products(*tables, n, width)
+    sizes, zeros = [], np.zeros
+    monkeypatch.setattr(sk, "_ROOM", 8 * width)
+    monkeypatch.setattr(sk.np, "zeros", lambda shape, dtype=float: sizes.append(shape) or zeros(shape, dtype))
+    parts = sk._products(*tables, n, width)
+    monkeypatch.undo()
+    assert np.allclose(whole, given @ centroids) and np.allclose(parts, whole)
+    assert len(sizes) >= 1 + blocks // 2 and all(rows <= 8 for rows, _ in sizes[1:])
