@@ -57,6 +57,19 @@ def test_hashed_cost_curve_sweeps_every_k(spark, monkeypatch):
     assert asked == [(users, tuple(range(2, 46)), "cosine")]
 
 
+def test_a_fit_holds_its_own_vectors_few_fits_at_a_time(spark, monkeypatch):
+    """A fit given a cached frame holds no vectors: each iteration decodes the frame again."""
+    levels, workers, fit, pool = [], [], sg.fit_kmeans, sg.ThreadPoolExecutor
+    monkeypatch.setattr(sg, "fit_kmeans", lambda features, *rest, **more: levels.append(features.storageLevel) or fit(features, *rest, **more))
+    monkeypatch.setattr(sg, "ThreadPoolExecutor", lambda max_workers: workers.append(max_workers) or pool(max_workers=max_workers))
+    vectors = customer_vectors(spark, SF001, "p_brand")
+    curves = [sorted(map(tuple, sg.kmeans_cost_curve(vectors, [2, 3]).collect()))]
+    monkeypatch.setattr(sg, "ROWS_IN_FLIGHT", 2 * vectors.count())
+    curves.append(sorted(map(tuple, sg.kmeans_cost_curve(vectors, [2, 3]).collect())))
+    assert curves[0] == curves[1] and workers == [8, 2]
+    assert len(levels) == 4 and not any(x.useMemory or x.useDisk for x in levels)
+
+
 @pytest.mark.parametrize("distance", ["cosine", "euclidean"])
 def test_stored_models_as_a_table(spark, tmp_dir, distance):
     vectors = customer_vectors(spark, SF001, "p_brand")
